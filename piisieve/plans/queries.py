@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, verify
+from ..operators import detect, stats, verify
 from ..session import table
 from . import oracle as O
 
@@ -67,3 +67,100 @@ FROM {O.verify_sql(O.detect_sql())} v GROUP BY entity_type""")
 def q_verification_summary(spark, sf_dir):
     """Flagship: documents -> J-01 -> J-03/J-04 -> E-01/E-02 per entity type (G-05 order)."""
     return verify.verification_summary(candidate_verdicts(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- statistics
+def inference_log(spark, sf_dir):
+    return stats.inference_log_from_events(table(spark, sf_dir, "events"))
+
+
+_LOG_SQL = """(SELECT event_type AS model, event_id AS record_id, round(value, 2) AS latency_ms,
+  round(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0, 4) AS confidence,
+  CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0 >= 0.5 AS verified, ts
+  FROM events)"""
+
+_SPAN = "date_diff('microsecond', min(ts), max(ts))"
+_STATS_SQL = f"""
+SELECT model, CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGINT) AS verified,
+  CAST(count_if(NOT verified) AS BIGINT) AS rejected,
+  coalesce(CAST(count_if(verified) AS DOUBLE) / nullif(count(*), 0), 0.0) AS verification_rate,
+  round(sum(latency_ms), 4) / count(latency_ms) AS latency_mean,
+  quantile_cont(latency_ms, 0.5) AS latency_median, quantile_cont(latency_ms, 0.5) AS latency_p50,
+  quantile_cont(latency_ms, 0.95) AS latency_p95, quantile_cont(latency_ms, 0.99) AS latency_p99,
+  min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
+  round(sum(confidence), 6) / count(confidence) AS confidence_mean, quantile_cont(confidence, 0.5) AS confidence_median,
+  min(confidence) AS confidence_min, max(confidence) AS confidence_max,
+  {_SPAN} / 1e6 AS total_time_sec,
+  CASE WHEN {_SPAN} > 0 THEN count(*) / ({_SPAN} / 1e6) ELSE 0.0 END AS items_per_sec
+FROM {_LOG_SQL} l GROUP BY model"""
+
+
+@register("model_stats", _STATS_SQL)
+def q_model_stats(spark, sf_dir):
+    """E-01 ... E-10: per-model verification, latency, confidence and throughput stats."""
+    return stats.model_stats(inference_log(spark, sf_dir))
+
+
+@register("best_performers", f"""
+SELECT arg_min(model, (latency_p95, model)) AS fastest_model, min(latency_p95) AS fastest_p95,
+  arg_min(model, (-confidence_mean, model)) AS most_confident_model,
+  max(confidence_mean) AS highest_confidence_mean,
+  arg_min(model, (verification_rate, model)) AS most_selective_model,
+  min(verification_rate) AS lowest_verification_rate
+FROM ({_STATS_SQL}) s""")
+def q_best_performers(spark, sf_dir):
+    """G-01 ... G-04: fastest (p95), most confident, most selective model."""
+    return stats.best_performers(stats.model_stats(inference_log(spark, sf_dir)))
+
+
+@register("overall_stats", f"""
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGINT) AS verified,
+  CAST(count_if(NOT verified) AS BIGINT) AS rejected,
+  coalesce(CAST(count_if(verified) AS DOUBLE) / nullif(count(*), 0), 0.0) AS verification_rate,
+  round(sum(latency_ms), 4) / count(latency_ms) AS latency_mean,
+  quantile_cont(latency_ms, 0.5) AS latency_median, quantile_cont(latency_ms, 0.5) AS latency_p50,
+  quantile_cont(latency_ms, 0.95) AS latency_p95, quantile_cont(latency_ms, 0.99) AS latency_p99,
+  min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
+  round(sum(confidence), 6) / count(confidence) AS confidence_mean, quantile_cont(confidence, 0.5) AS confidence_median,
+  min(confidence) AS confidence_min, max(confidence) AS confidence_max,
+  {_SPAN} / 1e6 AS total_time_sec,
+  CASE WHEN {_SPAN} > 0 THEN count(*) / ({_SPAN} / 1e6) ELSE 0.0 END AS items_per_sec
+FROM {_LOG_SQL} l""")
+def q_overall_stats(spark, sf_dir):
+    """E-11: one-row run summary over all models."""
+    return stats.overall_stats(inference_log(spark, sf_dir))
+
+
+@register("batch_sequence", f"""
+SELECT model, record_id, CAST(row_number() OVER (PARTITION BY model ORDER BY ts, record_id) AS BIGINT) AS seq,
+  CAST(floor((row_number() OVER (PARTITION BY model ORDER BY ts, record_id) - 1) / 32) AS BIGINT) AS batch_id
+FROM {_LOG_SQL} l""")
+def q_batch_sequence(spark, sf_dir):
+    """F-01: per-model sequence number and fixed-size batch (32) without a hot task."""
+    log = inference_log(spark, sf_dir)
+    return stats.assign_batches(log, 32, ["model"], ["ts", "record_id"]).select(
+        "model", "record_id", F.col("seq").cast("bigint").alias("seq"), "batch_id")
+
+
+@register("batch_latency", f"""
+SELECT model, batch_id, CAST(count(*) AS BIGINT) AS batch_size, round(sum(latency_ms), 4) AS batch_ms,
+  round(sum(latency_ms), 4) / count(*) AS per_item_ms
+FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY model ORDER BY ts, record_id) - 1) / 32) AS BIGINT) AS batch_id
+      FROM {_LOG_SQL} l) b GROUP BY model, batch_id""")
+def q_batch_latency(spark, sf_dir):
+    """F-04: per-item latency = batch time / batch size."""
+    log = inference_log(spark, sf_dir)
+    return stats.batch_latency(stats.assign_batches(log, 32, ["model"], ["ts", "record_id"]),
+                               ["model"])
+
+
+@register("windowed_stats", f"""
+SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, model,
+  CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGINT) AS verified,
+  CAST(count_if(verified) AS DOUBLE) / count(*) AS verification_rate,
+  round(sum(latency_ms), 4) / count(latency_ms) AS latency_mean, quantile_cont(latency_ms, 0.95) AS latency_p95,
+  max(latency_ms) AS latency_max
+FROM {_LOG_SQL} l GROUP BY 1, model""")
+def q_windowed_stats(spark, sf_dir):
+    """L-02 batch twin: hourly tumbling-window stats per model."""
+    return stats.windowed_stats(inference_log(spark, sf_dir))
