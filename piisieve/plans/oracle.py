@@ -108,3 +108,34 @@ def verify_sql(cands_sql: str, window: int = DEFAULT_WINDOW) -> str:
     return f"""(
 SELECT *, {verify_select_sql()}
 FROM (SELECT *, {narrow_sql(window)} AS vctx FROM {cands_sql} c0) c1)"""
+
+
+def model_label_verdicts_sql(models) -> str:
+    """Label-level verdicts of the rule-verifier variants (see operators.consolidate)."""
+    from ..operators.consolidate import REASON_NO_GUARD
+    parts = []
+    for i, m in enumerate(models):
+        if m.mode == "guards_only":
+            verdict = f"guard_reason IS NULL AS verified, coalesce(guard_reason, {q(REASON_NO_GUARD)}) AS reason"
+        else:
+            verdict = "verified, reason"
+        types = "" if m.types is None else "WHERE entity_type IN (" + ", ".join(q(t) for t in m.types) + ")"
+        parts.append(f"SELECT doc_id, label, first_pos, {q(m.name)} AS model, {i} AS model_idx, {verdict} "
+                     f"FROM {verify_sql(detect_sql(), m.window)} v{i} {types}")
+    union = "\nUNION ALL\n".join(parts)
+    return f"""(
+SELECT doc_id, model, model_idx, label, bool_or(verified) AS verified,
+       arg_min(reason, (NOT verified, first_pos)) AS reason
+FROM ({union}) u GROUP BY doc_id, model, model_idx, label)"""
+
+
+def truncate_sql(col: str, n: int = 200) -> str:
+    return f"CASE WHEN length({col}) <= {n} THEN {col} ELSE substring({col}, 1, {n - 3}) || '...' END"
+
+
+def long_sql(models) -> str:
+    """The long consolidation view (record_id, input_text, model, load_order, pii, verified, reason)."""
+    return f"""(
+SELECT CAST(l.doc_id AS VARCHAR) AS record_id, {truncate_sql('d.text')} AS input_text, l.model,
+       CAST(l.model_idx AS BIGINT) AS load_order, l.label AS pii, l.verified, l.reason
+FROM {model_label_verdicts_sql(models)} l JOIN documents d ON d.doc_id = l.doc_id)"""

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, stats, verify
+from ..functions.text import truncate_text
+from ..operators import consolidate, detect, stats, verify
 from ..session import table
 from . import oracle as O
 
@@ -164,3 +165,96 @@ FROM {_LOG_SQL} l GROUP BY 1, model""")
 def q_windowed_stats(spark, sf_dir):
     """L-02 batch twin: hourly tumbling-window stats per model."""
     return stats.windowed_stats(inference_log(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- consolidation
+def rule_batch_results(spark, sf_dir, models=consolidate.RULE_MODELS):
+    """Reasoning-mode batch results of the rule-verifier variants over all documents."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", truncate_text("text", 200).alias("input_text"))
+    cands = candidates(spark, sf_dir)
+    detected = cands.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("PIIs"))
+    records = docs.join(detected, "doc_id", "left").select(
+        "doc_id", "input_text", F.coalesce("PIIs", F.array().cast("array<string>")).alias("PIIs"))
+    labels = consolidate.label_verdicts(consolidate.candidate_model_verdicts(cands, models))
+    batch = consolidate.batch_results(records, labels, models)
+    order = {m.name: i for i, m in enumerate(models)}
+    load_order = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
+    return (batch.join(records.select("doc_id", "input_text"), "doc_id")
+            .withColumn("load_order", F.element_at(load_order, F.col("model")).cast("bigint")))
+
+
+def rule_long(spark, sf_dir, models=consolidate.RULE_MODELS):
+    batch = rule_batch_results(spark, sf_dir, models)
+    return consolidate.results_long(batch, id_col="doc_id", input_col="input_text")
+
+
+_MODELS = consolidate.RULE_MODELS
+_LONG = O.long_sql(_MODELS)
+
+
+def _pivot_sql(models) -> str:
+    cells = []
+    for m in models:
+        n = m.name
+        cells.append(f"coalesce(max(CASE WHEN model = {O.q(n)} THEN CASE WHEN verified THEN 'YES' ELSE 'NO' END END), 'N/A') AS \"{n}_Verified\"")
+        cells.append(f"coalesce(max(CASE WHEN model = {O.q(n)} THEN reason END), 'Not processed by this model') AS \"{n}_Reason\"")
+    return f"""SELECT record_id, arg_min(input_text, load_order) AS input_text, pii, {', '.join(cells)}
+FROM {_LONG} l GROUP BY record_id, pii"""
+
+
+@register("consolidated_comparison", _pivot_sql(_MODELS))
+def q_consolidated(spark, sf_dir):
+    """E-18 ... E-20, C-13, I-13, D-08, G-05: wide YES/NO/N/A comparison of verifiers."""
+    return consolidate.consolidate(rule_long(spark, sf_dir), [m.name for m in _MODELS])
+
+
+@register("verifier_consensus", f"""
+SELECT record_id, pii, CAST(count(*) AS BIGINT) AS n_models, CAST(count_if(verified) AS BIGINT) AS n_verified,
+  count(DISTINCT verified) = 1 AS all_agree, bool_or(verified) AS any_verified,
+  bool_and(verified) AS all_verified, count_if(verified) / count(*) AS vote_share
+FROM {_LONG} l GROUP BY record_id, pii""")
+def q_consensus(spark, sf_dir):
+    """E-21: agreement of the verifiers per (record, pii)."""
+    return consolidate.consensus(rule_long(spark, sf_dir))
+
+
+@register("rejection_by_type", f"""
+SELECT pii, model, CAST(grouping(pii, model) AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n,
+  CAST(count_if(NOT verified) AS BIGINT) AS n_rejected, count_if(NOT verified) / count(*) AS rejection_rate
+FROM {_LONG} l GROUP BY ROLLUP (pii, model)""")
+def q_rejection_by_type(spark, sf_dir):
+    """E-22: rejection rate per PII type and verifier with rollup subtotals."""
+    return consolidate.rejection_by_type(rule_long(spark, sf_dir))
+
+
+@register("record_pii_counts", f"""
+SELECT record_id, CAST(count(DISTINCT pii) AS BIGINT) AS n_piis, CAST(count(DISTINCT model) AS BIGINT) AS n_models
+FROM {_LONG} l GROUP BY record_id""")
+def q_record_pii_counts(spark, sf_dir):
+    """E-16: distinct PIIs per record (and reporting models)."""
+    return consolidate.record_pii_counts(rule_long(spark, sf_dir))
+
+
+def _batch_summary_sql(models) -> str:
+    names = ", ".join(O.q(m.name) for m in models)
+    return f"""
+WITH det AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS piis FROM {O.detect_sql()} c GROUP BY doc_id),
+rec AS (SELECT d.doc_id, coalesce(det.piis, []::VARCHAR[]) AS piis FROM documents d LEFT JOIN det ON d.doc_id = det.doc_id),
+rm AS (SELECT doc_id, piis, unnest([{names}]) AS model FROM rec),
+lv AS {O.model_label_verdicts_sql(models)},
+per AS (SELECT doc_id, model, list_sort(list(label) FILTER (WHERE verified)) AS ok,
+               count(*) AS n_items FROM lv GROUP BY doc_id, model)
+SELECT rm.doc_id, rm.model, len(rm.piis) = 0 AS short_circuit, CAST(len(rm.piis) AS INTEGER) AS n_detected,
+  CAST(CASE WHEN len(rm.piis) = 0 THEN 0 ELSE coalesce(len(per.ok), 0) END AS INTEGER) AS n_verified,
+  CASE WHEN len(rm.piis) = 0 THEN FALSE ELSE coalesce(len(per.ok), 0) > 0 END AS any_verified,
+  CASE WHEN len(rm.piis) > 0 AND coalesce(len(per.ok), 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN len(rm.piis) = 0 THEN '' ELSE array_to_string(coalesce(per.ok, []::VARCHAR[]), '|') END AS verified,
+  array_to_string(list_sort(list_filter(rm.piis, lambda x: NOT list_contains(CASE WHEN len(rm.piis) = 0 THEN []::VARCHAR[] ELSE coalesce(per.ok, []::VARCHAR[]) END, x))), '|') AS rejected
+FROM rm LEFT JOIN per ON rm.doc_id = per.doc_id AND rm.model = per.model"""
+
+
+@register("batch_result_summary", _batch_summary_sql(_MODELS))
+def q_batch_result_summary(spark, sf_dir):
+    """C-02/C-03/E-13/H-06: per (record, model) batch result with short circuit and counts."""
+    return consolidate.batch_result_summary(rule_batch_results(spark, sf_dir))
