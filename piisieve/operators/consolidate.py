@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalogue as cat
@@ -74,18 +74,20 @@ def label_verdicts(cand_verdicts: DataFrame) -> DataFrame:
 def batch_results(records: DataFrame, labels: DataFrame, models=RULE_MODELS) -> DataFrame:
     """C-02/C-03: one reasoning-mode ``BatchResult`` per (record, model).
 
-    ``records``: (doc_id, PIIs); ``labels``: output of ``label_verdicts``. Records without
+    ``records``: (doc_id, PIIs, extra columns carried through); ``labels``: output of
+    ``label_verdicts``. Records without
     detected labels short-circuit to ``verified_piis = []`` and latency 0.0 (not scored);
     a model that does not handle a label leaves it out of its reply.
     """
     per = labels.groupBy("doc_id", "model").agg(F.array_sort(F.collect_list(
         F.struct(F.col("label").alias("pii"), "verified", "reason"))).alias("_v"))
     names = F.array(*[F.lit(m.name) for m in models])
-    rows = records.select("doc_id", "PIIs", F.explode(names).alias("model"))
+    extra = [c for c in records.columns if c not in ("doc_id", "PIIs")]
+    rows = records.select("doc_id", "PIIs", *extra, F.explode(names).alias("model"))
     out = rows.join(per, ["doc_id", "model"], "left")
     empty = F.size("PIIs") == 0
     return out.select(
-        "doc_id", "model", F.col("PIIs").alias("detected_piis"),
+        "doc_id", "model", *extra, F.col("PIIs").alias("detected_piis"),
         F.when(empty, F.array().cast(f"array<{VERDICT_ITEM}>"))
          .otherwise(F.coalesce("_v", F.array().cast(f"array<{VERDICT_ITEM}>")))
          .alias("verified_piis"),
@@ -143,8 +145,11 @@ def consolidate(long: DataFrame, models: list[str]) -> DataFrame:
     ``{model}_Reason``. ``models`` fixes the pivot values and their column order.
     """
     order = F.struct("load_order", "item_pos")
-    inputs = long.groupBy("record_id").agg(F.min_by("input_text", order).alias("input_text"))
-    cells = (long.groupBy("record_id", "pii")
+    # First-seen input per record as a window on record_id: the following groupBy on
+    # (record_id, pii) is already clustered by record_id, so both share one shuffle.
+    first_input = F.min_by("input_text", order).over(Window.partitionBy("record_id"))
+    cells = (long.withColumn("input_text", first_input)
+             .groupBy("record_id", "pii", "input_text")
              .pivot("model", models)
              .agg(F.max_by(F.struct("verified", "reason"), order)))
     cols = [F.col("record_id"), F.col("input_text"), F.col("pii")]
@@ -154,7 +159,7 @@ def consolidate(long: DataFrame, models: list[str]) -> DataFrame:
                     .when(c.verified, F.lit("YES")).otherwise(F.lit("NO")).alias(f"{m}_Verified"))
         cols.append(F.when(c.isNull(), F.lit(cat.CONSOLIDATE_NOT_PROCESSED))
                     .otherwise(c.reason).alias(f"{m}_Reason"))
-    return cells.join(inputs, "record_id").select(*cols).orderBy("record_id", "pii")
+    return cells.select(*cols).orderBy("record_id", "pii")
 
 
 def consensus(long: DataFrame) -> DataFrame:

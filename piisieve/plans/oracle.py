@@ -139,3 +139,184 @@ def long_sql(models) -> str:
 SELECT CAST(l.doc_id AS VARCHAR) AS record_id, {truncate_sql('d.text')} AS input_text, l.model,
        CAST(l.model_idx AS BIGINT) AS load_order, l.label AS pii, l.verified, l.reason
 FROM {model_label_verdicts_sql(models)} l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+# ----------------------------------------------------------------------------- text helpers
+_WS = "[ \\t\\n\\r\\f\\x0B]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def words_sql(x: str) -> str:
+    s = strip_sql(x)
+    return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({s}, '{_WS}+') END)"
+
+
+def draw_sql(seed: str, m: int, *parts: str) -> str:
+    from ..functions.draw import draw_sql as d
+    return d(seed, m, *parts)
+
+
+def detected_records_sql() -> str:
+    """Documents with at least one detected label: (doc_id, text, piis sorted distinct)."""
+    return f"""(SELECT d.doc_id, d.text, c.piis FROM documents d JOIN
+  (SELECT doc_id, list_sort(list_distinct(list(label))) AS piis FROM {detect_sql()} c0 GROUP BY doc_id) c
+  ON d.doc_id = c.doc_id)"""
+
+
+def json_slice_sql(s: str) -> str:
+    last = f"(length({s}) - strpos(reverse({s}), '}}') + 1)"
+    return (f"(CASE WHEN strpos({s}, '{{') > 0 AND strpos({s}, '}}') > 0 AND {last} > strpos({s}, '{{') "
+            f"THEN substring({s}, strpos({s}, '{{'), {last} - strpos({s}, '{{') + 1) END)")
+
+
+# ----------------------------------------------------------------------------- prompts
+def render_sql(template: str, values: dict[str, str]) -> str:
+    from ..operators.prompts import _PH
+    pieces, pos = [], 0
+    for m in _PH.finditer(template):
+        if m.group(1) in values:
+            pieces.append(q(template[pos:m.start()]))
+            pieces.append(f"({values[m.group(1)]})")
+            pos = m.end()
+    pieces.append(q(template[pos:]))
+    return "(" + " || ".join(pieces) + ")"
+
+
+def catalogue_map_sql() -> str:
+    d = {}
+    for name, _c, desc in cat.LABEL_CATALOGUE:
+        if name and desc:
+            d[name] = desc
+    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in d.items()) + "}"
+
+
+def list_repr_sql(lst: str) -> str:
+    return (f"('[' || array_to_string(list_transform({lst}, lambda x: CASE WHEN strpos(x, '''') > 0 "
+            f"THEN '\"' || x || '\"' ELSE '''' || x || '''' END), ', ') || ']')")
+
+
+def describe_sql(lst: str) -> str:
+    return (f"(CASE WHEN len({lst}) = 0 THEN {q(cat.NO_PIIS)} ELSE array_to_string(list_transform({lst}, "
+            f"lambda p: '- **' || p || '**: ' || coalesce(({catalogue_map_sql()})[p], {q(cat.NO_DESCRIPTION)})), "
+            f"chr(10)) END)")
+
+
+def batch_prompt_sql(text: str, lst: str, mode: str) -> str:
+    return render_sql(cat.BATCH_PROMPT, {
+        "input_text": text, "detected_piis": list_repr_sql(lst),
+        "element_descriptions": describe_sql(lst),
+        "response_rules": f"CASE WHEN {mode} = 'reasoning' THEN {q(cat.REASONING_RULES)} ELSE {q(cat.SIMPLE_RULES)} END",
+        "output_example": f"CASE WHEN {mode} = 'reasoning' THEN {q(cat.REASONING_EXAMPLE)} ELSE {q(cat.SIMPLE_EXAMPLE)} END",
+    })
+
+
+def single_prompt_sql(ctx: str, t: str, v: str) -> str:
+    return render_sql(cat.SINGLE_PROMPT, {"context": ctx, "entity_type": t, "entity_value": v})
+
+
+# ----------------------------------------------------------------------------- replies
+def simple_reply_sql(id_col: str, lst: str) -> str:
+    from ..operators.scorer import KEEP_REASON  # noqa: F401
+    kept = f"list_filter({lst}, lambda d: {draw_sql('keep', 10, id_col, 'd')} < 7)"
+    vs = f"(CASE WHEN len({kept}) = 0 THEN 'NONE' ELSE array_to_string({kept}, ', ') END)"
+    firsts = (f"(CASE WHEN len({kept}) = 0 THEN 'NONE' ELSE array_to_string(list_transform({kept}, "
+              f"lambda v: split_part(v, ' ', 1)), ', ') END)")
+    as_json = (f"('superf00k {{\"verified_piis\":[' || array_to_string(list_transform({kept}, "
+               f"lambda v: '\"' || v || '\"'), ',') || ']}}')")
+    k = draw_sql("simple", 10, id_col)
+    return (f"(CASE WHEN {k} <= 1 THEN {vs} WHEN {k} = 2 THEN 'Here is the list: ' || {vs} "
+            f"WHEN {k} = 3 THEN lower({vs}) WHEN {k} = 4 THEN {firsts} "
+            f"WHEN {k} = 5 THEN {vs} || chr(10) || 'These are verified.' "
+            f"WHEN {k} = 6 THEN 'I apologize, ' || {vs} WHEN {k} = 7 THEN {as_json} "
+            f"WHEN {k} = 8 THEN '' ELSE 'Salary, Weight' END)")
+
+
+def reasoning_reply_sql(id_col: str, lst: str) -> str:
+    from ..operators.scorer import DROP_REASON, KEEP_REASON
+    keep = f"({draw_sql('keep', 10, id_col, 'd')} < 7)"
+    item = (f"'{{\"pii\": \"' || d || '\", \"verified\": ' || CASE WHEN {keep} THEN 'true' ELSE 'false' END "
+            f"|| ', \"reason\": \"' || CASE WHEN {keep} THEN {q(KEEP_REASON)} ELSE {q(DROP_REASON)} END || '\"}}'")
+    body = f"('{{\"results\": [' || array_to_string(list_transform({lst}, lambda d: {item}), ', ') || ']}}')"
+    k = draw_sql("reasoning", 10, id_col)
+    return (f"(CASE WHEN {k} <= 2 THEN {body} "
+            f"WHEN {k} = 3 THEN '```json' || chr(10) || {body} || chr(10) || '```' "
+            f"WHEN {k} = 4 THEN replace(replace({body}, ': true', ': True'), ': false', ': False') "
+            f"WHEN {k} = 5 THEN '```' WHEN {k} = 6 THEN '{{\"answer\": []}}' "
+            f"WHEN {k} = 7 THEN 'I cannot say.' WHEN {k} = 8 THEN substring({body}, 1, strpos({body}, '}}')) "
+            f"ELSE {body} || ' and {{\"x\": 1}}' END)")
+
+
+def single_reply_sql(id_col: str, v: str) -> str:
+    from ..operators.scorer import SINGLE_REPLIES
+    k = draw_sql("single", len(SINGLE_REPLIES), id_col, v)
+    return "(CASE " + " ".join(f"WHEN {k} = {i} THEN {q(r)}" for i, r in enumerate(SINGLE_REPLIES)) + " END)"
+
+
+def parse_single_sql(reply: str) -> str:
+    """SELECT fragment: verified, confidence, reason, parse_path from a single-entity reply."""
+    sl = json_slice_sql(reply)
+    bad_conf = (f"(json_exists({sl}, '$.confidence') AND "
+                f"TRY_CAST(json_extract_string({sl}, '$.confidence') AS DOUBLE) IS NULL)")
+    path = (f"(CASE WHEN {sl} IS NULL THEN 'P-02' WHEN NOT json_valid({sl}) THEN 'P-03' "
+            f"WHEN {bad_conf} THEN 'P-03' ELSE 'P-01' END)")
+    yes = f"(contains(lower({reply}), 'true') OR contains(lower({reply}), 'yes'))"
+    return f"""CASE WHEN {path} = 'P-01' THEN (CASE WHEN json_exists({sl}, '$.verified') THEN TRY_CAST(json_extract_string({sl}, '$.verified') AS BOOLEAN) ELSE TRUE END)
+       WHEN {path} = 'P-02' THEN {yes} ELSE TRUE END AS verified,
+  CAST(CASE WHEN {path} = 'P-01' THEN (CASE WHEN json_exists({sl}, '$.confidence') THEN TRY_CAST(json_extract_string({sl}, '$.confidence') AS DOUBLE) ELSE 0.5 END)
+       WHEN {path} = 'P-02' THEN (CASE WHEN {yes} THEN 0.7 ELSE 0.6 END) ELSE 0.5 END AS DOUBLE) AS confidence,
+  CASE WHEN {path} = 'P-01' THEN (CASE WHEN json_exists({sl}, '$.reason') THEN json_extract_string({sl}, '$.reason') ELSE {q(cat.REASON_SINGLE_DEFAULT)} END)
+       WHEN {path} = 'P-02' THEN {q(cat.REASON_SINGLE_TEXT)} ELSE 'Parse error: invalid JSON' END AS reason,
+  {path} AS parse_path"""
+
+
+def parse_reasoning_sql(src: str) -> str:
+    """From rows (doc_id, piis, raw_response) -> (doc_id, parse_path, items)."""
+    nl = "chr(10)"
+    return f"""(
+WITH s0 AS (SELECT doc_id, piis, {strip_sql("coalesce(raw_response, '')")} AS rc0 FROM {src} x),
+s1 AS (SELECT *, string_split(rc0, {nl})[2:] AS body FROM s0),
+s2 AS (SELECT doc_id, piis, CASE WHEN starts_with(rc0, '```') THEN {strip_sql(f"array_to_string(CASE WHEN len(body) > 0 AND {strip_sql('body[-1]')} = '```' THEN body[1:len(body) - 1] ELSE body END, {nl})")} ELSE rc0 END AS rc FROM s1),
+s3 AS (SELECT *, {json_slice_sql('rc')} AS sl FROM s2),
+s4 AS (SELECT *, replace(replace(sl, ': True', ': true'), ': False', ': false') AS fx FROM s3),
+s5 AS (SELECT *, CASE WHEN rc = '' OR rc = '```' THEN 'P-04' WHEN sl IS NULL THEN 'P-07'
+                      WHEN NOT json_valid(fx) THEN 'P-08'
+                      WHEN coalesce(json_type(fx, '$.results') = 'ARRAY', FALSE) THEN 'P-05' ELSE 'P-06' END AS parse_path FROM s4)
+SELECT doc_id, parse_path, CASE
+  WHEN parse_path = 'P-04' THEN list_transform(piis, lambda d: {{'pii': d, 'verified': FALSE, 'reason': {q(cat.REASON_EMPTY_REPLY)}}})
+  WHEN parse_path = 'P-07' THEN list_transform(piis, lambda d: {{'pii': d, 'verified': FALSE, 'reason': {q(cat.REASON_NO_JSON)}}})
+  WHEN parse_path = 'P-08' THEN list_transform(piis, lambda d: {{'pii': d, 'verified': TRUE, 'reason': {q(cat.REASON_DECODE_FAILED)}}})
+  WHEN parse_path = 'P-05' THEN list_transform(list_filter(json_extract(fx, '$.results[*]'), lambda j: json_type(j) = 'OBJECT'),
+        lambda j: {{'pii': json_extract_string(j, '$.pii'), 'verified': TRY_CAST(json_extract_string(j, '$.verified') AS BOOLEAN), 'reason': json_extract_string(j, '$.reason')}})
+  ELSE list_transform(piis, lambda d: {{'pii': d, 'verified': FALSE, 'reason': {q(cat.REASON_BAD_STRUCTURE)}}}) END AS items
+FROM s5)"""
+
+
+def parse_simple_sql(src: str) -> str:
+    """From rows (doc_id, piis, raw_response) -> (doc_id, parse_path, verified list)."""
+    starts = " OR ".join(f"starts_with(lower(r0), {q(p)})" for p in cat.GARBAGE_PREFIXES)
+    stops = " OR ".join(f"contains(lower(p), {q(w)})" for w in cat.STOP_WORDS)
+    nl = "chr(10)"
+    stop_match = "(lower(p) = lower(d) OR contains(lower(d), lower(p)) OR contains(lower(p), lower(d)))"
+    match = (f"coalesce(list_filter(piis, lambda d: {stop_match})[1], "
+             f"list_filter(piis, lambda d: list_has_any({words_sql('lower(p)')}, {words_sql('lower(d)')}))[-1])")
+    return f"""(
+WITH s0 AS (SELECT doc_id, piis, coalesce(raw_response, '') AS raw, {strip_sql("coalesce(raw_response, '')")} AS r0 FROM {src} x),
+s1 AS (SELECT *, list_filter(piis, lambda d: strpos(r0, d) > 1)[1] AS hit FROM s0),
+s2 AS (SELECT *, CASE WHEN ({starts}) AND hit IS NOT NULL THEN substring(r0, strpos(r0, hit)) ELSE r0 END AS r1 FROM s1),
+s3 AS (SELECT *, list_filter(list_transform(string_split(r1, ','), lambda p: {strip_sql('p')}), lambda p: p <> '' AND upper(p) <> 'NONE') AS pa FROM s2),
+s4 AS (SELECT *, list_filter(list_transform(pa, lambda p: CASE WHEN strpos(p, {nl}) > 0 THEN {strip_sql(f"split_part(p, {nl}, 1)")} ELSE p END),
+                             lambda p: length(p) < 100 AND NOT ({stops})) AS parts FROM s3),
+s5 AS (SELECT *, list_filter(list_transform(parts, lambda p: {match}), lambda x: x IS NOT NULL AND x <> '') AS m0,
+              {json_slice_sql('raw')} AS sl FROM s4),
+s6 AS (SELECT *, list_filter(list_transform(range(1, len(m0) + 1), lambda i: CASE WHEN list_position(m0, m0[i]) = i THEN m0[i] END), lambda x: x IS NOT NULL) AS matched FROM s5),
+s7 AS (SELECT *, CASE WHEN contains(upper(substring(r1, 1, 20)), 'NONE') THEN 'P-11'
+                      WHEN len(parts) > 0 THEN 'P-13'
+                      WHEN sl IS NOT NULL AND NOT json_valid(sl) THEN 'P-15'
+                      WHEN sl IS NOT NULL AND coalesce(json_type(sl, '$.verified_piis') = 'ARRAY', FALSE) THEN 'P-14'
+                      ELSE 'P-15' END AS parse_path FROM s6)
+SELECT doc_id, parse_path, CASE WHEN parse_path = 'P-11' THEN []::VARCHAR[] WHEN parse_path = 'P-13' THEN matched
+  WHEN parse_path = 'P-14' THEN CAST(json_extract_string(sl, '$.verified_piis[*]') AS VARCHAR[]) ELSE piis END AS verified
+FROM s7)"""

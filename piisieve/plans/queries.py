@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
-from ..operators import consolidate, detect, stats, verify
-from ..session import table
+from ..operators import consolidate, detect, prompts, scorer, stats, verify
+from ..operators import replies as replies_op
+from ..session import cut_lineage, table
 from . import oracle as O
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -172,7 +173,9 @@ def rule_batch_results(spark, sf_dir, models=consolidate.RULE_MODELS):
     """Reasoning-mode batch results of the rule-verifier variants over all documents."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", truncate_text("text", 200).alias("input_text"))
-    cands = candidates(spark, sf_dir)
+    # Detection feeds two branches (detected labels, model verdicts) whose column pruning
+    # differs, so Spark cannot reuse the exchange: materialise the (small) candidates once.
+    cands = cut_lineage(candidates(spark, sf_dir))
     detected = cands.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("PIIs"))
     records = docs.join(detected, "doc_id", "left").select(
         "doc_id", "input_text", F.coalesce("PIIs", F.array().cast("array<string>")).alias("PIIs"))
@@ -180,8 +183,7 @@ def rule_batch_results(spark, sf_dir, models=consolidate.RULE_MODELS):
     batch = consolidate.batch_results(records, labels, models)
     order = {m.name: i for i, m in enumerate(models)}
     load_order = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
-    return (batch.join(records.select("doc_id", "input_text"), "doc_id")
-            .withColumn("load_order", F.element_at(load_order, F.col("model")).cast("bigint")))
+    return batch.withColumn("load_order", F.element_at(load_order, F.col("model")).cast("bigint"))
 
 
 def rule_long(spark, sf_dir, models=consolidate.RULE_MODELS):
@@ -258,3 +260,73 @@ FROM rm LEFT JOIN per ON rm.doc_id = per.doc_id AND rm.model = per.model"""
 def q_batch_result_summary(spark, sf_dir):
     """C-02/C-03/E-13/H-06: per (record, model) batch result with short circuit and counts."""
     return consolidate.batch_result_summary(rule_batch_results(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- prompts & replies
+def detected_docs(spark, sf_dir):
+    """Documents with at least one detected label: (doc_id, text, PIIs sorted distinct)."""
+    docs = _documents(spark, sf_dir)
+    labels = candidates(spark, sf_dir).groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("label")).alias("PIIs"))
+    return docs.join(labels, "doc_id")
+
+
+_DET = O.detected_records_sql()
+
+
+@register("batch_prompts", f"""
+SELECT doc_id, mode, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS prompt_chars, CAST(len(piis) AS INTEGER) AS n_labels
+FROM (SELECT doc_id, mode, piis, {O.batch_prompt_sql('text', 'piis', 'mode')} AS p
+      FROM (SELECT *, unnest(['simple', 'reasoning']) AS mode FROM {_DET} r) r2) t""")
+def q_batch_prompts(spark, sf_dir):
+    """D-03, J-06, I-15, I-16: batch verification prompt per (document, mode)."""
+    pt = prompts.prompt_table(detected_docs(spark, sf_dir), id_col="doc_id", text_col="text")
+    return pt.select("doc_id", "mode", F.md5("prompt").alias("prompt_md5"),
+                     F.length("prompt").alias("prompt_chars"), F.size("PIIs").alias("n_labels"))
+
+
+@register("single_prompts", f"""
+SELECT c.doc_id, c.entity_type, c.entity_value, md5({O.single_prompt_sql('d.text', 'c.entity_type', 'c.entity_value')}) AS prompt_md5,
+  CAST(length({O.single_prompt_sql('d.text', 'c.entity_type', 'c.entity_value')}) AS INTEGER) AS prompt_chars
+FROM {O.detect_sql()} c JOIN documents d ON c.doc_id = d.doc_id""")
+def q_single_prompts(spark, sf_dir):
+    """J-05: single-entity prompt per candidate (context = the whole document)."""
+    docs = _documents(spark, sf_dir)
+    cands = candidates(spark, sf_dir).select("doc_id", "entity_type", "entity_value")
+    p = prompts.single_prompt(F.col("text"), F.col("entity_type"), F.col("entity_value"))
+    return cands.join(docs, "doc_id").select(
+        "doc_id", "entity_type", "entity_value", F.md5(p).alias("prompt_md5"),
+        F.length(p).alias("prompt_chars"))
+
+
+@register("parse_simple_replies", f"""
+SELECT doc_id, parse_path, array_to_string(verified, '|') AS verified, CAST(len(verified) AS INTEGER) AS n_verified
+FROM {O.parse_simple_sql(f"(SELECT doc_id, piis, {O.simple_reply_sql('doc_id', 'piis')} AS raw_response FROM {_DET} r)")} p""")
+def q_parse_simple(spark, sf_dir):
+    """P-10 ... P-15 on simple-mode replies of the seeded stand-in model."""
+    replies = scorer.simulated_replies(detected_docs(spark, sf_dir), "simple")
+    p = replies.select("doc_id", replies_op.parse_simple(F.col("raw_response"), F.col("PIIs")).alias("p"))
+    return p.select("doc_id", "p.parse_path", F.array_join("p.verified", "|").alias("verified"),
+                    F.size("p.verified").alias("n_verified"))
+
+
+@register("parse_reasoning_replies", f"""
+SELECT doc_id, parse_path, CAST(unnest(range(len(items))) AS INTEGER) AS item_pos, unnest(items, recursive := true)
+FROM {O.parse_reasoning_sql(f"(SELECT doc_id, piis, {O.reasoning_reply_sql('doc_id', 'piis')} AS raw_response FROM {_DET} r)")} p""")
+def q_parse_reasoning(spark, sf_dir):
+    """P-04 ... P-09 on reasoning-mode replies of the seeded stand-in model (long form)."""
+    replies = scorer.simulated_replies(detected_docs(spark, sf_dir), "reasoning")
+    p = replies.select("doc_id", replies_op.parse_reasoning(F.col("raw_response"), F.col("PIIs")).alias("p"))
+    return p.select("doc_id", "p.parse_path", F.posexplode("p.items").alias("item_pos", "item")).select(
+        "doc_id", "parse_path", "item_pos", "item.pii", "item.verified", "item.reason")
+
+
+@register("parse_single_replies", f"""
+SELECT doc_id, entity_value, {O.parse_single_sql('raw_response')}
+FROM (SELECT doc_id, entity_value, {O.single_reply_sql('doc_id', 'entity_value')} AS raw_response FROM {O.detect_sql()} c) r""")
+def q_parse_single(spark, sf_dir):
+    """P-01 ... P-03 on single-entity replies of the seeded stand-in model."""
+    cands = candidates(spark, sf_dir).select("doc_id", "entity_value")
+    r = cands.withColumn("raw_response", scorer.single_reply("doc_id", F.col("entity_value")))
+    return r.select("doc_id", "entity_value", replies_op.parse_single(F.col("raw_response")).alias("p")).select(
+        "doc_id", "entity_value", "p.verified", "p.confidence", "p.reason", "p.parse_path")
