@@ -41,7 +41,10 @@ def narrow_context(context: Column, ctx_offset: Column, value: Column, window: i
     return F.substring(context, start + 1, ctx_offset - start + F.length(value) + window)
 
 
-def _rule_hit(scope: str, pattern: str, value: Column, context: Column) -> Column:
+def _rule_hit(scope: str, pattern: str, value: Column, context: Column,
+              after: Column | None) -> Column:
+    if scope == "after":
+        return (after if after is not None else F.lit("")).rlike(pattern)
     if scope == "value":
         return value.rlike(pattern)
     if scope == "context":
@@ -53,25 +56,27 @@ def _rule_hit(scope: str, pattern: str, value: Column, context: Column) -> Colum
     raise ValueError(scope)
 
 
-def _first_match(rules, etype: Column, value: Column, context: Column, pick) -> Column:
+def _first_match(rules, etype: Column, value: Column, context: Column, pick,
+                 after: Column | None = None) -> Column:
     expr = None
     for r in rules:
-        cond = (etype == r[0]) & _rule_hit(r[2], r[3], value, context)
+        cond = (etype == r[0]) & _rule_hit(r[2], r[3], value, context, after)
         expr = F.when(cond, pick(r)) if expr is None else expr.when(cond, pick(r))
     return expr if expr is not None else F.lit(None)
 
 
-def rule_columns(etype: Column, value: Column, context: Column, rules=None) -> dict[str, Column]:
+def rule_columns(etype: Column, value: Column, context: Column, rules=None,
+                 after: Column | None = None) -> dict[str, Column]:
     """Columns for guard reason, the three tri-state tests, verdict, confidence and reason."""
     rules = rules or cat.VERIFY_RULES
     guards = [r for r in rules if r[1] == "guard"]
-    guard = _first_match(guards, etype, value, context, lambda r: F.lit(r[5])).cast("string")
+    guard = _first_match(guards, etype, value, context, lambda r: F.lit(r[5]), after).cast("string")
     tests, why = {}, {}
     for t in cat.TESTS:
         tr = [r for r in rules if r[1] == t]
-        raw = _first_match(tr, etype, value, context, lambda r: F.lit(r[4])).cast("boolean")
+        raw = _first_match(tr, etype, value, context, lambda r: F.lit(r[4]), after).cast("boolean")
         tests[t] = F.when(guard.isNotNull(), F.lit(False)).otherwise(raw)
-        why[t] = _first_match(tr, etype, value, context, lambda r: F.lit(r[5])).cast("string")
+        why[t] = _first_match(tr, etype, value, context, lambda r: F.lit(r[5]), after).cast("string")
     all_false = None
     for t in cat.TESTS:
         f = ~F.coalesce(tests[t], F.lit(True))
@@ -95,10 +100,63 @@ def verify_candidates(cands: DataFrame, window: int = DEFAULT_WINDOW, rules=None
     Adds ``own, spec, ctx, guard_reason, verified, confidence, reason``.
     """
     ctx = narrow_context(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), window)
-    cols = rule_columns(F.col("entity_type"), F.col("entity_value"), ctx, rules)
+    cols = rule_columns(F.col("entity_type"), F.col("entity_value"), ctx, rules,
+                        after_value(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), window))
     return cands.select("*", *[c.alias(k) for k, c in cols.items()])
 
 
+def after_value(context: Column, ctx_offset: Column, value: Column, window: int) -> Column:
+    """The ``window`` characters right after the value inside its context."""
+    return F.substring(context, ctx_offset + F.length(value) + 1, F.lit(window))
+
+
+def entity_candidates(records: DataFrame, id_col: str = "recordId", text_col: str = "input",
+                      type_col: str = "entityType", value_col: str = "entityValue",
+                      context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """``EntityRecord`` rows (value given by an upstream detector) as verifier candidates."""
+    text, value = F.col(text_col), F.col(value_col)
+    pos = F.instr(text, value)
+    start = F.greatest(pos - context_chars, F.lit(1))
+    return records.select(
+        "*", F.col(type_col).alias("entity_type"), value.alias("entity_value"),
+        pos.cast("bigint").alias("first_pos"),
+        F.substring(text, start, pos - start + F.length(value) + context_chars).alias("context"),
+        (pos - start).cast("int").alias("ctx_offset"))
+
+
+def confusion_metrics(df: DataFrame, pred_col: str = "verified", truth_col: str = "is_true_positive",
+                      by: str = "entityType") -> DataFrame:
+    """E-12: tp/fp/fn/tn, precision, recall, F1, false-positive rate; ROLLUP adds a total row.
+
+    Ratios are NULL when their denominator is 0; F1 uses the count form 2tp/(2tp+fp+fn).
+    """
+    p, t = F.col(pred_col), F.col(truth_col)
+    agg = df.rollup(by).agg(
+        F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"),
+        F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
+    d = lambda a, b: F.try_divide(a.cast("double"), b)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return agg.select(by, "tp", "fp", "fn", "tn",
+                      d(tp, tp + fp).alias("precision"), d(tp, tp + fn).alias("recall"),
+                      d(2 * tp, 2 * tp + fp + fn).alias("f1"), d(fp, fp + tn).alias("fpr"))
+
+
+def match_outputs(inputs: DataFrame, outputs: DataFrame, key: str = "recordId",
+                  order_col: str | None = None, how: str = "inner") -> DataFrame:
+    """D-01/D-02: join inputs to outputs on ``key``; duplicates keep the last row per side.
+
+    ``how='left_anti'`` lists inputs that have no output. Deduplication is a ``max_by`` per
+    key (partial aggregation), never a collect.
+    """
+    def last(df):
+        if order_col is None or order_col not in df.columns:
+            return df.dropDuplicates([key])
+        cols = [c for c in df.columns if c != key]
+        row = F.max_by(F.struct(*cols), order_col).alias("_row")
+        return df.groupBy(key).agg(row).select(key, "_row.*")
+    return last(inputs).join(last(outputs), key, how)
+
+
 def verification_summary(verdicts: DataFrame, by: str = "entity_type") -> DataFrame:
     """E-01/E-02 per group: total, verified, rejected, verification_rate (0 when empty)."""
     return (verdicts.groupBy(by).agg(

@@ -54,6 +54,8 @@ def luhn_fail_sql(v: str) -> str:
 
 
 def _hit_sql(scope: str, pattern: str, v: str, c: str) -> str:
+    if scope == "after":
+        return f"regexp_matches(vafter, {q(pattern)})"
     if scope == "value":
         return f"regexp_matches({v}, {q(pattern)})"
     if scope == "context":
@@ -107,7 +109,9 @@ def narrow_sql(window: int = DEFAULT_WINDOW) -> str:
 def verify_sql(cands_sql: str, window: int = DEFAULT_WINDOW) -> str:
     return f"""(
 SELECT *, {verify_select_sql()}
-FROM (SELECT *, {narrow_sql(window)} AS vctx FROM {cands_sql} c0) c1)"""
+FROM (SELECT *, {narrow_sql(window)} AS vctx,
+             substring(context, ctx_offset + length(entity_value) + 1, {window}) AS vafter
+      FROM {cands_sql} c0) c1)"""
 
 
 def model_label_verdicts_sql(models) -> str:
@@ -320,3 +324,11 @@ s7 AS (SELECT *, CASE WHEN contains(upper(substring(r1, 1, 20)), 'NONE') THEN 'P
 SELECT doc_id, parse_path, CASE WHEN parse_path = 'P-11' THEN []::VARCHAR[] WHEN parse_path = 'P-13' THEN matched
   WHEN parse_path = 'P-14' THEN CAST(json_extract_string(sl, '$.verified_piis[*]') AS VARCHAR[]) ELSE piis END AS verified
 FROM s7)"""
+
+
+def entity_candidates_sql(src: str, w: int = CONTEXT_CHARS) -> str:
+    pos = "strpos(input, entityValue)"
+    start = f"greatest({pos} - {w}, 1)"
+    return f"""(SELECT *, entityType AS entity_type, entityValue AS entity_value, CAST({pos} AS BIGINT) AS first_pos,
+  substring(input, {start}, {pos} - {start} + length(entityValue) + {w}) AS context,
+  CAST({pos} - {start} AS INTEGER) AS ctx_offset FROM {src} g)"""

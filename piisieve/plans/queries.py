@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
-from ..operators import consolidate, detect, prompts, scorer, stats, verify
+from ..operators import consolidate, datagen, detect, prompts, scorer, stats, verify
 from ..operators import replies as replies_op
 from ..session import cut_lineage, table
 from . import oracle as O
@@ -330,3 +330,34 @@ def q_parse_single(spark, sf_dir):
     r = cands.withColumn("raw_response", scorer.single_reply("doc_id", F.col("entity_value")))
     return r.select("doc_id", "entity_value", replies_op.parse_single(F.col("raw_response")).alias("p")).select(
         "doc_id", "entity_value", "p.verified", "p.confidence", "p.reason", "p.parse_path")
+
+
+# --------------------------------------------------------------------------- generated data & accuracy
+def _seeds(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+
+
+_GEN_ALL = f"({datagen.generate_sql('(SELECT doc_id AS id FROM documents)', 'all')})"
+
+
+@register("generated_entity_tests", f"SELECT * FROM {_GEN_ALL} g")
+def q_generated_entity_tests(spark, sf_dir):
+    """K-01 ... K-05, H-01: seeded labelled entity records, one per document and generator."""
+    return datagen.generate(_seeds(spark, sf_dir), "all").drop("metadata")
+
+
+@register("entity_verification_metrics", f"""
+SELECT entityType, CAST(count_if(verified AND is_true_positive) AS BIGINT) AS tp,
+  CAST(count_if(verified AND NOT is_true_positive) AS BIGINT) AS fp,
+  CAST(count_if(NOT verified AND is_true_positive) AS BIGINT) AS fn,
+  CAST(count_if(NOT verified AND NOT is_true_positive) AS BIGINT) AS tn,
+  count_if(verified AND is_true_positive) / nullif(count_if(verified AND is_true_positive) + count_if(verified AND NOT is_true_positive), 0) AS precision,
+  count_if(verified AND is_true_positive) / nullif(count_if(verified AND is_true_positive) + count_if(NOT verified AND is_true_positive), 0) AS recall,
+  2 * count_if(verified AND is_true_positive) / nullif(2 * count_if(verified AND is_true_positive) + count_if(verified AND NOT is_true_positive) + count_if(NOT verified AND is_true_positive), 0) AS f1,
+  count_if(verified AND NOT is_true_positive) / nullif(count_if(verified AND NOT is_true_positive) + count_if(NOT verified AND NOT is_true_positive), 0) AS fpr
+FROM {O.verify_sql(O.entity_candidates_sql(_GEN_ALL))} v GROUP BY ROLLUP (entityType)""")
+def q_entity_verification_metrics(spark, sf_dir):
+    """E-12 / D-09: rule-verifier precision, recall, F1 and FPR against generated truth."""
+    tests = datagen.generate(_seeds(spark, sf_dir), "all")
+    verdicts = verify.verify_candidates(verify.entity_candidates(tests))
+    return verify.confusion_metrics(verdicts)
