@@ -147,3 +147,37 @@ def simulated_replies(records: DataFrame, mode: str, id_col: str = "doc_id",
     fn = simple_reply if mode == "simple" else reasoning_reply
     return (records.filter(F.size(labels_col) > 0)
             .withColumn("raw_response", fn(id_col, F.col(labels_col))))
+
+
+# ----------------------------------------------------------------------------- stand-in spans / tokens
+TOKEN_LABELS = ["O", "B-PHI", "I-PHI", "B-ID", "I-ID"]
+
+
+def _score(seed: str, id_col: str, value: Column, k: int) -> Column:
+    return draw(seed, 100, F.col(id_col), value, k) / F.lit(100.0)
+
+
+def simulated_spans(id_col: str, value: Column, context: Column, ctx_offset: Column) -> Column:
+    """Span-scorer stand-in: [word before the value, first 4 chars of the value, the value]
+    with seeded scores in [0, 0.99]."""
+    before = F.regexp_replace(F.substring(context, F.lit(1), ctx_offset), " +$", "")
+    neighbor = F.regexp_extract(before, "([^ ]*)$", 1)
+    texts = [neighbor, F.substring(value, 1, 4), value]
+    return F.array(*[F.struct(t.alias("text"), _score("span", id_col, value, k).alias("score"))
+                     for k, t in enumerate(texts, 1)])
+
+
+def simulated_tokens(id_col: str, value: Column, ctx_offset: Column) -> Column:
+    """Token-classifier stand-in: five tokens around the value (one zero-width at its end)
+    with seeded labels and probabilities; offsets are 0-based into the context."""
+    o, n = ctx_offset, F.length(value)
+    bounds = [(F.greatest(o - 5, F.lit(0)), o), (o, o + 3), (o + 3, o + n), (o + n, o + n),
+              (o + n, o + n + 4)]
+    toks = []
+    for k, (s, e) in enumerate(bounds, 1):
+        lab = F.element_at(F.array(*[F.lit(x) for x in TOKEN_LABELS]),
+                           (draw("toklab", len(TOKEN_LABELS), F.col(id_col), value, k) + 1).cast("int"))
+        toks.append(F.struct(lab.alias("label"), s.cast("int").alias("tok_start"),
+                             e.cast("int").alias("tok_end"),
+                             _score("tokprob", id_col, value, k).alias("prob")))
+    return F.array(*toks)

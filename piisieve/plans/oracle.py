@@ -332,3 +332,79 @@ def entity_candidates_sql(src: str, w: int = CONTEXT_CHARS) -> str:
     return f"""(SELECT *, entityType AS entity_type, entityValue AS entity_value, CAST({pos} AS BIGINT) AS first_pos,
   substring(input, {start}, {pos} - {start} + length(entityValue) + {w}) AS context,
   CAST({pos} - {start} AS INTEGER) AS ctx_offset FROM {src} g)"""
+
+
+# ----------------------------------------------------------------------------- decisions
+def fmt2_sql(x: str) -> str:
+    """Java-style %.2f: HALF_UP on the shortest decimal form of the double."""
+    return f"printf('%.2f', round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 24)), 2))"
+
+
+def logit_decision_sql(logits: str, t: str) -> str:
+    e = f"list_transform({logits}, lambda v: exp(v - list_max({logits})))"
+    conf = f"(({e})[2] / list_reduce({e}, lambda a, v: a + v))"
+    tt = f"' (' || {t} || ')'"
+    reason = (f"CASE WHEN {conf} >= 0.5 THEN (CASE WHEN {conf} > 0.9 THEN 'High confidence PII detection' || {tt} "
+              f"WHEN {conf} > 0.7 THEN 'Likely PII' || {tt} ELSE 'Possible PII' || {tt} END) "
+              f"ELSE (CASE WHEN {conf} < 0.3 THEN 'Low confidence, likely false positive' || {tt} "
+              f"ELSE 'Uncertain, may be false positive' || {tt} END) END")
+    return f"{conf} >= 0.5 AS verified, round({conf}, 4) AS confidence, {reason} AS reason"
+
+
+def score_sql(seed: str, id_col: str, v: str, k) -> str:
+    return f"(CAST({draw_sql(seed, 100, id_col, v, repr(str(k)).replace(chr(34), chr(39)))} AS DOUBLE) / 100.0)"
+
+
+def spans_sql(id_col: str, v: str, ctx: str, off: str) -> str:
+    before = f"regexp_replace(substring({ctx}, 1, {off}), ' +$', '')"
+    neighbor = f"regexp_extract({before}, '([^ ]*)$', 1)"
+    texts = [neighbor, f"substring({v}, 1, 4)", v]
+    items = [f"{{'text': {t}, 'score': {score_sql('span', id_col, v, k)}}}" for k, t in enumerate(texts, 1)]
+    return "[" + ", ".join(items) + "]"
+
+
+def span_decision_sql(spans: str, v: str) -> str:
+    match = f"list_filter({spans}, lambda s: contains(lower(s.text), lower({v})) OR contains(lower({v}), lower(s.text)))"
+    hi = f"(list_filter({match}, lambda s: s.score >= 0.5)[1])"
+    lo = f"(list_filter({match}, lambda s: s.score >= 0.3)[1])"
+    from ..operators.decisions import NOT_DETECTED_SPANS
+    return (f"({hi} IS NOT NULL OR {lo} IS NOT NULL) AS verified, "
+            f"CAST(coalesce({hi}.score, {lo}.score, 0.5) AS DOUBLE) AS confidence, "
+            f"CASE WHEN {hi} IS NOT NULL THEN 'Detected by span model with confidence ' || {fmt2_sql(f'{hi}.score')} "
+            f"WHEN {lo} IS NOT NULL THEN 'Detected with low confidence ' || {fmt2_sql(f'{lo}.score')} "
+            f"ELSE {q(NOT_DETECTED_SPANS)} END AS reason")
+
+
+def tokens_sql(id_col: str, v: str, off: str) -> str:
+    from ..operators.scorer import TOKEN_LABELS
+    labs = "[" + ", ".join(q(x) for x in TOKEN_LABELS) + "]"
+    n = f"length({v})"
+    bounds = [(f"greatest({off} - 5, 0)", off), (off, f"{off} + 3"), (f"{off} + 3", f"{off} + {n}"),
+              (f"{off} + {n}", f"{off} + {n}"), (f"{off} + {n}", f"{off} + {n} + 4")]
+    items = []
+    for k, (s, e) in enumerate(bounds, 1):
+        lab = f"({labs})[{draw_sql('toklab', len(TOKEN_LABELS), id_col, v, repr(str(k)).replace(chr(34), chr(39)))} + 1]"
+        items.append(f"{{'label': {lab}, 'tok_start': CAST({s} AS INTEGER), 'tok_end': CAST({e} AS INTEGER), "
+                     f"'prob': {score_sql('tokprob', id_col, v, k)}}}")
+    return "[" + ", ".join(items) + "]"
+
+
+def token_decision_sql(tokens: str, text: str, v: str) -> str:
+    from ..operators.decisions import NOT_DETECTED_TOKENS, NOT_FOUND
+    start = f"(strpos(lower({text}), lower({v})) - 1)"
+    end = f"({start} + length({v}))"
+    hit = f"list_filter({tokens}, lambda t: t.tok_start < {end} AND t.tok_end > {start} AND t.label <> 'O')"
+    labels = f"list_transform({hit}, lambda t: t.label)"
+    n = f"len({hit})"
+    avg = f"(list_reduce(list_transform({hit}, lambda t: t.prob), lambda a, x: a + x, CAST(0.0 AS DOUBLE)) / {n})"
+    maxc = f"list_max(list_transform(list_distinct({labels}), lambda l: len(list_filter({labels}, lambda x: x = l))))"
+    top = f"(list_filter(list_sort(list_distinct({labels})), lambda l: len(list_filter({labels}, lambda x: x = l)) = {maxc})[1])"
+    return (f"({start} >= 0 AND {n} > 0) AS verified, "
+            f"CAST(CASE WHEN {start} < 0 THEN 0.5 WHEN {n} > 0 THEN {avg} ELSE 0.6 END AS DOUBLE) AS confidence, "
+            f"CASE WHEN {start} < 0 THEN {q(NOT_FOUND)} WHEN {n} > 0 THEN 'Detected as ' || {top} || ' with confidence ' || {fmt2_sql(avg)} "
+            f"ELSE {q(NOT_DETECTED_TOKENS)} END AS reason")
+
+
+def type_alias_sql(t: str) -> str:
+    m = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in cat.TYPE_ALIASES.items()) + "}"
+    return f"coalesce(({m})[upper({t})], lower({t}))"

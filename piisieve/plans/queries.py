@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
-from ..operators import consolidate, datagen, detect, prompts, scorer, stats, verify
+from .. import catalogue as _cat
+from ..operators import consolidate, datagen, decisions, detect, prompts, scorer, stats, verify
 from ..operators import replies as replies_op
 from ..session import cut_lineage, table
 from . import oracle as O
@@ -361,3 +362,50 @@ def q_entity_verification_metrics(spark, sf_dir):
     tests = datagen.generate(_seeds(spark, sf_dir), "all")
     verdicts = verify.verify_candidates(verify.entity_candidates(tests))
     return verify.confusion_metrics(verdicts)
+
+
+# --------------------------------------------------------------------------- scorer-output decisions
+_TYPES_SQL = "[" + ", ".join(O.q(t) for t in _cat.ENTITY_TYPES) + "]"
+
+
+@register("logit_decisions", f"""
+SELECT vec_id, entity_type, {O.logit_decision_sql('logits', 'entity_type')}
+FROM (SELECT vec_id, coalesce(({_TYPES_SQL})[label + 1], 'UNKNOWN') AS entity_type,
+             CAST(embedding[1:2] AS DOUBLE[]) AS logits FROM embeddings) e""")
+def q_logit_decisions(spark, sf_dir):
+    """J-09 (I-22, I-27, I-28): softmax decision over two logits taken from ``embeddings``."""
+    emb = table(spark, sf_dir, "embeddings")
+    types = F.array(*[F.lit(t) for t in _cat.ENTITY_TYPES])
+    df = emb.select("vec_id",
+                    F.coalesce(F.try_element_at(types, (F.col("label") + 1).cast("int")),
+                               F.lit("UNKNOWN")).alias("entity_type"),
+                    F.slice("embedding", 1, 2).cast("array<double>").alias("logits"))
+    d = decisions.logit_decision(F.col("logits"), F.col("entity_type"))
+    return df.select("vec_id", "entity_type", d.alias("d")).select(
+        "vec_id", "entity_type", "d.verified", "d.confidence", "d.reason")
+
+
+@register("span_decisions", f"""
+SELECT doc_id, entity_type, entity_value, {O.type_alias_sql('entity_type')} AS scorer_label,
+  {O.span_decision_sql('spans', 'entity_value')}
+FROM (SELECT *, {O.spans_sql('doc_id', 'entity_value', 'context', 'ctx_offset')} AS spans FROM {O.detect_sql()} c) s""")
+def q_span_decisions(spans_spark, sf_dir):
+    """J-10 (D-04, I-20): two-threshold span verification on stand-in span-scorer output."""
+    c = candidates(spans_spark, sf_dir)
+    spans = scorer.simulated_spans("doc_id", F.col("entity_value"), F.col("context"), F.col("ctx_offset"))
+    d = decisions.span_decision(spans, F.col("entity_value"))
+    return c.select("doc_id", "entity_type", "entity_value",
+                    decisions.scorer_label(F.col("entity_type")).alias("scorer_label"), d.alias("d")).select(
+        "doc_id", "entity_type", "entity_value", "scorer_label", "d.verified", "d.confidence", "d.reason")
+
+
+@register("token_decisions", f"""
+SELECT doc_id, entity_type, entity_value, {O.token_decision_sql('tokens', 'context', 'entity_value')}
+FROM (SELECT *, {O.tokens_sql('doc_id', 'entity_value', 'ctx_offset')} AS tokens FROM {O.detect_sql()} c) s""")
+def q_token_decisions(spark, sf_dir):
+    """J-11 (D-05, D-06, E-14, E-15): token-overlap verification on stand-in token labels."""
+    c = candidates(spark, sf_dir)
+    toks = scorer.simulated_tokens("doc_id", F.col("entity_value"), F.col("ctx_offset"))
+    d = decisions.token_decision(toks, F.col("context"), F.col("entity_value"))
+    return c.select("doc_id", "entity_type", "entity_value", d.alias("d")).select(
+        "doc_id", "entity_type", "entity_value", "d.verified", "d.confidence", "d.reason")
