@@ -33,6 +33,15 @@ DETECTION_RULES: list[tuple[str, str, str, int]] = [
      r'(?i)(?:token|secret|api[_-]?key|password|passwd)[ \t]*[:=][ \t]*"([^"\n]{8,})"', 1),
 ]
 
+# Cheap pre-checks: a rule's regex only runs on texts containing one of these literals
+# (lower-cased text for case-insensitive rules). A text without them cannot match, so the
+# result is unchanged; only the regex scan is skipped. (entity_type -> (needles, lower))
+DETECTION_NEEDLES: dict[str, tuple[list[str], bool]] = {
+    "EMAIL": (["@"], False),
+    "MRN": (["MRN-"], False),
+    "SECRET": (["token", "secret", "api", "password", "passwd"], True),
+}
+
 ENTITY_TYPES = [r[0] for r in DETECTION_RULES]
 TYPE_TO_LABEL = {r[0]: r[1] for r in DETECTION_RULES}
 

@@ -42,8 +42,17 @@ def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rules = rules or cat.DETECTION_RULES
     text = F.col(text_col)
     per_rule = []
+    lowered = F.lower(text)
     for etype, label, pattern, group in rules:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        if etype in cat.DETECTION_NEEDLES:
+            needles, lower = cat.DETECTION_NEEDLES[etype]
+            hay = lowered if lower else text
+            present = None
+            for nd in needles:
+                c = F.instr(hay, nd) > 0
+                present = c if present is None else present | c
+            hits = F.when(present, hits).otherwise(F.array().cast("array<string>"))
         per_rule.append(F.transform(hits, _hit_struct(etype, label, text)))
     exploded = (df.select(F.col(id_col), text, F.inline(F.concat(*per_rule)))
                 .filter(F.length("entity_value") > 0)

@@ -15,7 +15,7 @@ from ..functions.text import truncate_text
 from .. import catalogue as _cat
 from ..operators import consolidate, datagen, decisions, detect, prompts, scorer, stats, verify
 from ..operators import replies as replies_op
-from ..session import cut_lineage, table
+from ..session import cut_lineage, spread, table
 from . import oracle as O
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 
 # --------------------------------------------------------------------------- detection
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def q_windowed_stats(spark, sf_dir):
 # --------------------------------------------------------------------------- consolidation
 def rule_batch_results(spark, sf_dir, models=consolidate.RULE_MODELS):
     """Reasoning-mode batch results of the rule-verifier variants over all documents."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = _documents(spark, sf_dir).select(
         "doc_id", truncate_text("text", 200).alias("input_text"))
     # Detection feeds two branches (detected labels, model verdicts) whose column pruning
     # differs, so Spark cannot reuse the exchange: materialise the (small) candidates once.

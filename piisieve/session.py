@@ -62,3 +62,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (parquet)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (regex detection) at least one partition per core.
+
+    The partition count is read from the plan (no job runs). A large input already has one
+    split per ~128 MB and passes through untouched; only a small or single-row-group input
+    is redistributed round-robin, which is cheap exactly because it is small.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
