@@ -60,10 +60,14 @@ def _pct(col: str, approx: bool) -> Column:
     return F.percentile(col, F.array(*[F.lit(p) for p in PROBS]))
 
 
-def model_stats(results: DataFrame, model_col: str = "model", approx: bool = False) -> DataFrame:
-    """E-01 ... E-08 per model: counts, rate, latency/confidence summaries, throughput."""
+def model_stats(results: DataFrame, model_col: str | None = "model", approx: bool = False) -> DataFrame:
+    """E-01 ... E-08 per model: counts, rate, latency/confidence summaries, throughput.
+
+    ``model_col=None`` aggregates the whole input into one row (also when it is empty).
+    """
     lat, conf = F.col("latency_ms"), F.col("confidence")
-    agg = results.groupBy(model_col).agg(
+    keys = [model_col] if model_col else []
+    agg = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("verified").alias("verified"),
         F.count_if(~F.col("verified")).alias("rejected"),
@@ -76,7 +80,7 @@ def model_stats(results: DataFrame, model_col: str = "model", approx: bool = Fal
         F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))").alias("_span_us"))
     secs = F.col("_span_us") / F.lit(1e6)
     return agg.select(
-        model_col, "total", "verified", "rejected",
+        *keys, "total", "verified", "rejected",
         F.coalesce(F.try_divide(F.col("verified").cast("double"), F.col("total")),
                    F.lit(0.0)).alias("verification_rate"),
         "latency_mean",
@@ -94,8 +98,7 @@ def model_stats(results: DataFrame, model_col: str = "model", approx: bool = Fal
 
 def overall_stats(results: DataFrame) -> DataFrame:
     """E-11: one-row summary of a whole run; every field is 0 when there are no rows."""
-    one = results.withColumn("_all", F.lit("all"))
-    s = model_stats(one, "_all").drop("_all")
+    s = model_stats(results, None)
     empty_safe = [F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) for c, t in s.dtypes]
     return s.select(*empty_safe)
 
