@@ -10,11 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def md5_hex(seed: str, *parts) -> Column:
+    """Hex digest of ``'seed:part1:part2...'``."""
+    cols = [F.lit(seed)] + [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
+
+
 def md5_int(seed: str, *parts) -> Column:
     """32-bit integer from ``md5('seed:part1:part2...')``."""
-    cols = [F.lit(seed)] + [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    h = F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(md5_hex(seed, *parts), 1, 8), 16, 10).cast("bigint")
 
 
 def draw(seed: str, m: int, *parts) -> Column:
@@ -28,7 +32,11 @@ def pick(seed: str, options: list[str], *parts) -> Column:
     return F.element_at(arr, (draw(seed, len(options), *parts) + 1).cast("int"))
 
 
+def md5_hex_sql(seed: str, *parts: str) -> str:
+    inner = " || ':' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"md5({inner})"
+
+
 def draw_sql(seed: str, m: int, *parts: str) -> str:
     """DuckDB twin of ``draw``; ``parts`` are SQL expressions."""
-    inner = " || ':' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
-    return f"(CAST(('0x' || substr(md5({inner}), 1, 8)) AS BIGINT) % {m})"
+    return f"(CAST(('0x' || substr({md5_hex_sql(seed, *parts)}, 1, 8)) AS BIGINT) % {m})"

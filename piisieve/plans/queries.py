@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
 from .. import catalogue as _cat
-from ..operators import consolidate, datagen, decisions, detect, prompts, scorer, stats, verify
+from ..operators import consolidate, datagen, decisions, detect, prompts, scorer, stats, training, verify
 from ..operators import replies as replies_op
 from ..session import cut_lineage, spread, table
 from . import oracle as O
@@ -335,7 +335,7 @@ def q_parse_single(spark, sf_dir):
 
 # --------------------------------------------------------------------------- generated data & accuracy
 def _seeds(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
 
 
 _GEN_ALL = f"({datagen.generate_sql('(SELECT doc_id AS id FROM documents)', 'all')})"
@@ -409,3 +409,97 @@ def q_token_decisions(spark, sf_dir):
     d = decisions.token_decision(toks, F.col("context"), F.col("entity_value"))
     return c.select("doc_id", "entity_type", "entity_value", d.alias("d")).select(
         "doc_id", "entity_type", "entity_value", "d.verified", "d.confidence", "d.reason")
+
+
+# --------------------------------------------------------------------------- training set & JSON labels
+_TRAIN_SQL = f"({training.generate_training_sql('documents', 'doc_id')})"
+
+
+def training_category_map_sql() -> str:
+    return "MAP {" + ", ".join(f"{O.q(n)}: {O.q(c)}" for n, c, _ in _cat.LABEL_CATALOGUE) + "}"
+
+
+@register("training_set", f"""
+SELECT recordId, element, slot, domain, template, input, array_to_string(PIIs, '|') AS piis,
+  CAST(len(PIIs) AS INTEGER) AS n_piis, drawn_fp, is_true_positive FROM {_TRAIN_SQL} t""")
+def q_training_set(spark, sf_dir):
+    """K-06 ... K-13, J-12, J-14 ... J-16: four labelled examples per seed document id."""
+    t = training.generate_training(_seeds(spark, sf_dir))
+    return t.select("recordId", "element", "slot", "domain", "template", "input",
+                    F.array_join("PIIs", "|").alias("piis"), F.size("PIIs").alias("n_piis"),
+                    "drawn_fp", "is_true_positive")
+
+
+@register("training_distribution", f"""
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(len(PIIs) > 0) AS BIGINT) AS true_positive_records,
+  CAST(count_if(len(PIIs) = 0) AS BIGINT) AS false_positive_records,
+  CAST(count_if(starts_with(regexp_replace(input, '^[ \\t\\n\\r]+', ''), '{{')) AS BIGINT) AS json_records,
+  CAST(count_if(NOT starts_with(regexp_replace(input, '^[ \\t\\n\\r]+', ''), '{{')) AS BIGINT) AS text_records,
+  CAST(count_if(starts_with(regexp_replace(input, '^[ \\t\\n\\r]+', ''), '{{') AND len(PIIs) > 3) AS BIGINT) AS multi_pii_json_records,
+  CAST(count_if(drawn_fp) AS BIGINT) AS drawn_false_positives, CAST(count(DISTINCT element) AS BIGINT) AS elements,
+  CAST((SELECT count(DISTINCT l) FROM (SELECT unnest(PIIs) AS l FROM {_TRAIN_SQL} t2) u) AS INTEGER) AS labels_covered,
+  CAST(count_if(contains(({training_category_map_sql()})[element], 'Financial')) AS BIGINT) AS financial_records,
+  CAST(count_if(contains(({training_category_map_sql()})[element], 'Health')) AS BIGINT) AS health_records
+FROM {_TRAIN_SQL} t""")
+def q_training_distribution(spark, sf_dir):
+    """E-23/E-24, C-07 ... C-11: distribution of the generated labelled set."""
+    return training.distribution(training.generate_training(_seeds(spark, sf_dir)))
+
+
+def _customer_docs(spark, sf_dir):
+    """Customer rows as JSON documents in three template shapes (nulls kept as keys)."""
+    cust = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation")  # 25-row dimension: fixed size, safe to broadcast
+    c = cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey, "left")
+    email = F.when(F.col("c_acctbal") > 0, F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@shop.test")))
+    opts = {"ignoreNullFields": "false"}
+    profile = F.to_json(F.struct(F.col("c_custkey").alias("userId"), F.col("c_name").alias("firstName"),
+                                 email.alias("email"),
+                                 F.struct(F.col("n_name").alias("city")).alias("address")), opts)
+    order = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), email.alias("email")).alias("customer"),
+                               F.struct(F.col("n_name").alias("address")).alias("shipping")), opts)
+    contact = F.to_json(F.struct(F.struct(
+        F.struct(F.col("c_name").alias("value")).alias("firstname"),
+        F.struct(F.lit(None).cast("string").alias("value")).alias("company")).alias("properties")), opts)
+    seg = F.col("c_mktsegment")
+    template = (F.when(seg == "BUILDING", F.lit("user_profile")).when(seg == "AUTOMOBILE", F.lit("ecommerce_order"))
+                .otherwise(F.lit("hubspot_contact")))
+    doc = F.when(seg == "BUILDING", profile).when(seg == "AUTOMOBILE", order).otherwise(contact)
+    return c.select("c_custkey", template.alias("template"), doc.alias("doc"))
+
+
+_CUSTOMER_DOCS_SQL = """(SELECT c_custkey,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'user_profile' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'ecommerce_order'
+       ELSE 'hubspot_contact' END AS template,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN json_object('userId', c_custkey, 'firstName', c_name,
+         'email', CASE WHEN c_acctbal > 0 THEN lower(replace(c_name, '#', '.')) || '@shop.test' END,
+         'address', json_object('city', n_name))::VARCHAR
+       WHEN c_mktsegment = 'AUTOMOBILE' THEN json_object('customer', json_object('name', c_name,
+         'email', CASE WHEN c_acctbal > 0 THEN lower(replace(c_name, '#', '.')) || '@shop.test' END),
+         'shipping', json_object('address', n_name))::VARCHAR
+       ELSE json_object('properties', json_object('firstname', json_object('value', c_name),
+         'company', json_object('value', NULL)))::VARCHAR END AS doc
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@register("customer_json_labels", f"""
+SELECT c_custkey, template, array_to_string(l, '|') AS labels, CAST(len(l) AS INTEGER) AS n_labels
+FROM (SELECT c_custkey, template, {training.path_labels(datagen.SqlGen('c_custkey'), 'doc', 'template')} AS l
+      FROM {_CUSTOMER_DOCS_SQL} d) x""")
+def q_customer_json_labels(spark, sf_dir):
+    """J-12: key-path labelling of JSON documents built from customer rows."""
+    d = training.json_path_labels(_customer_docs(spark, sf_dir), "doc", "template")
+    return d.select("c_custkey", "template", F.array_join("labels", "|").alias("labels"),
+                    F.size("labels").alias("n_labels"))
+
+
+_DEEP_FIELDS = {p: lab for _, p, lab in training.PATH_LABELS}
+
+
+@register("customer_json_deep_labels")
+def q_customer_json_deep_labels(spark, sf_dir):
+    """J-13: deep walk (lists entered, bare-key fallback) over the same documents; rows-only
+    check (a recursive walk has no bounded SQL form)."""
+    d = _customer_docs(spark, sf_dir)
+    labels = training.deep_json_labels(F.col("doc"), _DEEP_FIELDS)
+    return d.select("c_custkey", F.array_join(labels, "|").alias("labels"))
