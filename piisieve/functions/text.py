@@ -97,3 +97,13 @@ def type_alias(c, aliases: dict[str, str]) -> Column:
     """I-20: ``aliases.get(t.upper(), t.lower())``."""
     m = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.element_at(m, F.upper(_c(c))), F.lower(_c(c)))
+
+
+def fmt_pct1(x) -> Column:
+    """I-18: ``{x:.1%}`` (HALF_UP on the shortest decimal form)."""
+    return F.concat(F.format_string("%.1f", _c(x) * 100), F.lit("%"))
+
+
+def fmt_fixed(x, digits: int = 2) -> Column:
+    """I-18: ``{x:.Nf}``."""
+    return F.format_string(f"%.{digits}f", _c(x))

@@ -194,3 +194,14 @@ def record_pii_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("record_id").agg(
         F.count_distinct("pii").alias("n_piis"),
         F.count_distinct("model").alias("n_models"))
+
+
+def first_record(df, predicate: Column | None = None, order_col: str = "recordId"):
+    """G-07: first record (by id) satisfying ``predicate`` — a top-1, not a sort of all rows."""
+    rows = df if predicate is None else df.filter(predicate)
+    return rows.orderBy(order_col).limit(1)
+
+
+def lookup_record(df, record_id: str, id_col: str = "recordId"):
+    """C-12: point lookup by record id (pushed down to the scan when reading parquet)."""
+    return df.filter(F.col(id_col) == F.lit(record_id))

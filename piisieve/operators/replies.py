@@ -157,7 +157,18 @@ def parse_simple(reply: Column, detected: Column) -> Column:
            .when(path == "P-13", matched)
            .when(path == "P-14", F.try_variant_get(vp, "$", "array<string>"))
            .otherwise(detected))
-    return F.struct(out.alias("verified"), path.alias("parse_path"))
+    unmatched = F.filter(parts, lambda p: fuzzy_match(p, detected).isNull())   # H-05
+    return F.struct(out.alias("verified"), path.alias("parse_path"),
+                    F.when(path == "P-13", unmatched).otherwise(F.array().cast("array<string>"))
+                    .alias("unmatched_parts"))
+
+
+def label_set_agreement(expected: Column, got: Column) -> Column:
+    """E-26: per-record agreement of two label sets: struct(tp, fp, fn)."""
+    e, g = F.array_distinct(expected), F.array_distinct(got)
+    return F.struct(F.size(F.array_intersect(e, g)).alias("tp"),
+                    F.size(F.array_except(g, e)).alias("fp"),
+                    F.size(F.array_except(e, g)).alias("fn"))
 
 
 def parse_replies(df: DataFrame, mode: str, reply_col: str = "raw_response",

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draw import draw as _draw
 from ..functions.text import truncate_text
 from .. import catalogue as _cat
 from ..operators import consolidate, datagen, decisions, detect, prompts, scorer, stats, training, verify
@@ -503,3 +504,31 @@ def q_customer_json_deep_labels(spark, sf_dir):
     d = _customer_docs(spark, sf_dir)
     labels = training.deep_json_labels(F.col("doc"), _DEEP_FIELDS)
     return d.select("c_custkey", F.array_join(labels, "|").alias("labels"))
+
+
+# --------------------------------------------------------------------------- parser fidelity (E-26)
+@register("reply_label_agreement", f"""
+WITH r AS (SELECT doc_id, piis, {O.simple_reply_sql('doc_id', 'piis')} AS raw_response,
+                  list_filter(piis, lambda d: {O.draw_sql('keep', 10, 'doc_id', 'd')} < 7) AS intended FROM {_DET} x),
+p AS (SELECT p.doc_id, p.parse_path, p.verified, r.intended FROM {O.parse_simple_sql('r')} p JOIN r ON p.doc_id = r.doc_id),
+a AS (SELECT parse_path, len(list_intersect(list_distinct(intended), list_distinct(verified))) AS tp,
+             len(list_filter(list_distinct(verified), lambda x: NOT list_contains(intended, x))) AS fp,
+             len(list_filter(list_distinct(intended), lambda x: NOT list_contains(verified, x))) AS fn FROM p)
+SELECT parse_path, CAST(count(*) AS BIGINT) AS records, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
+  CAST(sum(fn) AS BIGINT) AS fn, sum(tp) / nullif(sum(tp) + sum(fp), 0) AS precision,
+  sum(tp) / nullif(sum(tp) + sum(fn), 0) AS recall
+FROM a GROUP BY ROLLUP (parse_path)""")
+def q_reply_label_agreement(spark, sf_dir):
+    """E-26 / H-05: parsed simple-mode labels vs the stand-in model's intended labels, per parse path."""
+    replies = scorer.simulated_replies(detected_docs(spark, sf_dir), "simple")
+    intended = F.filter("PIIs", lambda d: _draw("keep", 10, F.col("doc_id"), d) < 7)
+    p = replies.select(replies_op.parse_simple(F.col("raw_response"), F.col("PIIs")).alias("p"),
+                       intended.alias("intended"))
+    a = p.select("p.parse_path", replies_op.label_set_agreement(F.col("intended"), F.col("p.verified")).alias("a"))
+    agg = a.rollup("parse_path").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("a.tp").alias("tp"), F.sum("a.fp").alias("fp"),
+        F.sum("a.fn").alias("fn"))
+    d = lambda x, y: F.try_divide(x.cast("double"), y)
+    return agg.select("parse_path", "records", "tp", "fp", "fn",
+                      d(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                      d(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
