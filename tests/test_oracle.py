@@ -16,8 +16,11 @@ def con():
     return duck(SF_SMALL)
 
 
+ROWS_ONLY = {"customer_json_deep_labels"}  # recursive walk: no bounded SQL form
+
+
 def test_every_query_has_an_oracle():
-    assert set(SQLS) == set(NAMES)
+    assert set(NAMES) - set(SQLS) == ROWS_ONLY
 
 
 @pytest.mark.parametrize("name", NAMES)
