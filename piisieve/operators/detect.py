@@ -1,9 +1,9 @@
 """Candidate detection (J-01) and detected-record assembly (J-02, A-11).
 
-Detection is a narrow map-side job: every pattern is a ``regexp_extract_all`` over the
-text, hits are exploded with their first position and a context window, and one
-partial/final aggregation collapses repeated values per record. The text itself never
-crosses a shuffle: only the (short) candidate rows do.
+Detection is a narrow, map-only job: every pattern is a ``regexp_extract_all`` over the
+text, repeated values are collapsed inside the row, and each distinct value gets its first
+position and a context window before the row is exploded. Neither the text nor the
+candidates cross a shuffle.
 """
 
 from __future__ import annotations
@@ -16,17 +16,40 @@ from .. import catalogue as cat
 CONTEXT_CHARS = 120  # widest context any verifier may ask for
 
 
-def _valid(entity_type: Column, value: Column) -> Column:
+def _valid(etype: str, value: Column) -> Column:
     """Post-extraction validity checks that the regex alone cannot express."""
-    octets = [F.split_part(value, F.lit("."), F.lit(i)).cast("int") for i in range(1, 5)]
-    ip_ok = F.greatest(*octets) <= 255
-    return F.when(entity_type == "IPV4", ip_ok).otherwise(F.lit(True))
+    if etype == "IPV4":
+        octets = [F.split_part(value, F.lit("."), F.lit(i)).cast("int") for i in range(1, 5)]
+        return (F.length(value) > 0) & (F.greatest(*octets) <= 255)
+    return F.length(value) > 0
 
 
-def _hit_struct(etype: str, label: str, text: Column):
-    def fn(v: Column) -> Column:
+def _distinct_with_counts(hits: Column) -> Column:
+    """Distinct values of a hit array with their counts, in O(k log k) inside the row.
+
+    The array is sorted, run starts are the positions whose value differs from the
+    previous one, and a run's length is the distance to the next start.
+    """
+    s = F.array_sort(hits)
+    n = F.size(s)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(
+        i == 1, F.lit(True)).otherwise(F.element_at(s, i) != F.element_at(s, i - 1)))
+    runs = F.transform(starts, lambda st, j: F.struct(
+        F.element_at(s, st).alias("v"),
+        (F.coalesce(F.try_element_at(starts, j + 2), n + 1) - st).alias("n")))
+    return F.when(n > 0, runs)
+
+
+def _candidate(etype: str, label: str, text: Column, context_chars: int):
+    def fn(r: Column) -> Column:
+        v = r.v
+        pos = F.instr(text, v)
+        start = F.greatest(pos - context_chars, F.lit(1))
         return F.struct(F.lit(etype).alias("entity_type"), F.lit(label).alias("label"),
-                        v.alias("entity_value"), F.instr(text, v).alias("pos"))
+                        v.alias("entity_value"), r.n.cast("bigint").alias("n_hits"),
+                        pos.cast("bigint").alias("first_pos"),
+                        F.substring(text, start, pos - start + F.length(v) + context_chars).alias("context"),
+                        (pos - start).cast("int").alias("ctx_offset"))
     return fn
 
 
@@ -38,6 +61,9 @@ def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ctx_offset`` — one row per distinct (record, type, value); ``first_pos`` is the 1-based
     position of the value's first occurrence, ``context`` holds ``context_chars`` characters
     on each side of it and ``ctx_offset`` the 0-based offset of the value inside it.
+
+    All hits of a record live in its row, so repeated values are collapsed inside the row
+    (sorted array + run lengths) and the whole job is map-only: no shuffle, no aggregate.
     """
     rules = rules or cat.DETECTION_RULES
     text = F.col(text_col)
@@ -53,21 +79,19 @@ def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 c = F.instr(hay, nd) > 0
                 present = c if present is None else present | c
             hits = F.when(present, hits).otherwise(F.array().cast("array<string>"))
-        per_rule.append(F.transform(hits, _hit_struct(etype, label, text)))
-    exploded = (df.select(F.col(id_col), text, F.inline(F.concat(*per_rule)))
-                .filter(F.length("entity_value") > 0)
-                .filter(_valid(F.col("entity_type"), F.col("entity_value"))))
-    start = F.greatest(F.col("pos") - context_chars, F.lit(1))
-    with_ctx = exploded.select(
-        id_col, "entity_type", "label", "entity_value", "pos",
-        F.substring(text, start, F.col("pos") - start + F.length("entity_value") + context_chars
-                    ).alias("context"),
-        (F.col("pos") - start).alias("ctx_offset"))
-    return (with_ctx.groupBy(id_col, "entity_type", "label", "entity_value")
-            .agg(F.count(F.lit(1)).alias("n_hits"),
-                 F.min("pos").cast("bigint").alias("first_pos"),
-                 F.min("context").alias("context"),
-                 F.min("ctx_offset").cast("int").alias("ctx_offset")))
+        hits = F.filter(hits, _validator(etype))
+        runs = _distinct_with_counts(hits)
+        per_rule.append(F.coalesce(F.transform(runs, _candidate(etype, label, text, context_chars)),
+                                   F.array().cast(f"array<{CANDIDATE}>")))
+    return df.select(F.col(id_col), F.inline(F.concat(*per_rule)))
+
+
+CANDIDATE = ("struct<entity_type:string,label:string,entity_value:string,n_hits:bigint,"
+             "first_pos:bigint,context:string,ctx_offset:int>")
+
+
+def _validator(etype: str):
+    return lambda v: _valid(etype, v)
 
 
 def detected_records(records: DataFrame, candidates: DataFrame, id_col: str = "doc_id",
