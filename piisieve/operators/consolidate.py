@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogue as cat
 from ..functions.text import truncate_text
-from .verify import narrow_context, rule_columns
+from .verify import after_value, narrow_context, rule_columns
 
 VERDICT_ITEM = "struct<pii:string,verified:boolean,reason:string>"
 REASON_NO_GUARD = "No false-positive guard fired"
@@ -41,19 +41,61 @@ RULE_MODELS = (
 )
 
 
-def _model_verdict(m: RuleModel) -> Column:
-    ctx = narrow_context(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), m.window)
-    cols = rule_columns(F.col("entity_type"), F.col("entity_value"), ctx)
+def _model_verdict(m: RuleModel, c: Column | None = None) -> Column:
+    """Verdict struct of model ``m`` for a candidate (columns, or the struct ``c``);
+    NULL when the model does not handle the entity type."""
+    get = (lambda f: F.col(f)) if c is None else (lambda f: c[f])
+    ctx = narrow_context(get("context"), get("ctx_offset"), get("entity_value"), m.window)
+    after = after_value(get("context"), get("ctx_offset"), get("entity_value"), m.window)
+    cols = rule_columns(get("entity_type"), get("entity_value"), ctx, after=after)
     if m.mode == "guards_only":
         verified = cols["guard_reason"].isNull()
         reason = F.coalesce(cols["guard_reason"], F.lit(REASON_NO_GUARD))
     else:
         verified, reason = cols["verified"], cols["reason"]
-    handles = F.lit(True) if m.types is None else F.col("entity_type").isin(*m.types)
+    handles = F.lit(True) if m.types is None else get("entity_type").isin(*m.types)
     return F.when(handles, F.struct(F.lit(m.name).alias("model"), verified.alias("verified"),
                                     reason.alias("reason")))
 
 
+def _row_items(m: RuleModel, candidates: Column, labels: Column) -> Column:
+    """One model's ``verified_piis`` for one document, computed inside the row: per label
+    (sorted), verified if any of its values is, with the reason of the earliest value
+    carrying that verdict; labels the model does not handle are left out."""
+    vs = F.filter(F.transform(candidates, lambda c: F.struct(
+        c.label.alias("label"), c.first_pos.alias("first_pos"), _model_verdict(m, c).alias("v"))),
+        lambda x: x.v.isNotNull())
+
+    def item(lab):
+        ml = F.filter(vs, lambda x: x.label == lab)
+        ranked = F.array_sort(F.transform(ml, lambda x: F.struct(
+            (~x.v.verified).alias("k1"), x.first_pos.alias("k2"), x.v.reason.alias("reason"))))
+        return F.when(F.size(ml) > 0, F.struct(
+            lab.alias("pii"), F.exists(ml, lambda x: x.v.verified).alias("verified"),
+            F.element_at(ranked, 1).reason.alias("reason")))
+
+    return F.filter(F.transform(labels, item), lambda x: x.isNotNull())
+
+
+def batch_results_in_row(docs: DataFrame, models=RULE_MODELS, candidates_col: str = "candidates",
+                         labels_col: str = "PIIs") -> DataFrame:
+    """C-02/C-03 without any shuffle: one reasoning-mode ``BatchResult`` per (document, model)
+    from the document's own candidate array (output of ``detect_arrays``). Other columns of
+    ``docs`` are carried through."""
+    keep = [c for c in docs.columns if c not in (candidates_col, labels_col)]
+    per_model = F.array(*[F.struct(F.lit(m.name).alias("model"),
+                                   _row_items(m, F.col(candidates_col), F.col(labels_col)).alias("items"))
+                          for m in models])
+    rows = docs.select(*keep, labels_col, F.inline(per_model))
+    empty = F.size(labels_col) == 0
+    return rows.select(
+        *keep, "model", F.col(labels_col).alias("detected_piis"),
+        F.when(empty, F.array().cast(f"array<{VERDICT_ITEM}>")).otherwise(F.col("items"))
+         .cast(f"array<{VERDICT_ITEM}>").alias("verified_piis"),
+        empty.alias("short_circuit"),
+        F.when(empty, F.lit(0.0)).alias("latency_ms"))
+
+
 def candidate_model_verdicts(cands: DataFrame, models=RULE_MODELS) -> DataFrame:
     """All models over the candidates in one pass (one projection + explode, no re-scan)."""
     arr = F.filter(F.array(*[_model_verdict(m) for m in models]), lambda x: x.isNotNull())
@@ -62,7 +104,8 @@ def candidate_model_verdicts(cands: DataFrame, models=RULE_MODELS) -> DataFrame:
 
 
 def label_verdicts(cand_verdicts: DataFrame) -> DataFrame:
-    """Label-level verdict per (record, model): any located value verified -> verified.
+    """Table form (candidates arriving as rows, e.g. from an upstream detector's entity
+    table): label-level verdict per (record, model); any located value verified -> verified.
 
     The reason is that of the earliest value carrying the label's verdict.
     """

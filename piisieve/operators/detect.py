@@ -53,22 +53,12 @@ def _candidate(etype: str, label: str, text: Column, context_chars: int):
     return fn
 
 
-def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      rules=None, context_chars: int = CONTEXT_CHARS) -> DataFrame:
-    """Find PII candidates in ``text_col``.
-
-    Output: ``id_col, entity_type, label, entity_value, n_hits, first_pos, context,
-    ctx_offset`` — one row per distinct (record, type, value); ``first_pos`` is the 1-based
-    position of the value's first occurrence, ``context`` holds ``context_chars`` characters
-    on each side of it and ``ctx_offset`` the 0-based offset of the value inside it.
-
-    All hits of a record live in its row, so repeated values are collapsed inside the row
-    (sorted array + run lengths) and the whole job is map-only: no shuffle, no aggregate.
-    """
+def candidate_array(text: Column, rules=None, context_chars: int = CONTEXT_CHARS) -> Column:
+    """All distinct candidates of one text as ``array<CANDIDATE>`` (computed in the row)."""
     rules = rules or cat.DETECTION_RULES
-    text = F.col(text_col)
     per_rule = []
     lowered = F.lower(text)
+    empty_runs = F.array().cast("array<struct<v:string,n:int>>")
     for etype, label, pattern, group in rules:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         if etype in cat.DETECTION_NEEDLES:
@@ -80,10 +70,41 @@ def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 present = c if present is None else present | c
             hits = F.when(present, hits).otherwise(F.array().cast("array<string>"))
         hits = F.filter(hits, _validator(etype))
-        runs = _distinct_with_counts(hits)
-        per_rule.append(F.coalesce(F.transform(runs, _candidate(etype, label, text, context_chars)),
-                                   F.array().cast(f"array<{CANDIDATE}>")))
-    return df.select(F.col(id_col), F.inline(F.concat(*per_rule)))
+        runs = F.coalesce(_distinct_with_counts(hits), empty_runs)
+        per_rule.append(F.transform(runs, _candidate(etype, label, text, context_chars)))
+    return F.concat(*per_rule)
+
+
+def labels_of(candidates: Column) -> Column:
+    """J-02: sorted distinct labels of a candidate array."""
+    return F.array_sort(F.array_distinct(F.transform(candidates, lambda c: c.label)))
+
+
+def detect_arrays(df: DataFrame, text_col: str = "text", rules=None,
+                  context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """Add ``candidates`` (array) and ``PIIs`` (sorted distinct labels) to every row.
+
+    Everything a later per-document step needs stays in the document's row, so verifying,
+    labelling and building per-model results need no join back to the documents.
+    """
+    cands = candidate_array(F.col(text_col), rules, context_chars)
+    return df.withColumn("candidates", cands).withColumn("PIIs", labels_of(F.col("candidates")))
+
+
+def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      rules=None, context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """Find PII candidates in ``text_col``.
+
+    Output: ``id_col, entity_type, label, entity_value, n_hits, first_pos, context,
+    ctx_offset`` — one row per distinct (record, type, value); ``first_pos`` is the 1-based
+    position of the value's first occurrence, ``context`` holds ``context_chars`` characters
+    on each side of it and ``ctx_offset`` the 0-based offset of the value inside it.
+
+    All hits of a record live in its row, so repeated values are collapsed inside the row
+    (sorted array + run lengths) and the whole job is map-only: no shuffle, no aggregate.
+    """
+    cands = candidate_array(F.col(text_col), rules, context_chars)
+    return df.select(F.col(id_col), F.inline(cands))
 
 
 CANDIDATE = ("struct<entity_type:string,label:string,entity_value:string,n_hits:bigint,"

@@ -101,9 +101,9 @@ def prompt_table(records: DataFrame, id_col: str = "recordId", text_col: str = "
 
     Records without labels get no prompt (they short-circuit, C-03).
     """
-    with_mode = (records.filter(F.size(labels_col) > 0)
-                 .select(id_col, text_col, labels_col,
-                         F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")))
+    with_mode = records.select(id_col, text_col, labels_col, F.explode(
+        F.when(F.size(labels_col) > 0, F.array(*[F.lit(m) for m in modes]))
+        .otherwise(F.array().cast("array<string>"))).alias("mode"))
     return with_mode.select(
         id_col, "mode", labels_col,
         batch_prompt(F.col(text_col), F.col(labels_col), F.col("mode") == "reasoning")

@@ -143,10 +143,12 @@ def single_reply(id_col: str, value: Column) -> Column:
 
 def simulated_replies(records: DataFrame, mode: str, id_col: str = "doc_id",
                       labels_col: str = "PIIs") -> DataFrame:
-    """Add ``raw_response`` for records with at least one detected label."""
+    """Add ``raw_response`` for records with at least one detected label (others are
+    short-circuited and get no reply)."""
+    from .rows import keep_if
     fn = simple_reply if mode == "simple" else reasoning_reply
-    return (records.filter(F.size(labels_col) > 0)
-            .withColumn("raw_response", fn(id_col, F.col(labels_col))))
+    kept = keep_if(records, lambda r: F.size(r[labels_col]) > 0)
+    return kept.withColumn("raw_response", fn(id_col, F.col(labels_col)))
 
 
 # ----------------------------------------------------------------------------- stand-in spans / tokens

@@ -16,7 +16,8 @@ from ..functions.text import truncate_text
 from .. import catalogue as _cat
 from ..operators import consolidate, datagen, decisions, detect, prompts, scorer, stats, training, verify
 from ..operators import replies as replies_op
-from ..session import cut_lineage, spread, table
+from ..operators.rows import keep_if
+from ..session import spread, table
 from . import oracle as O
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -172,17 +173,14 @@ def q_windowed_stats(spark, sf_dir):
 
 # --------------------------------------------------------------------------- consolidation
 def rule_batch_results(spark, sf_dir, models=consolidate.RULE_MODELS):
-    """Reasoning-mode batch results of the rule-verifier variants over all documents."""
-    docs = _documents(spark, sf_dir).select(
-        "doc_id", truncate_text("text", 200).alias("input_text"))
-    # Detection feeds two branches (detected labels, model verdicts) whose column pruning
-    # differs, so Spark cannot reuse the exchange: materialise the (small) candidates once.
-    cands = cut_lineage(candidates(spark, sf_dir))
-    detected = cands.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("PIIs"))
-    records = docs.join(detected, "doc_id", "left").select(
-        "doc_id", "input_text", F.coalesce("PIIs", F.array().cast("array<string>")).alias("PIIs"))
-    labels = consolidate.label_verdicts(consolidate.candidate_model_verdicts(cands, models))
-    batch = consolidate.batch_results(records, labels, models)
+    """Reasoning-mode batch results of the rule-verifier variants over all documents.
+
+    Map-only: detection, per-model label verdicts and result rows are computed inside each
+    document's row; the first shuffle is the cross-document consolidation that follows.
+    """
+    docs = detect.detect_arrays(_documents(spark, sf_dir)).select(
+        "doc_id", truncate_text("text", 200).alias("input_text"), "candidates", "PIIs")
+    batch = consolidate.batch_results_in_row(docs, models)
     order = {m.name: i for i, m in enumerate(models)}
     load_order = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
     return batch.withColumn("load_order", F.element_at(load_order, F.col("model")).cast("bigint"))
@@ -266,11 +264,10 @@ def q_batch_result_summary(spark, sf_dir):
 
 # --------------------------------------------------------------------------- prompts & replies
 def detected_docs(spark, sf_dir):
-    """Documents with at least one detected label: (doc_id, text, PIIs sorted distinct)."""
-    docs = _documents(spark, sf_dir)
-    labels = candidates(spark, sf_dir).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("label")).alias("PIIs"))
-    return docs.join(labels, "doc_id")
+    """Documents with at least one detected label: (doc_id, text, PIIs sorted distinct),
+    labels computed in the row (no join back to the documents)."""
+    arr = detect.detect_arrays(_documents(spark, sf_dir)).select("doc_id", "text", "PIIs")
+    return keep_if(arr, lambda r: F.size(r.PIIs) > 0)
 
 
 _DET = O.detected_records_sql()
@@ -294,11 +291,14 @@ FROM {O.detect_sql()} c JOIN documents d ON c.doc_id = d.doc_id""")
 def q_single_prompts(spark, sf_dir):
     """J-05: single-entity prompt per candidate (context = the whole document)."""
     docs = _documents(spark, sf_dir)
-    cands = candidates(spark, sf_dir).select("doc_id", "entity_type", "entity_value")
-    p = prompts.single_prompt(F.col("text"), F.col("entity_type"), F.col("entity_value"))
-    return cands.join(docs, "doc_id").select(
-        "doc_id", "entity_type", "entity_value", F.md5(p).alias("prompt_md5"),
-        F.length(p).alias("prompt_chars"))
+    text = F.col("text")
+
+    def one(c):
+        p = prompts.single_prompt(text, c.entity_type, c.entity_value)
+        return F.struct(c.entity_type.alias("entity_type"), c.entity_value.alias("entity_value"),
+                        F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_chars"))
+    # the prompt needs the whole text: build it in the document's row, never join text back
+    return docs.select("doc_id", F.inline(F.transform(detect.candidate_array(text), one)))
 
 
 @register("parse_simple_replies", f"""
