@@ -58,20 +58,19 @@ def _model_verdict(m: RuleModel, c: Column | None = None) -> Column:
                                     reason.alias("reason")))
 
 
-def _row_items(m: RuleModel, candidates: Column, labels: Column) -> Column:
-    """One model's ``verified_piis`` for one document, computed inside the row: per label
-    (sorted), verified if any of its values is, with the reason of the earliest value
-    carrying that verdict; labels the model does not handle are left out."""
-    vs = F.filter(F.transform(candidates, lambda c: F.struct(
-        c.label.alias("label"), c.first_pos.alias("first_pos"), _model_verdict(m, c).alias("v"))),
-        lambda x: x.v.isNotNull())
+def _row_items(i: int, verdicts: Column, labels: Column) -> Column:
+    """Model ``i``'s ``verified_piis`` for one document from the staged per-candidate
+    verdicts: per label (sorted), verified if any of its values is, with the reason of the
+    earliest value carrying that verdict; labels the model does not handle are left out."""
+    key = f"v{i}"
+    vs = F.filter(verdicts, lambda x: x[key].isNotNull())
 
     def item(lab):
         ml = F.filter(vs, lambda x: x.label == lab)
         ranked = F.array_sort(F.transform(ml, lambda x: F.struct(
-            (~x.v.verified).alias("k1"), x.first_pos.alias("k2"), x.v.reason.alias("reason"))))
+            (~x[key].verified).alias("k1"), x.first_pos.alias("k2"), x[key].reason.alias("reason"))))
         return F.when(F.size(ml) > 0, F.struct(
-            lab.alias("pii"), F.exists(ml, lambda x: x.v.verified).alias("verified"),
+            lab.alias("pii"), F.exists(ml, lambda x: x[key].verified).alias("verified"),
             F.element_at(ranked, 1).reason.alias("reason")))
 
     return F.filter(F.transform(labels, item), lambda x: x.isNotNull())
@@ -81,12 +80,20 @@ def batch_results_in_row(docs: DataFrame, models=RULE_MODELS, candidates_col: st
                          labels_col: str = "PIIs") -> DataFrame:
     """C-02/C-03 without any shuffle: one reasoning-mode ``BatchResult`` per (document, model)
     from the document's own candidate array (output of ``detect_arrays``). Other columns of
-    ``docs`` are carried through."""
+    ``docs`` are carried through.
+
+    Every model's verdict is evaluated once per candidate into a staged column (lambdas get
+    no common-subexpression elimination), then grouped per label with cheap array filters.
+    """
     keep = [c for c in docs.columns if c not in (candidates_col, labels_col)]
+    verdicts = F.transform(F.col(candidates_col), lambda c: F.struct(
+        c.label.alias("label"), c.first_pos.alias("first_pos"),
+        *[_model_verdict(m, c).alias(f"v{i}") for i, m in enumerate(models)]))
+    staged = docs.select(*keep, labels_col, verdicts.alias("_verdicts"))
     per_model = F.array(*[F.struct(F.lit(m.name).alias("model"),
-                                   _row_items(m, F.col(candidates_col), F.col(labels_col)).alias("items"))
-                          for m in models])
-    rows = docs.select(*keep, labels_col, F.inline(per_model))
+                                   _row_items(i, F.col("_verdicts"), F.col(labels_col)).alias("items"))
+                          for i, m in enumerate(models)])
+    rows = staged.select(*keep, labels_col, F.inline(per_model))
     empty = F.size(labels_col) == 0
     return rows.select(
         *keep, "model", F.col(labels_col).alias("detected_piis"),
