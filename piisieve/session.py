@@ -71,5 +71,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     split per ~128 MB and passes through untouched; only a small or single-row-group input
     is redistributed round-robin, which is cheap exactly because it is small.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session exposes no RDD view
+        return df
+    return df.repartition(target) if current < target else df
