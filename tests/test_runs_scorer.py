@@ -6,20 +6,20 @@ from piisieve.operators import runs, scorer
 
 
 def test_run_matrix(spark):
-    m = runs.run_matrix(spark, [("qwen", "3b"), ("llama", "8b")], ["4bit", "fp16", "vllm"],
-                        exclusions=[("llama", "fp16")])
+    m = runs.run_matrix(spark, [("alpha", "3b"), ("beta", "8b")], ["4bit", "fp16", "vllm"],
+                        exclusions=[("beta", "fp16")])
     assert m.count() == 5
-    sel = runs.run_matrix(spark, [("qwen", "3b"), ("llama", "8b")], ["4bit", "fp16"],
-                          selected_models="qwen", selected_variations="fp16, 4bit")
+    sel = runs.run_matrix(spark, [("alpha", "3b"), ("beta", "8b")], ["4bit", "fp16"],
+                          selected_models="alpha", selected_variations="fp16, 4bit")
     assert sel.count() == 2
 
 
 def test_run_name(spark):
-    df = spark.createDataFrame([("qwen", "3b", True, False, False, True), ("qwen", "3b", True, False, True, False)],
+    df = spark.createDataFrame([("alpha", "3b", True, False, False, True), ("alpha", "3b", True, False, True, False)],
                                "model string, size string, quantize boolean, disable_quantization boolean, "
                                "use_vllm boolean, reasoning boolean")
     names = [r.n for r in df.select(runs.run_name().alias("n")).collect()]
-    assert names == ["qwen_3b_4bit_reasoning", "qwen_3b_vllm"]
+    assert names == ["alpha_3b_4bit_reasoning", "alpha_3b_vllm"]
 
 
 def test_run_tally(spark):
