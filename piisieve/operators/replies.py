@@ -109,6 +109,12 @@ def parse_reasoning(reply: Column, detected: Column) -> Column:
     return F.struct(out.cast(ITEMS).alias("items"), path.alias("parse_path"))
 
 
+def invented_labels(items: Column, detected: Column) -> Column:
+    """P-05b invariant: reasoning results are returned unvalidated; count items naming a
+    label the detector never reported. Apply to a materialised items column."""
+    return F.size(F.filter(items, lambda x: ~F.coalesce(F.array_contains(detected, x.pii), F.lit(False))))
+
+
 # ----------------------------------------------------------------------------- simple mode
 def _stop_match(p: Column, d: Column) -> Column:
     lp, ld = F.lower(p), F.lower(d)
@@ -179,6 +185,7 @@ def parse_replies(df: DataFrame, mode: str, reply_col: str = "raw_response",
         return df.withColumn("_p", p).select("*", "_p.verified", "_p.parse_path").drop("_p")
     if mode == "reasoning":
         p = parse_reasoning(F.col(reply_col), F.col(detected_col))
-        return df.withColumn("_p", p).select("*", F.col("_p.items").alias("verified_piis"),
-                                             "_p.parse_path").drop("_p")
+        out = df.withColumn("_p", p).select("*", F.col("_p.items").alias("verified_piis"),
+                                            "_p.parse_path").drop("_p")
+        return out.withColumn("n_invented", invented_labels(F.col("verified_piis"), F.col(detected_col)))
     raise ValueError(mode)

@@ -532,3 +532,27 @@ def q_reply_label_agreement(spark, sf_dir):
     return agg.select("parse_path", "records", "tp", "fp", "fn",
                       d(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
                       d(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+
+
+# --------------------------------------------------------------------------- result records (C-01)
+@register("entity_results", f"""
+SELECT recordId, entityType, entityValue, verified AS result_verified, round(confidence, 4) AS result_confidence,
+  reason AS result_reason, CAST(0.0 AS DOUBLE) AS result_latency_ms, 'rules_balanced' AS model_name,
+  'cpu' AS model_type, '0' AS model_parameters, is_true_positive AS metadata_is_true_positive
+FROM {O.verify_sql(O.entity_candidates_sql(_GEN_ALL))} v""")
+def q_entity_results(spark, sf_dir):
+    """C-01/C-04: ``EntityResult`` rows of the rule verifier over the generated entity tests
+    (flattened; the run timestamp is left out of the comparison)."""
+    tests = datagen.generate(_seeds(spark, sf_dir), "all")
+    v = verify.verify_candidates(verify.entity_candidates(tests))
+    from ..sources.sinks import entity_results
+    r = entity_results(v.withColumn("metadata", F.create_map(
+        F.lit("is_true_positive"), F.col("is_true_positive").cast("string"))), "rules_balanced", "cpu", "0")
+    return r.select("recordId", "entityType", "entityValue",
+                    F.col("result.verified").alias("result_verified"),
+                    F.col("result.confidence").alias("result_confidence"),
+                    F.col("result.reason").alias("result_reason"),
+                    F.col("result.latencyMs").alias("result_latency_ms"),
+                    F.col("model.name").alias("model_name"), F.col("model.type").alias("model_type"),
+                    F.col("model.parameters").alias("model_parameters"),
+                    (F.col("metadata")["is_true_positive"] == "true").alias("metadata_is_true_positive"))

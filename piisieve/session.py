@@ -45,7 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared (HDFS/S3/ABFS) folder there; we only invent one when the
     setting is absent, which happens in local tests.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="piisieve-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -104,3 +104,12 @@ def test_simple_verified_subset_of_detected(spark):
     for r in replies:
         got, _ = _simple(spark, r)
         assert set(got) <= set(D)
+
+
+def test_invented_labels_flagged(spark):
+    df = spark.createDataFrame(
+        [('{"results": [{"pii": "Salary", "verified": true, "reason": "x"}, '
+          '{"pii": "Email Address", "verified": true, "reason": "y"}]}', D)],
+        "raw_response string, detected_piis array<string>")
+    r = R.parse_replies(df, "reasoning").first()
+    assert r.parse_path == "P-05" and r.n_invented == 1
