@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogue as cat
 from ..functions.text import truncate_text
-from .verify import after_value, narrow_context, rule_columns
+from .verify import after_value, narrow_context, rule_decide, rule_raw
 
 VERDICT_ITEM = "struct<pii:string,verified:boolean,reason:string>"
 REASON_NO_GUARD = "No false-positive guard fired"
@@ -41,21 +41,33 @@ RULE_MODELS = (
 )
 
 
-def _model_verdict(m: RuleModel, c: Column | None = None) -> Column:
-    """Verdict struct of model ``m`` for a candidate (columns, or the struct ``c``);
+def _model_raw(m: RuleModel, c: Column | None = None) -> Column:
+    """Phase-1 rule evaluation of model ``m`` for a candidate (columns, or the struct ``c``);
     NULL when the model does not handle the entity type."""
     get = (lambda f: F.col(f)) if c is None else (lambda f: c[f])
     ctx = narrow_context(get("context"), get("ctx_offset"), get("entity_value"), m.window)
     after = after_value(get("context"), get("ctx_offset"), get("entity_value"), m.window)
-    cols = rule_columns(get("entity_type"), get("entity_value"), ctx, after=after)
+    raw = rule_raw(get("entity_type"), get("entity_value"), ctx, after=after)
+    handles = F.lit(True) if m.types is None else get("entity_type").isin(*m.types)
+    return F.when(handles, raw)
+
+
+def _model_decision(m: RuleModel, raw: Column) -> Column:
+    """Phase 2: struct(verified, reason) of model ``m`` from its raw evaluation."""
     if m.mode == "guards_only":
-        verified = cols["guard_reason"].isNull()
-        reason = F.coalesce(cols["guard_reason"], F.lit(REASON_NO_GUARD))
+        verified = raw["guard"].isNull()
+        reason = F.coalesce(raw["guard"], F.lit(REASON_NO_GUARD))
     else:
+        cols = rule_decide(raw)
         verified, reason = cols["verified"], cols["reason"]
-    handles = F.lit(True) if m.types is None else get("entity_type").isin(*m.types)
-    return F.when(handles, F.struct(F.lit(m.name).alias("model"), verified.alias("verified"),
-                                    reason.alias("reason")))
+    return F.when(raw.isNotNull(), F.struct(verified.alias("verified"), reason.alias("reason")))
+
+
+def _model_verdict(m: RuleModel, c: Column | None = None) -> Column:
+    """Verdict struct(model, verified, reason) of model ``m``; NULL when not handled."""
+    d = _model_decision(m, _model_raw(m, c))
+    return F.when(d.isNotNull(), F.struct(F.lit(m.name).alias("model"), d["verified"].alias("verified"),
+                                          d["reason"].alias("reason")))
 
 
 def _row_items(i: int, verdicts: Column, labels: Column) -> Column:
@@ -86,10 +98,14 @@ def batch_results_in_row(docs: DataFrame, models=RULE_MODELS, candidates_col: st
     no common-subexpression elimination), then grouped per label with cheap array filters.
     """
     keep = [c for c in docs.columns if c not in (candidates_col, labels_col)]
-    verdicts = F.transform(F.col(candidates_col), lambda c: F.struct(
+    raws = F.transform(F.col(candidates_col), lambda c: F.struct(
         c.label.alias("label"), c.first_pos.alias("first_pos"),
-        *[_model_verdict(m, c).alias(f"v{i}") for i, m in enumerate(models)]))
-    staged = docs.select(*keep, labels_col, verdicts.alias("_verdicts"))
+        *[_model_raw(m, c).alias(f"r{i}") for i, m in enumerate(models)]))
+    staged = docs.select(*keep, labels_col, raws.alias("_raws"))
+    verdicts = F.transform(F.col("_raws"), lambda x: F.struct(
+        x.label.alias("label"), x.first_pos.alias("first_pos"),
+        *[_model_decision(m, x[f"r{i}"]).alias(f"v{i}") for i, m in enumerate(models)]))
+    staged = staged.select(*keep, labels_col, verdicts.alias("_verdicts"))
     per_model = F.array(*[F.struct(F.lit(m.name).alias("model"),
                                    _row_items(i, F.col("_verdicts"), F.col(labels_col)).alias("items"))
                           for i, m in enumerate(models)])
@@ -104,10 +120,14 @@ def batch_results_in_row(docs: DataFrame, models=RULE_MODELS, candidates_col: st
 
 
 def candidate_model_verdicts(cands: DataFrame, models=RULE_MODELS) -> DataFrame:
-    """All models over the candidates in one pass (one projection + explode, no re-scan)."""
-    arr = F.filter(F.array(*[_model_verdict(m) for m in models]), lambda x: x.isNotNull())
-    return cands.select("doc_id", "entity_type", "label", "entity_value", "first_pos",
-                        F.inline(arr))
+    """All models over the candidates in one pass (one projection + explode, no re-scan);
+    each model's regex chains are evaluated once into a staged column."""
+    base = ["doc_id", "entity_type", "label", "entity_value", "first_pos"]
+    staged = cands.select(*base, *[_model_raw(m).alias(f"_r{i}") for i, m in enumerate(models)])
+    arr = F.array(*[F.when(F.col(f"_r{i}").isNotNull(), F.struct(
+        F.lit(m.name).alias("model"), _model_decision(m, F.col(f"_r{i}"))["verified"].alias("verified"),
+        _model_decision(m, F.col(f"_r{i}"))["reason"].alias("reason"))) for i, m in enumerate(models)])
+    return staged.select(*base, F.inline(F.filter(arr, lambda x: x.isNotNull())))
 
 
 def label_verdicts(cand_verdicts: DataFrame) -> DataFrame:

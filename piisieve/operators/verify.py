@@ -65,18 +65,28 @@ def _first_match(rules, etype: Column, value: Column, context: Column, pick,
     return expr if expr is not None else F.lit(None)
 
 
-def rule_columns(etype: Column, value: Column, context: Column, rules=None,
-                 after: Column | None = None) -> dict[str, Column]:
-    """Columns for guard reason, the three tri-state tests, verdict, confidence and reason."""
+def rule_raw(etype: Column, value: Column, context: Column, rules=None,
+             after: Column | None = None) -> Column:
+    """Phase 1 — every regex chain evaluated once: struct(guard, own, spec, ctx) where guard
+    is the first guard reason (or NULL) and each test is struct(outcome, reason) of its first
+    matching rule (or NULL = uncertain)."""
     rules = rules or cat.VERIFY_RULES
     guards = [r for r in rules if r[1] == "guard"]
-    guard = _first_match(guards, etype, value, context, lambda r: F.lit(r[5]), after).cast("string")
-    tests, why = {}, {}
+    fields = [_first_match(guards, etype, value, context, lambda r: F.lit(r[5]), after)
+              .cast("string").alias("guard")]
     for t in cat.TESTS:
         tr = [r for r in rules if r[1] == t]
-        raw = _first_match(tr, etype, value, context, lambda r: F.lit(r[4]), after).cast("boolean")
-        tests[t] = F.when(guard.isNotNull(), F.lit(False)).otherwise(raw)
-        why[t] = _first_match(tr, etype, value, context, lambda r: F.lit(r[5]), after).cast("string")
+        hit = _first_match(tr, etype, value, context,
+                           lambda r: F.struct(F.lit(r[4]).alias("outcome"), F.lit(r[5]).alias("reason")),
+                           after)
+        fields.append(hit.cast("struct<outcome:boolean,reason:string>").alias(t))
+    return F.struct(*fields)
+
+
+def rule_decide(raw: Column) -> dict[str, Column]:
+    """Phase 2 — cheap: tri-state tests, verdict, confidence and reason from ``rule_raw``."""
+    guard = raw["guard"]
+    tests = {t: F.when(guard.isNotNull(), F.lit(False)).otherwise(raw[t]["outcome"]) for t in cat.TESTS}
     all_false = None
     for t in cat.TESTS:
         f = ~F.coalesce(tests[t], F.lit(True))
@@ -88,21 +98,29 @@ def rule_columns(etype: Column, value: Column, context: Column, rules=None,
                   .when(n_true == 2, F.lit(0.8)).otherwise(F.lit(0.95)))
     reason = F.when(guard.isNotNull(), guard).when(~verified, F.lit(REASON_ALL_NEGATIVE))
     for t in cat.TESTS:
-        reason = reason.when(tests[t], F.concat(F.lit(cat.TEST_NAMES[t] + ": "), why[t]))
+        reason = reason.when(tests[t], F.concat(F.lit(cat.TEST_NAMES[t] + ": "), raw[t]["reason"]))
     reason = reason.otherwise(F.lit(REASON_UNCERTAIN))
     return {"guard_reason": guard, **tests, "verified": verified,
             "confidence": confidence, "reason": reason}
 
 
+def rule_columns(etype: Column, value: Column, context: Column, rules=None,
+                 after: Column | None = None) -> dict[str, Column]:
+    """Columns for guard reason, the three tri-state tests, verdict, confidence and reason."""
+    return rule_decide(rule_raw(etype, value, context, rules, after))
+
+
 def verify_candidates(cands: DataFrame, window: int = DEFAULT_WINDOW, rules=None) -> DataFrame:
     """J-03/J-04 on detected candidates (output of ``detect_candidates``).
 
     Adds ``own, spec, ctx, guard_reason, verified, confidence, reason``.
     """
     ctx = narrow_context(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), window)
-    cols = rule_columns(F.col("entity_type"), F.col("entity_value"), ctx, rules,
-                        after_value(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), window))
-    return cands.select("*", *[c.alias(k) for k, c in cols.items()])
+    raw = rule_raw(F.col("entity_type"), F.col("entity_value"), ctx, rules,
+                   after_value(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), window))
+    staged = cands.withColumn("_rule_raw", raw)   # regexes once per row, decisions read it
+    cols = rule_decide(F.col("_rule_raw"))
+    return staged.select(*cands.columns, *[c.alias(k) for k, c in cols.items()])
 
 
 def after_value(context: Column, ctx_offset: Column, value: Column, window: int) -> Column:
