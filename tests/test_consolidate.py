@@ -54,3 +54,20 @@ def test_batch_results_short_circuit(spark):
     s = {r.doc_id: r for r in C.batch_result_summary(b).collect()}
     assert s[1].short_circuit and s[1].n_verified == 0 and s[1].confidence == 0.0
     assert s[2].verified == "Email Address" and s[2].rejected == "" and s[2].confidence == 1.0
+
+
+def test_in_row_and_table_forms_agree(spark):
+    from pyspark.sql import functions as F
+
+    from piisieve.operators import detect
+
+    from conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    arr = detect.detect_arrays(docs).select("doc_id", "candidates", "PIIs")
+    in_row = C.batch_results_in_row(arr).select("doc_id", "model", "verified_piis")
+    cands = detect.detect_candidates(docs)
+    labels = C.label_verdicts(C.candidate_model_verdicts(cands))
+    recs = arr.select("doc_id", "PIIs")
+    table = C.batch_results(recs, labels).select("doc_id", "model", "verified_piis")
+    assert in_row.count() == table.count()
+    assert in_row.exceptAll(table).count() == 0
