@@ -60,10 +60,13 @@ def _pct(col: str, approx: bool) -> Column:
     return F.percentile(col, F.array(*[F.lit(p) for p in PROBS]))
 
 
-def model_stats(results: DataFrame, model_col: str | None = "model", approx: bool = False) -> DataFrame:
+def model_stats(results: DataFrame, model_col: str | None = "model", approx: bool = False,
+                error_col: str | None = None) -> DataFrame:
     """E-01 ... E-08 per model: counts, rate, latency/confidence summaries, throughput.
 
     ``model_col=None`` aggregates the whole input into one row (also when it is empty).
+    ``error_col`` (E-03): rows where it is not NULL (a reject reason or a fallback parse
+    path) are counted as ``error_count``.
     """
     lat, conf = F.col("latency_ms"), F.col("confidence")
     keys = [model_col] if model_col else []
@@ -77,7 +80,8 @@ def model_stats(results: DataFrame, model_col: str | None = "model", approx: boo
         (F.percentile_approx("confidence", 0.5, 10000) if approx
          else F.median(conf)).alias("confidence_median"),
         F.min(conf).alias("confidence_min"), F.max(conf).alias("confidence_max"),
-        F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))").alias("_span_us"))
+        F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))").alias("_span_us"),
+        *([F.count_if(F.col(error_col).isNotNull()).alias("error_count")] if error_col else []))
     secs = F.col("_span_us") / F.lit(1e6)
     return agg.select(
         *keys, "total", "verified", "rejected",
@@ -93,7 +97,8 @@ def model_stats(results: DataFrame, model_col: str | None = "model", approx: boo
         F.col("confidence_median").cast("double").alias("confidence_median"),
         "confidence_min", "confidence_max",
         secs.alias("total_time_sec"),
-        F.when(secs > 0, F.col("total") / secs).otherwise(F.lit(0.0)).alias("items_per_sec"))
+        F.when(secs > 0, F.col("total") / secs).otherwise(F.lit(0.0)).alias("items_per_sec"),
+        *(["error_count"] if error_col else []))
 
 
 def overall_stats(results: DataFrame) -> DataFrame:
@@ -180,3 +185,32 @@ def windowed_stats(results: DataFrame, every: str = "1 hour", model_col: str = "
                 model_col, "total", "verified",
                 (F.col("verified") / F.col("total")).alias("verification_rate"),
                 "latency_mean", "latency_p95", "latency_max"))
+
+
+def first_model_info(results: DataFrame, group_col: str = "model_tag", order_col: str = "load_order",
+                     info_cols: tuple[str, ...] = ("name", "type", "parameters")) -> DataFrame:
+    """E-10: model name/type/parameters from the first result row of each file (or group)."""
+    info = F.min_by(F.struct(*[F.col(c) for c in info_cols]), order_col).alias("info")
+    return results.groupBy(group_col).agg(info).select(group_col, "info.*")
+
+
+def summary_lines(stats: DataFrame) -> DataFrame:
+    """E-11/I-18: the human summary of a stats row as formatted strings (one row per model)."""
+    key = [c for c in stats.columns if c not in _STAT_FIELDS][:1]
+    pct = lambda c: F.concat(F.format_string("%.1f", F.col(c) * 100), F.lit("%"))
+    return stats.select(*key,
+        F.format_string("Total Processed: %d", "total").alias("total_line"),
+        F.concat(F.format_string("Verified: %d (", "verified"), pct("verification_rate"), F.lit(")"))
+         .alias("verified_line"),
+        F.format_string("Latency: mean %.2fms, p50 %.2fms, p95 %.2fms, p99 %.2fms", "latency_mean",
+                        "latency_p50", "latency_p95", "latency_p99").alias("latency_line"),
+        F.format_string("Confidence: mean %.3f, median %.3f", "confidence_mean",
+                        "confidence_median").alias("confidence_line"),
+        F.format_string("Throughput: %.2fs, %.2f items/s", "total_time_sec", "items_per_sec")
+         .alias("throughput_line"))
+
+
+_STAT_FIELDS = {"total", "verified", "rejected", "verification_rate", "latency_mean", "latency_median",
+                "latency_p50", "latency_p95", "latency_p99", "latency_min", "latency_max",
+                "confidence_mean", "confidence_median", "confidence_min", "confidence_max",
+                "total_time_sec", "items_per_sec", "error_count"}

@@ -556,3 +556,10 @@ def q_entity_results(spark, sf_dir):
                     F.col("model.name").alias("model_name"), F.col("model.type").alias("model_type"),
                     F.col("model.parameters").alias("model_parameters"),
                     (F.col("metadata")["is_true_positive"] == "true").alias("metadata_is_true_positive"))
+
+
+@register("model_stats_approx")
+def q_model_stats_approx(spark, sf_dir):
+    """E-06: the same per-model stats with ``percentile_approx`` (bounded buffers for value
+    domains without a bound); rows-only check, approximate quantiles differ by engine."""
+    return stats.model_stats(inference_log(spark, sf_dir), approx=True)

@@ -57,3 +57,25 @@ def test_batches_short_last_batch(spark):
     b = stats.batch_latency(stats.assign_batches(df, 4, ["model"], ["id"]), ["model"])
     sizes = sorted((r.batch_id, r.batch_size, r.per_item_ms) for r in b.collect())
     assert sizes == [(0, 4, 2.0), (1, 4, 2.0), (2, 2, 2.0)]
+
+
+def test_error_count_first_info_and_summary(spark):
+    df = spark.createDataFrame(
+        [("f1", 2, "m1", "cpu", "66M", 1.0, 0.5, True, dt.datetime(2024, 1, 1), None),
+         ("f1", 1, "m0", "gpu", "1B", 2.0, 0.7, False, dt.datetime(2024, 1, 1, 0, 0, 1), "P-08")],
+        "model_tag string, load_order long, name string, type string, parameters string, latency_ms double, "
+        "confidence double, verified boolean, ts timestamp_ntz, parse_path string")
+    info = stats.first_model_info(df).first()
+    assert (info.name, info.type, info.parameters) == ("m0", "gpu", "1B")
+    s = stats.model_stats(df.withColumnRenamed("model_tag", "model"), error_col="parse_path")
+    row = s.first()
+    assert row.error_count == 1
+    lines = stats.summary_lines(s).first()
+    assert lines.verified_line == "Verified: 1 (50.0%)" and lines.total_line == "Total Processed: 2"
+
+
+def test_approx_percentiles(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("m", i, float(i), 0.5, True, t) for i in range(1, 101)]
+    s = stats.model_stats(_log(spark, rows), approx=True).first()
+    assert 94 <= s.latency_p95 <= 96
