@@ -563,3 +563,20 @@ def q_model_stats_approx(spark, sf_dir):
     """E-06: the same per-model stats with ``percentile_approx`` (bounded buffers for value
     domains without a bound); rows-only check, approximate quantiles differ by engine."""
     return stats.model_stats(inference_log(spark, sf_dir), approx=True)
+
+
+# --------------------------------------------------------------------------- scorer plug-in (J-08)
+@register("plugin_scorer_replies", f"""
+SELECT doc_id, parse_path, array_to_string(verified, '|') AS verified, CAST(len(verified) AS INTEGER) AS n_verified
+FROM {O.parse_simple_sql(f'''(SELECT doc_id, piis, CASE WHEN len(k) = 0 THEN 'NONE' ELSE array_to_string(k, ', ') END AS raw_response
+  FROM (SELECT doc_id, piis, list_filter(piis, lambda l: contains(lower(text), lower(split_part(l, ' ', 1)))) AS k
+        FROM {_DET} d) s)''')} p""")
+def q_plugin_scorer_replies(spark, sf_dir):
+    """J-08: a user scorer on Arrow batches (mapInPandas, built once per worker), its
+    simple-mode replies parsed with Columns (P-10 ... P-15)."""
+    docs = detected_docs(spark, sf_dir).select("doc_id", F.col("text").alias("input"),
+                                              F.col("PIIs").alias("detected_piis"))
+    scored = scorer.score_with(docs, scorer.KeywordScorer)
+    p = scored.select("doc_id", replies_op.parse_simple(F.col("raw_response"), F.col("detected_piis")).alias("p"))
+    return p.select("doc_id", "p.parse_path", F.array_join("p.verified", "|").alias("verified"),
+                    F.size("p.verified").alias("n_verified"))
