@@ -41,11 +41,17 @@ def _all(labels: Column, verified: bool, reason: str | Column) -> Column:
 
 
 # ----------------------------------------------------------------------------- single entity
-def parse_single(reply: Column) -> Column:
-    """P-01 ... P-03: struct(verified, confidence, reason, parse_path)."""
-    sl = _json_slice(reply)
-    v = strict_json(sl)
-    obj = F.try_variant_get(v, "$[0]", "variant")
+def _inline(name: str, expr: Column) -> Column:
+    return expr
+
+
+def parse_single(reply: Column, ref=_inline) -> Column:
+    """P-01 ... P-03: struct(verified, confidence, reason, parse_path).
+
+    ``ref(name, expr)`` lets ``staged`` materialise intermediate values once per row."""
+    sl = ref("_sl", _json_slice(reply))
+    v = ref("_v", strict_json(sl))
+    obj = ref("_obj", F.try_variant_get(v, "$[0]", "variant"))
     has = lambda k: F.try_variant_get(obj, f"$.{k}", "variant").isNotNull()
     ver = F.try_variant_get(obj, "$.verified", "boolean")
     conf = F.try_variant_get(obj, "$.confidence", "double")
@@ -56,9 +62,9 @@ def parse_single(reply: Column) -> Column:
     bad_conf = has("confidence") & conf.isNull()
     low = F.lower(reply)
     text_yes = F.contains(low, F.lit("true")) | F.contains(low, F.lit("yes"))
-    path = (F.when(sl.isNull(), F.lit("P-02"))
-            .when(v.isNull() | ~is_obj | bad_conf, F.lit("P-03"))
-            .otherwise(F.lit("P-01")))
+    path = ref("_path", F.when(sl.isNull(), F.lit("P-02"))
+               .when(v.isNull() | ~is_obj | bad_conf, F.lit("P-03"))
+               .otherwise(F.lit("P-01")))
     return F.struct(
         F.when(path == "P-01", F.when(has("verified"), ver).otherwise(F.lit(True)))
          .when(path == "P-02", text_yes).otherwise(F.lit(True)).alias("verified"),
@@ -82,25 +88,26 @@ def strip_fence(s: Column) -> Column:
     return F.when(F.startswith(s, F.lit("```")), py_strip(F.array_join(body, "\n"))).otherwise(s)
 
 
-def parse_reasoning(reply: Column, detected: Column) -> Column:
+def parse_reasoning(reply: Column, detected: Column, ref=_inline) -> Column:
     """P-04 ... P-09: struct(items array<struct<pii,verified,reason>>, parse_path)."""
-    rc = strip_fence(py_strip(F.coalesce(reply, F.lit(""))))
-    sl = _json_slice(rc)
+    r0 = ref("_r0", py_strip(F.coalesce(reply, F.lit(""))))
+    rc = ref("_rc", strip_fence(r0))
+    sl = ref("_sl", _json_slice(rc))
     fixed = F.replace(F.replace(sl, F.lit(": True"), F.lit(": true")),
                       F.lit(": False"), F.lit(": false"))
-    v = strict_json(fixed)
-    results = F.try_variant_get(v, "$[0].results", "variant")
+    v = ref("_v", strict_json(fixed))
+    results = ref("_res", F.try_variant_get(v, "$[0].results", "variant"))
     is_list = F.startswith(F.schema_of_variant(F.coalesce(results, F.parse_json(F.lit("null")))),
                            F.lit("ARRAY"))
     # items one by one: a non-object item becomes NULL and is dropped, the rest survive
     items = F.filter(F.transform(F.try_variant_get(results, "$", "array<variant>"),
                                  lambda x: F.try_variant_get(x, "$", ITEM)),
                      lambda x: x.isNotNull())
-    path = (F.when((rc == "") | (rc == "```"), F.lit("P-04"))
-            .when(sl.isNull(), F.lit("P-07"))
-            .when(v.isNull(), F.lit("P-08"))
-            .when(is_list, F.lit("P-05"))
-            .otherwise(F.lit("P-06")))
+    path = ref("_path", F.when((rc == "") | (rc == "```"), F.lit("P-04"))
+               .when(sl.isNull(), F.lit("P-07"))
+               .when(v.isNull(), F.lit("P-08"))
+               .when(is_list, F.lit("P-05"))
+               .otherwise(F.lit("P-06")))
     out = (F.when(path == "P-04", _all(detected, False, cat.REASON_EMPTY_REPLY))
            .when(path == "P-07", _all(detected, False, cat.REASON_NO_JSON))
            .when(path == "P-08", _all(detected, True, cat.REASON_DECODE_FAILED))
@@ -130,31 +137,31 @@ def fuzzy_match(part: Column, detected: Column) -> Column:
     return F.coalesce(stop, overlap)
 
 
-def parse_simple(reply: Column, detected: Column) -> Column:
-    """P-10 ... P-15: struct(verified array<string>, parse_path)."""
+def parse_simple(reply: Column, detected: Column, ref=_inline) -> Column:
+    """P-10 ... P-15: struct(verified array<string>, parse_path, unmatched_parts)."""
     raw = F.coalesce(reply, F.lit(""))
-    r0 = py_strip(raw)
+    r0 = ref("_r0", py_strip(raw))
     # P-10: after a garbage prefix, jump to the first detected label found past index 0
     hit = F.try_element_at(F.filter(detected, lambda d: F.instr(r0, d) > 1), F.lit(1))
-    r1 = F.when(startswith_any(r0, cat.GARBAGE_PREFIXES) & hit.isNotNull(),
-                F.substring(r0, F.instr(r0, hit), F.length(r0))).otherwise(r0)
+    r1 = ref("_r1", F.when(startswith_any(r0, cat.GARBAGE_PREFIXES) & hit.isNotNull(),
+                           F.substring(r0, F.instr(r0, hit), F.length(r0))).otherwise(r0))
     none = F.contains(F.upper(F.substring(r1, 1, 20)), F.lit("NONE"))
     # P-12: split, strip, drop empty/NONE, keep first line, drop sentences and stop words
     parts = F.filter(F.transform(F.split(r1, ",", -1), lambda p: py_strip(p)),
                      lambda p: (p != "") & (F.upper(p) != "NONE"))
     parts = F.transform(parts, lambda p: F.when(F.instr(p, "\n") > 0,
                                                 py_strip(F.substring_index(p, "\n", 1))).otherwise(p))
-    parts = F.filter(parts, lambda p: (F.length(p) < 100) & ~contains_any(p, cat.STOP_WORDS))
+    parts = ref("_parts", F.filter(parts, lambda p: (F.length(p) < 100) & ~contains_any(p, cat.STOP_WORDS)))
     # P-13: fuzzy match each part, keep first occurrences in order
     matched = F.array_distinct(F.filter(F.transform(parts, lambda p: fuzzy_match(p, detected)),
                                         lambda x: x.isNotNull() & (x != "")))
     # P-14: JSON fallback on the original reply
-    sl = _json_slice(raw)
-    v = strict_json(sl)
-    vp = F.try_variant_get(v, "$[0].verified_piis", "variant")
+    sl = ref("_sl", _json_slice(raw))
+    v = ref("_v", strict_json(sl))
+    vp = ref("_vp", F.try_variant_get(v, "$[0].verified_piis", "variant"))
     vp_list = F.startswith(F.schema_of_variant(F.coalesce(vp, F.parse_json(F.lit("null")))),
                            F.lit("ARRAY"))
-    path = (F.when(none, F.lit("P-11"))
+    path = ref("_path", F.when(none, F.lit("P-11"))
             .when(F.size(parts) > 0, F.lit("P-13"))
             .when(sl.isNotNull() & v.isNull(), F.lit("P-15"))
             .when(vp_list, F.lit("P-14"))
@@ -181,11 +188,26 @@ def parse_replies(df: DataFrame, mode: str, reply_col: str = "raw_response",
                   detected_col: str = "detected_piis") -> DataFrame:
     """Parse a reply table in ``simple`` or ``reasoning`` mode; adds the parsed columns."""
     if mode == "simple":
-        p = parse_simple(F.col(reply_col), F.col(detected_col))
-        return df.withColumn("_p", p).select("*", "_p.verified", "_p.parse_path").drop("_p")
+        return staged(df, parse_simple, reply_col, detected_col, out="_p").select(
+            "*", "_p.verified", "_p.parse_path").drop("_p")
     if mode == "reasoning":
-        p = parse_reasoning(F.col(reply_col), F.col(detected_col))
-        out = df.withColumn("_p", p).select("*", F.col("_p.items").alias("verified_piis"),
-                                            "_p.parse_path").drop("_p")
+        out = staged(df, parse_reasoning, reply_col, detected_col, out="_p").select(
+            "*", F.col("_p.items").alias("verified_piis"), "_p.parse_path").drop("_p")
         return out.withColumn("n_invented", invented_labels(F.col("verified_piis"), F.col(detected_col)))
     raise ValueError(mode)
+
+
+def staged(df: DataFrame, parser, *cols: str, out: str = "p") -> DataFrame:
+    """Run ``parser`` (parse_single / parse_simple / parse_reasoning) over columns of
+    ``df`` with its intermediate values (stripped text, JSON slice, parsed VARIANT, parts)
+    materialised once per row as helper columns, then dropped; adds struct column ``out``."""
+    stages: list[tuple[str, Column]] = []
+
+    def ref(name, expr):
+        stages.append((name, expr))
+        return F.col(name)
+
+    result = parser(*[F.col(c) for c in cols], ref=ref)
+    for name, expr in stages:
+        df = df.withColumn(name, expr)
+    return df.withColumn(out, result).drop(*[n for n, _ in stages])

@@ -307,7 +307,7 @@ FROM {O.parse_simple_sql(f"(SELECT doc_id, piis, {O.simple_reply_sql('doc_id', '
 def q_parse_simple(spark, sf_dir):
     """P-10 ... P-15 on simple-mode replies of the seeded stand-in model."""
     replies = scorer.simulated_replies(detected_docs(spark, sf_dir), "simple")
-    p = replies.select("doc_id", replies_op.parse_simple(F.col("raw_response"), F.col("PIIs")).alias("p"))
+    p = replies_op.staged(replies, replies_op.parse_simple, "raw_response", "PIIs")
     return p.select("doc_id", "p.parse_path", F.array_join("p.verified", "|").alias("verified"),
                     F.size("p.verified").alias("n_verified"))
 
@@ -318,7 +318,7 @@ FROM {O.parse_reasoning_sql(f"(SELECT doc_id, piis, {O.reasoning_reply_sql('doc_
 def q_parse_reasoning(spark, sf_dir):
     """P-04 ... P-09 on reasoning-mode replies of the seeded stand-in model (long form)."""
     replies = scorer.simulated_replies(detected_docs(spark, sf_dir), "reasoning")
-    p = replies.select("doc_id", replies_op.parse_reasoning(F.col("raw_response"), F.col("PIIs")).alias("p"))
+    p = replies_op.staged(replies, replies_op.parse_reasoning, "raw_response", "PIIs")
     return p.select("doc_id", "p.parse_path", F.posexplode("p.items").alias("item_pos", "item")).select(
         "doc_id", "parse_path", "item_pos", "item.pii", "item.verified", "item.reason")
 
@@ -330,7 +330,7 @@ def q_parse_single(spark, sf_dir):
     """P-01 ... P-03 on single-entity replies of the seeded stand-in model."""
     cands = candidates(spark, sf_dir).select("doc_id", "entity_value")
     r = cands.withColumn("raw_response", scorer.single_reply("doc_id", F.col("entity_value")))
-    return r.select("doc_id", "entity_value", replies_op.parse_single(F.col("raw_response")).alias("p")).select(
+    return replies_op.staged(r, replies_op.parse_single, "raw_response").select(
         "doc_id", "entity_value", "p.verified", "p.confidence", "p.reason", "p.parse_path")
 
 
@@ -522,8 +522,8 @@ def q_reply_label_agreement(spark, sf_dir):
     """E-26 / H-05: parsed simple-mode labels vs the stand-in model's intended labels, per parse path."""
     replies = scorer.simulated_replies(detected_docs(spark, sf_dir), "simple")
     intended = F.filter("PIIs", lambda d: _draw("keep", 10, F.col("doc_id"), d) < 7)
-    p = replies.select(replies_op.parse_simple(F.col("raw_response"), F.col("PIIs")).alias("p"),
-                       intended.alias("intended"))
+    p = replies_op.staged(replies, replies_op.parse_simple, "raw_response", "PIIs").select(
+        "p", intended.alias("intended"))
     a = p.select("p.parse_path", replies_op.label_set_agreement(F.col("intended"), F.col("p.verified")).alias("a"))
     agg = a.rollup("parse_path").agg(
         F.count(F.lit(1)).alias("records"), F.sum("a.tp").alias("tp"), F.sum("a.fp").alias("fp"),
@@ -577,6 +577,6 @@ def q_plugin_scorer_replies(spark, sf_dir):
     docs = detected_docs(spark, sf_dir).select("doc_id", F.col("text").alias("input"),
                                               F.col("PIIs").alias("detected_piis"))
     scored = scorer.score_with(docs, scorer.KeywordScorer)
-    p = scored.select("doc_id", replies_op.parse_simple(F.col("raw_response"), F.col("detected_piis")).alias("p"))
+    p = replies_op.staged(scored, replies_op.parse_simple, "raw_response", "detected_piis")
     return p.select("doc_id", "p.parse_path", F.array_join("p.verified", "|").alias("verified"),
                     F.size("p.verified").alias("n_verified"))
