@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogue as cat
 from ..functions.text import truncate_text
+from .rows import generator_input
 from .verify import after_value, narrow_context, rule_decide, rule_raw
 
 VERDICT_ITEM = "struct<pii:string,verified:boolean,reason:string>"
@@ -194,7 +195,7 @@ def results_long(results: DataFrame, model_col: str = "model", order_col: str =
         F.coalesce(F.col(id_col).cast("string"), F.lit("unknown")).alias("record_id"),
         truncate_text(F.coalesce(F.col(input_col), F.lit("")), text_chars).alias("input_text"),
         F.col(model_col).alias("model"), F.col(order_col).alias("load_order"),
-        F.posexplode(items_col).alias("item_pos", "item"))
+        F.posexplode(generator_input(items_col)).alias("item_pos", "item"))
     return exploded.select(
         "record_id", "input_text", "model", "load_order", "item_pos",
         F.coalesce("item.pii", F.lit("")).alias("pii"),

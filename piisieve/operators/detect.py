@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalogue as cat
+from .rows import generator_input
 
 CONTEXT_CHARS = 120  # widest context any verifier may ask for
 
@@ -24,16 +25,22 @@ def _valid(etype: str, value: Column) -> Column:
     return F.length(value) > 0
 
 
-def _distinct_with_counts(hits: Column) -> Column:
+def _inline(name: str, expr: Column) -> Column:
+    return expr
+
+
+def _distinct_with_counts(hits: Column, ref=_inline, tag: str = "") -> Column:
     """Distinct values of a hit array with their counts, in O(k log k) inside the row.
 
     The array is sorted, run starts are the positions whose value differs from the
-    previous one, and a run's length is the distance to the next start.
+    previous one, and a run's length is the distance to the next start. ``ref`` stages the
+    sorted array and the starts as columns: expressions captured by a lambda are evaluated
+    again for every element, which would rerun the regex per hit.
     """
-    s = F.array_sort(hits)
+    s = ref(f"_s{tag}", F.array_sort(hits))
     n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(
-        i == 1, F.lit(True)).otherwise(F.element_at(s, i) != F.element_at(s, i - 1)))
+    starts = ref(f"_st{tag}", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(
+        i == 1, F.lit(True)).otherwise(F.element_at(s, i) != F.element_at(s, i - 1))))
     runs = F.transform(starts, lambda st, j: F.struct(
         F.element_at(s, st).alias("v"),
         (F.coalesce(F.try_element_at(starts, j + 2), n + 1) - st).alias("n")))
@@ -53,13 +60,15 @@ def _candidate(etype: str, label: str, text: Column, context_chars: int):
     return fn
 
 
-def candidate_array(text: Column, rules=None, context_chars: int = CONTEXT_CHARS) -> Column:
-    """All distinct candidates of one text as ``array<CANDIDATE>`` (computed in the row)."""
+def candidate_array(text: Column, rules=None, context_chars: int = CONTEXT_CHARS, ref=_inline) -> Column:
+    """All distinct candidates of one text as ``array<CANDIDATE>`` (computed in the row).
+
+    Pass ``ref`` (see ``detect_arrays``) to materialise each rule's hit array once."""
     rules = rules or cat.DETECTION_RULES
     per_rule = []
-    lowered = F.lower(text)
+    lowered = ref("_lowered", F.lower(text))
     empty_runs = F.array().cast("array<struct<v:string,n:int>>")
-    for etype, label, pattern, group in rules:
+    for k, (etype, label, pattern, group) in enumerate(rules):
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         if etype in cat.DETECTION_NEEDLES:
             needles, lower = cat.DETECTION_NEEDLES[etype]
@@ -69,8 +78,8 @@ def candidate_array(text: Column, rules=None, context_chars: int = CONTEXT_CHARS
                 c = F.instr(hay, nd) > 0
                 present = c if present is None else present | c
             hits = F.when(present, hits).otherwise(F.array().cast("array<string>"))
-        hits = F.filter(hits, _validator(etype))
-        runs = F.coalesce(_distinct_with_counts(hits), empty_runs)
+        hits = ref(f"_h{k}", F.filter(hits, _validator(etype)))
+        runs = F.coalesce(_distinct_with_counts(hits, ref, str(k)), empty_runs)
         per_rule.append(F.transform(runs, _candidate(etype, label, text, context_chars)))
     return F.concat(*per_rule)
 
@@ -87,8 +96,21 @@ def detect_arrays(df: DataFrame, text_col: str = "text", rules=None,
     Everything a later per-document step needs stays in the document's row, so verifying,
     labelling and building per-model results need no join back to the documents.
     """
-    cands = candidate_array(F.col(text_col), rules, context_chars)
-    return df.withColumn("candidates", cands).withColumn("PIIs", labels_of(F.col("candidates")))
+    stages: list[tuple[str, Column]] = []
+
+    def ref(name, expr):
+        stages.append((name, expr))
+        return F.col(name)
+
+    cands = candidate_array(F.col(text_col), rules, context_chars, ref)
+    # one projection per dependency level (_lowered, _h*, _s*, _st*), not one per column
+    levels: dict[str, dict[str, Column]] = {}
+    for name, expr in stages:
+        levels.setdefault(name.rstrip("0123456789"), {})[name] = expr
+    for group in levels.values():
+        df = df.withColumns(group)
+    df = df.withColumn("candidates", cands).drop(*[n for n, _ in stages])
+    return df.withColumn("PIIs", labels_of(F.col("candidates")))
 
 
 def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -103,8 +125,8 @@ def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     All hits of a record live in its row, so repeated values are collapsed inside the row
     (sorted array + run lengths) and the whole job is map-only: no shuffle, no aggregate.
     """
-    cands = candidate_array(F.col(text_col), rules, context_chars)
-    return df.select(F.col(id_col), F.inline(cands))
+    arr = detect_arrays(df.select(id_col, text_col), text_col, rules, context_chars)
+    return arr.select(F.col(id_col), F.inline(generator_input("candidates")))
 
 
 CANDIDATE = ("struct<entity_type:string,label:string,entity_value:string,n_hits:bigint,"

@@ -19,3 +19,15 @@ def keep_if(df: DataFrame, cond: Callable[[Column], Column]) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return df.select(F.inline(F.filter(F.array(row), cond)))
+
+
+def generator_input(arr) -> Column:
+    """Wrap an array column before ``inline``/``explode``.
+
+    For a generator over a bare column Catalyst infers ``size(col) > 0`` and pushes it down
+    with the column's defining expression substituted — re-running e.g. the whole regex
+    detection in the scan stage. The inference only applies to bare attributes, so pass the
+    array through an identity ``filter``.
+    """
+    col = F.col(arr) if isinstance(arr, str) else arr
+    return F.filter(col, lambda x: F.lit(True))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogue as cat
 from .detect import CONTEXT_CHARS
+from .rows import generator_input
 
 DEFAULT_WINDOW = 60
 REASON_ALL_NEGATIVE = "All three tests negative"
@@ -200,7 +201,7 @@ def verify_labels(records: DataFrame, candidate_verdicts: DataFrame, id_col: str
         F.min_by("reason", F.struct(~F.col("verified"), F.col("first_pos"))).alias("v_reason"),
         F.min_by("reason", F.col("first_pos")).alias("first_reason")))
     exploded = records.select(id_col, text_col,
-                              F.posexplode(labels_col).alias("label_pos", "label"))
+                              F.posexplode(generator_input(labels_col)).alias("label_pos", "label"))
     guard = None
     for label, pattern, reason in cat.LABEL_GUARDS:
         cond = (F.col("label") == label) & F.col(text_col).rlike(pattern)

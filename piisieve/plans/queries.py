@@ -298,7 +298,8 @@ def q_single_prompts(spark, sf_dir):
         return F.struct(c.entity_type.alias("entity_type"), c.entity_value.alias("entity_value"),
                         F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_chars"))
     # the prompt needs the whole text: build it in the document's row, never join text back
-    return docs.select("doc_id", F.inline(F.transform(detect.candidate_array(text), one)))
+    arr = detect.detect_arrays(docs)
+    return arr.select("doc_id", F.inline(F.transform("candidates", one)))
 
 
 @register("parse_simple_replies", f"""
