@@ -78,7 +78,7 @@ def _load_order(paths: list[str]) -> Column:
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType = DETECTED_RECORD,
                required: tuple[str, ...] = ("recordId", "input"), rejects: bool = False,
-               ignore_missing: bool = False) -> DataFrame:
+               ignore_missing: bool = False, keep_variant: bool = False) -> DataFrame:
     """A-01/A-02/A-07/A-08: tolerant JSONL scan.
 
     Blank lines are skipped; a line that is not exactly one JSON value is rejected as
@@ -100,16 +100,35 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
         reason = reason.when(~F.array_contains(keys, k), F.lit(f"missing_{k}"))
     parsed = lines.select(
         "raw_line", "load_order", reason.alias("reject_reason"),
-        F.when(reason.isNull(), F.from_json("line", schema)).alias("rec"))
+        F.when(reason.isNull(), F.from_json("line", schema)).alias("rec"),
+        *([F.when(reason.isNull(), F.try_parse_json("line")).alias("json")] if keep_variant else []))
     out = parsed.select(
         *[F.col(f"rec.{f.name}").alias(f.name) for f in schema.fields],
         F.regexp_replace(F.col("load_order.file_name"), r"\.[^.]*$", "").alias("model_tag"),
-        "load_order", "reject_reason", "raw_line")
+        "load_order", "reject_reason", "raw_line", *(["json"] if keep_variant else []))
     if rejects:
         return out
     return out.filter(F.col("reject_reason").isNull()).drop("reject_reason", "raw_line")
 
 
+RESULT_ITEM = "struct<pii:string,verified:boolean,reason:string>"
+
+
+def read_results(spark: SparkSession, paths: str | list[str], ignore_missing: bool = True) -> DataFrame:
+    """A-07/C-06: reasoning-mode result files for consolidation.
+
+    ``verified_piis`` is read item by item from the parsed line: object items become
+    struct(pii, verified, reason) (missing keys NULL), anything else (strings of simple
+    mode, numbers, a non-list value) is ignored — one stray item never drops the others.
+    """
+    base = T.StructType([f for f in REASONING_RESULT.fields if f.name != "verified_piis"])
+    df = read_jsonl(spark, paths, base, required=(), ignore_missing=ignore_missing, keep_variant=True)
+    items = F.filter(F.transform(F.try_variant_get("json", "$.verified_piis", "array<variant>"),
+                                 lambda x: F.try_variant_get(x, "$", RESULT_ITEM)),
+                     lambda x: x.isNotNull())
+    return df.withColumn("verified_piis", F.coalesce(items, F.array().cast(f"array<{RESULT_ITEM}>"))).drop("json")
+
+
 def count_nonblank(spark: SparkSession, path: str | list[str]) -> int:
     """A-03: non-blank line count (invalid lines included)."""
     return spark.read.text(path).filter(py_strip(F.col("value")) != "").count()

@@ -115,3 +115,17 @@ def test_entity_results_shape(spark):
     r = sinks.entity_results(df, "rules", "cpu", "0").first()
     assert r.entityType == "UNKNOWN" and r.entityValue == "" and r.metadata == {}
     assert r.result.confidence == 0.1235 and r.model.name == "rules" and r.timestamp.endswith("Z")
+
+
+def test_result_items_read_one_by_one(spark, tmpdir_path):
+    from piisieve.operators import consolidate as C
+    p = _write(tmpdir_path, "m_reasoning.jsonl", [
+        '{"recordId": "a", "input": "t", "verified_piis": ["Email Address"], "model": "m"}',
+        '{"recordId": "b", "input": "u", "verified_piis": [{"pii": "Phone Number", "verified": true, '
+        '"reason": "r"}, "stray", {"pii": "Salary"}], "model": "m"}',
+        '{"recordId": "c", "input": "v", "verified_piis": "oops", "model": "m"}'])
+    df = jsonl.read_results(spark, [p])
+    assert df.count() == 3
+    long = {(r.record_id, r.pii): (r.verified, r.reason)
+            for r in C.results_long(df, model_col="model_tag").collect()}
+    assert long == {("b", "Phone Number"): (True, "r"), ("b", "Salary"): (False, "No reason provided")}
