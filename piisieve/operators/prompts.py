@@ -108,3 +108,16 @@ def prompt_table(records: DataFrame, id_col: str = "recordId", text_col: str = "
         id_col, "mode", labels_col,
         batch_prompt(F.col(text_col), F.col(labels_col), F.col("mode") == "reasoning")
         .alias("prompt"))
+
+
+def catalogue_map_from(catalogue: DataFrame, max_rows: int = 100_000) -> Column:
+    """D-03 with a catalogue read from a file (``sources.jsonl.read_catalogue``): turn it into
+    a literal map after checking its size, so every row can look labels up without a join.
+    A label catalogue is small by nature; a larger table is refused rather than broadcast."""
+    n = catalogue.count()
+    if n > max_rows:
+        raise ValueError(f"catalogue has {n} rows (> {max_rows}); join it instead of inlining it")
+    rows = [(r["name"], r["category"] if "category" in r else "", r["description"])
+            for r in catalogue.select("name", "description",
+                                      *(["category"] if "category" in catalogue.columns else [])).collect()]
+    return catalogue_map(rows) if rows else F.create_map().cast("map<string,string>")

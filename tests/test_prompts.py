@@ -49,3 +49,11 @@ def test_chat_messages(spark):
                   prompts.chat_messages(F.col("p"), "user").alias("b"),
                   prompts.chat_messages(F.col("p"), "raw").alias("c")).first()
     assert [m.role for m in r.a] == ["system", "user"] and len(r.b) == 1 and r.c == []
+
+
+def test_catalogue_from_table(spark):
+    cat_df = spark.createDataFrame([("Salary", "pay", "Financial Data")], "name string, description string, category string")
+    m = prompts.catalogue_map_from(cat_df)
+    df = spark.createDataFrame([(["Salary", "Other"],)], "l array<string>")
+    d = df.select(prompts.describe_labels(F.col("l"), m).alias("d")).first().d
+    assert d == f"- **Salary**: pay\n- **Other**: {cat.NO_DESCRIPTION}"
