@@ -117,7 +117,5 @@ def catalogue_map_from(catalogue: DataFrame, max_rows: int = 100_000) -> Column:
     n = catalogue.count()
     if n > max_rows:
         raise ValueError(f"catalogue has {n} rows (> {max_rows}); join it instead of inlining it")
-    rows = [(r["name"], r["category"] if "category" in r else "", r["description"])
-            for r in catalogue.select("name", "description",
-                                      *(["category"] if "category" in catalogue.columns else [])).collect()]
+    rows = [(r["name"], "", r["description"]) for r in catalogue.select("name", "description").collect()]
     return catalogue_map(rows) if rows else F.create_map().cast("map<string,string>")
