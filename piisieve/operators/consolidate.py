@@ -254,7 +254,7 @@ def rejection_by_type(long: DataFrame) -> DataFrame:
     last = long.groupBy("record_id", "pii", "model").agg(
         F.max_by("verified", F.struct("load_order", "item_pos")).alias("verified"))
     return last.rollup("pii", "model").agg(
-        F.grouping_id().alias("level"),
+        F.grouping_id().cast("int").alias("level"),
         F.count(F.lit(1)).alias("n"),
         F.count_if(~F.col("verified")).alias("n_rejected"),
         (F.count_if(~F.col("verified")) / F.count(F.lit(1))).alias("rejection_rate"))
