@@ -21,6 +21,10 @@ def norm(v):
     return v
 
 
+_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+         "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -42,6 +46,10 @@ def compare(spark, con, fn, sql: str | None, sf_dir: str) -> tuple[bool, str]:
     dcols = [d[0] for d in res.description]
     if sorted(cols) != sorted(dcols):
         return False, f"columns differ: spark={cols} duckdb={dcols}"
+    dtypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    bad = [(c, t, dtypes.get(c)) for c, t in df.dtypes if _DUCK.get(t, t) != dtypes.get(c)]
+    if bad:
+        return False, f"types differ: {bad}"
     idx = [dcols.index(c) for c in cols]
     drows = [tuple(norm(r[i]) for i in idx) for r in res.fetchall()]
     key = lambda r: tuple((x is None, str(type(x)), str(x)) for x in r)
