@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalogue as cat
@@ -216,13 +216,14 @@ def consolidate(long: DataFrame, models: list[str]) -> DataFrame:
     ``{model}_Reason``. ``models`` fixes the pivot values and their column order.
     """
     order = F.struct("load_order", "item_pos")
-    # First-seen input per record as a window on record_id: the following groupBy on
-    # (record_id, pii) is already clustered by record_id, so both share one shuffle.
-    first_input = F.min_by("input_text", order).over(Window.partitionBy("record_id"))
-    cells = (long.withColumn("input_text", first_input)
-             .groupBy("record_id", "pii", "input_text")
+    # Both sides are reduced by partial (map-side) aggregation before any shuffle, so a
+    # record id carrying a third of all lines (copies, or the 'unknown' default) never lands
+    # whole in one task; the join then pairs one input row with at most #PIIs cells.
+    inputs = long.groupBy("record_id").agg(F.min_by("input_text", order).alias("input_text"))
+    cells = (long.groupBy("record_id", "pii")
              .pivot("model", models)
-             .agg(F.max_by(F.struct("verified", "reason"), order)))
+             .agg(F.max_by(F.struct("verified", "reason"), order))
+             .join(inputs, "record_id"))
     cols = [F.col("record_id"), F.col("input_text"), F.col("pii")]
     for m in models:
         c = F.col(f"`{m}`")
