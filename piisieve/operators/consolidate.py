@@ -13,6 +13,7 @@ before any shuffle, so long documents never travel.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,21 @@ def _row_items(i: int, verdicts: Column, labels: Column) -> Column:
     return F.filter(F.transform(labels, item), lambda x: x.isNotNull())
 
 
+@lru_cache(maxsize=None)
+def _batch_plan(models: tuple, candidates_col: str, labels_col: str):
+    """The (large, immutable) Column trees of ``batch_results_in_row``, built once."""
+    raws = F.transform(F.col(candidates_col), lambda c: F.struct(
+        c.label.alias("label"), c.first_pos.alias("first_pos"),
+        *[_model_raw(m, c).alias(f"r{i}") for i, m in enumerate(models)]))
+    verdicts = F.transform(F.col("_raws"), lambda x: F.struct(
+        x.label.alias("label"), x.first_pos.alias("first_pos"),
+        *[_model_decision(m, x[f"r{i}"]).alias(f"v{i}") for i, m in enumerate(models)]))
+    per_model = F.array(*[F.struct(F.lit(m.name).alias("model"),
+                                   _row_items(i, F.col("_verdicts"), F.col(labels_col)).alias("items"))
+                          for i, m in enumerate(models)])
+    return raws, verdicts, per_model
+
+
 def batch_results_in_row(docs: DataFrame, models=RULE_MODELS, candidates_col: str = "candidates",
                          labels_col: str = "PIIs") -> DataFrame:
     """C-02/C-03 without any shuffle: one reasoning-mode ``BatchResult`` per (document, model)
@@ -99,17 +115,9 @@ def batch_results_in_row(docs: DataFrame, models=RULE_MODELS, candidates_col: st
     no common-subexpression elimination), then grouped per label with cheap array filters.
     """
     keep = [c for c in docs.columns if c not in (candidates_col, labels_col)]
-    raws = F.transform(F.col(candidates_col), lambda c: F.struct(
-        c.label.alias("label"), c.first_pos.alias("first_pos"),
-        *[_model_raw(m, c).alias(f"r{i}") for i, m in enumerate(models)]))
+    raws, verdicts, per_model = _batch_plan(tuple(models), candidates_col, labels_col)
     staged = docs.select(*keep, labels_col, raws.alias("_raws"))
-    verdicts = F.transform(F.col("_raws"), lambda x: F.struct(
-        x.label.alias("label"), x.first_pos.alias("first_pos"),
-        *[_model_decision(m, x[f"r{i}"]).alias(f"v{i}") for i, m in enumerate(models)]))
     staged = staged.select(*keep, labels_col, verdicts.alias("_verdicts"))
-    per_model = F.array(*[F.struct(F.lit(m.name).alias("model"),
-                                   _row_items(i, F.col("_verdicts"), F.col(labels_col)).alias("items"))
-                          for i, m in enumerate(models)])
     rows = staged.select(*keep, labels_col, F.inline(per_model))
     empty = F.size(labels_col) == 0
     return rows.select(

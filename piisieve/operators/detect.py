@@ -8,6 +8,8 @@ candidates cross a shuffle.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,21 +98,33 @@ def detect_arrays(df: DataFrame, text_col: str = "text", rules=None,
     Everything a later per-document step needs stays in the document's row, so verifying,
     labelling and building per-model results need no join back to the documents.
     """
+    levels, cands, labels = _detection_plan(text_col, _rules_key(rules), context_chars)
+    for group in levels:
+        df = df.withColumns(dict(group))
+    df = df.withColumn("candidates", cands).drop(*[n for group in levels for n, _ in group])
+    return df.withColumn("PIIs", labels)
+
+
+def _rules_key(rules):
+    return None if rules is None else tuple(tuple(r) for r in rules)
+
+
+@lru_cache(maxsize=None)
+def _detection_plan(text_col: str, rules_key, context_chars: int):
+    """Built once per parameter set: the Column trees are large (thousands of py4j calls)
+    and immutable, so every query reuses them."""
     stages: list[tuple[str, Column]] = []
 
     def ref(name, expr):
         stages.append((name, expr))
         return F.col(name)
 
-    cands = candidate_array(F.col(text_col), rules, context_chars, ref)
+    cands = candidate_array(F.col(text_col), list(rules_key) if rules_key else None, context_chars, ref)
     # one projection per dependency level (_lowered, _h*, _s*, _st*), not one per column
-    levels: dict[str, dict[str, Column]] = {}
+    levels: dict[str, list[tuple[str, Column]]] = {}
     for name, expr in stages:
-        levels.setdefault(name.rstrip("0123456789"), {})[name] = expr
-    for group in levels.values():
-        df = df.withColumns(group)
-    df = df.withColumn("candidates", cands).drop(*[n for n, _ in stages])
-    return df.withColumn("PIIs", labels_of(F.col("candidates")))
+        levels.setdefault(name.rstrip("0123456789"), []).append((name, expr))
+    return tuple(tuple(g) for g in levels.values()), cands, labels_of(F.col("candidates"))
 
 
 def detect_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

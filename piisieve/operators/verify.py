@@ -9,6 +9,8 @@ any positive or uncertain test keeps the element, as the reference's prompt dema
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,12 +118,19 @@ def verify_candidates(cands: DataFrame, window: int = DEFAULT_WINDOW, rules=None
 
     Adds ``own, spec, ctx, guard_reason, verified, confidence, reason``.
     """
+    raw, cols = _verify_plan(window, None if rules is None else tuple(tuple(r) for r in rules))
+    staged = cands.withColumn("_rule_raw", raw)   # regexes once per row, decisions read it
+    return staged.select(*cands.columns, *[c.alias(k) for k, c in cols])
+
+
+@lru_cache(maxsize=None)
+def _verify_plan(window: int, rules_key):
+    """Column trees of ``verify_candidates`` (built once per window / rule set)."""
+    rules = list(rules_key) if rules_key else None
     ctx = narrow_context(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), window)
     raw = rule_raw(F.col("entity_type"), F.col("entity_value"), ctx, rules,
                    after_value(F.col("context"), F.col("ctx_offset"), F.col("entity_value"), window))
-    staged = cands.withColumn("_rule_raw", raw)   # regexes once per row, decisions read it
-    cols = rule_decide(F.col("_rule_raw"))
-    return staged.select(*cands.columns, *[c.alias(k) for k, c in cols.items()])
+    return raw, tuple(rule_decide(F.col("_rule_raw")).items())
 
 
 def after_value(context: Column, ctx_offset: Column, value: Column, window: int) -> Column:
