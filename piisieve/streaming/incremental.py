@@ -31,6 +31,40 @@ def verify_entity_stream(spark: SparkSession, in_dir: str, window: int = 60) ->
                            F.current_timestamp().alias("ts"))
 
 
+def start_with_dead_letters(spark: SparkSession, in_dir: str, out_dir: str, dead_letter_dir: str,
+                            checkpoint: str, window: int = 60,
+                            available_now: bool = True) -> StreamingQuery:
+    """L-01 with the reject channel (A-02/B-02): each micro-batch writes verdicts for valid
+    lines and the rejected lines with their reason. Both sinks are partitioned by the batch
+    id and overwritten per partition, so a replayed batch (after a failure) rewrites the
+    same files instead of appending duplicates."""
+    lines = spark.readStream.format("text").load(in_dir)
+    line = py_strip(F.col("value"))
+    keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
+    reason = (F.when(line == "", F.lit("blank"))
+              .when(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNull(), F.lit("invalid_json"))
+              .when(~F.array_contains(keys, "recordId"), F.lit("missing_recordId"))
+              .when(~F.array_contains(keys, "input"), F.lit("missing_input")))
+    tagged = lines.select(F.col("value").alias("raw_line"), line.alias("line"), reason.alias("reject_reason"))
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        b = batch.withColumn("batch_id", F.lit(epoch))
+        good = (b.filter(F.col("reject_reason").isNull())
+                .select("batch_id", F.from_json("line", ENTITY_RECORD).alias("r")).select("batch_id", "r.*"))
+        verdicts = verify_candidates(entity_candidates(good), window=window).select(
+            "batch_id", "recordId", "input", "entityType", "entityValue", "metadata",
+            "verified", "confidence", "reason")
+        opts = {"partitionOverwriteMode": "dynamic"}
+        verdicts.write.mode("overwrite").options(**opts).partitionBy("batch_id").json(out_dir)
+        (b.filter(F.col("reject_reason").isNotNull() & (F.col("reject_reason") != "blank"))
+         .select("batch_id", "raw_line", "reject_reason")
+         .write.mode("overwrite").options(**opts).partitionBy("batch_id").json(dead_letter_dir))
+
+    w = tagged.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def start_append(df: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True,
                  fmt: str = "json") -> StreamingQuery:
     """L-01 sink: append files, exactly-once through the checkpoint folder."""

@@ -79,3 +79,16 @@ def test_approx_percentiles(spark):
     rows = [("m", i, float(i), 0.5, True, t) for i in range(1, 101)]
     s = stats.model_stats(_log(spark, rows), approx=True).first()
     assert 94 <= s.latency_p95 <= 96
+
+
+def test_hot_group_spans_many_tasks(spark):
+    # one model holds a third of all rows; its numbering must not sit in a single partition
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"),
+        F.col("id"))
+    got = stats.sequence_number(df, ["g"], ["id"], num_partitions=12)
+    parts = (got.filter(F.col("g") == "hot").select(F.spark_partition_id().alias("p"))
+             .distinct().count())
+    assert parts >= 3
+    hot = got.filter(F.col("g") == "hot").agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    assert tuple(hot) == (1, 10000, 10000)

@@ -39,3 +39,16 @@ def test_window_and_dedupe_streams(spark, tmpdir_path):
     w.awaitTermination()
     r = spark.sql("select * from winstats").first()
     assert r.total == 3 and r.verified == 2
+
+
+def test_stream_dead_letters(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in2")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.jsonl"), "w") as f:
+        f.write('{"recordId": "1", "input": "Contact a.b@gmail.com", "entityType": "EMAIL", '
+                '"entityValue": "a.b@gmail.com"}\n{bad\n{"input": "no id"}\n\n')
+    out, dead, ck = (os.path.join(tmpdir_path, d) for d in ("out2", "dead2", "ck2"))
+    S.start_with_dead_letters(spark, src, out, dead, ck).awaitTermination()
+    assert [r.recordId for r in spark.read.json(out).collect()] == ["1"]
+    reasons = sorted(r.reject_reason for r in spark.read.json(dead).collect())
+    assert reasons == ["invalid_json", "missing_recordId"]
