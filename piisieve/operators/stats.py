@@ -60,6 +60,13 @@ def _pct(col: str, approx: bool) -> Column:
     return F.percentile(col, F.array(*[F.lit(p) for p in PROBS]))
 
 
+def exact_pct(x: Column, decimals: int) -> Column:
+    """An interpolated percentile of ``decimals``-place values has at most ``decimals + 2``
+    exact decimals (the interpolation fraction has two); rounding to ``decimals + 4`` removes
+    engine-specific operation-order noise without touching the value."""
+    return F.round(x, decimals + 4)
+
+
 def model_stats(results: DataFrame, model_col: str | None = "model", approx: bool = False,
                 error_col: str | None = None) -> DataFrame:
     """E-01 ... E-08 per model: counts, rate, latency/confidence summaries, throughput.
@@ -88,13 +95,13 @@ def model_stats(results: DataFrame, model_col: str | None = "model", approx: boo
         F.coalesce(F.try_divide(F.col("verified").cast("double"), F.col("total")),
                    F.lit(0.0)).alias("verification_rate"),
         "latency_mean",
-        F.col("_lat_p")[0].alias("latency_median"),
-        F.col("_lat_p")[0].alias("latency_p50"),
-        F.col("_lat_p")[1].alias("latency_p95"),
-        F.col("_lat_p")[2].alias("latency_p99"),
+        exact_pct(F.col("_lat_p")[0], LATENCY_DP).alias("latency_median"),
+        exact_pct(F.col("_lat_p")[0], LATENCY_DP).alias("latency_p50"),
+        exact_pct(F.col("_lat_p")[1], LATENCY_DP).alias("latency_p95"),
+        exact_pct(F.col("_lat_p")[2], LATENCY_DP).alias("latency_p99"),
         "latency_min", "latency_max",
         "confidence_mean",
-        F.col("confidence_median").cast("double").alias("confidence_median"),
+        exact_pct(F.col("confidence_median").cast("double"), CONFIDENCE_DP).alias("confidence_median"),
         "confidence_min", "confidence_max",
         secs.alias("total_time_sec"),
         F.when(secs > 0, F.col("total") / secs).otherwise(F.lit(0.0)).alias("items_per_sec"),
@@ -179,7 +186,7 @@ def windowed_stats(results: DataFrame, every: str = "1 hour", model_col: str = "
         F.count(F.lit(1)).alias("total"),
         F.count_if("verified").alias("verified"),
         exact_mean("latency_ms", LATENCY_DP).alias("latency_mean"),
-        F.percentile("latency_ms", 0.95).alias("latency_p95"),
+        exact_pct(F.percentile("latency_ms", 0.95), LATENCY_DP).alias("latency_p95"),
         F.max("latency_ms").alias("latency_max"))
         .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                 model_col, "total", "verified",

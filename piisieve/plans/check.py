@@ -9,7 +9,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
+        return "nan" if math.isnan(v) else repr(v)   # bit-exact
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dict):

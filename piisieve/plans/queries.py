@@ -90,10 +90,10 @@ SELECT model, CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGI
   CAST(count_if(NOT verified) AS BIGINT) AS rejected,
   coalesce(CAST(count_if(verified) AS DOUBLE) / nullif(count(*), 0), 0.0) AS verification_rate,
   round(sum(latency_ms), 4) / count(latency_ms) AS latency_mean,
-  quantile_cont(latency_ms, 0.5) AS latency_median, quantile_cont(latency_ms, 0.5) AS latency_p50,
-  quantile_cont(latency_ms, 0.95) AS latency_p95, quantile_cont(latency_ms, 0.99) AS latency_p99,
+  round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50,
+  round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95, round(quantile_cont(latency_ms, 0.99), 6) AS latency_p99,
   min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
-  round(sum(confidence), 6) / count(confidence) AS confidence_mean, quantile_cont(confidence, 0.5) AS confidence_median,
+  round(sum(confidence), 6) / count(confidence) AS confidence_mean, round(quantile_cont(confidence, 0.5), 8) AS confidence_median,
   min(confidence) AS confidence_min, max(confidence) AS confidence_max,
   {_SPAN} / 1e6 AS total_time_sec,
   CASE WHEN {_SPAN} > 0 THEN count(*) / ({_SPAN} / 1e6) ELSE 0.0 END AS items_per_sec
@@ -123,10 +123,10 @@ SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGINT) AS
   CAST(count_if(NOT verified) AS BIGINT) AS rejected,
   coalesce(CAST(count_if(verified) AS DOUBLE) / nullif(count(*), 0), 0.0) AS verification_rate,
   round(sum(latency_ms), 4) / count(latency_ms) AS latency_mean,
-  quantile_cont(latency_ms, 0.5) AS latency_median, quantile_cont(latency_ms, 0.5) AS latency_p50,
-  quantile_cont(latency_ms, 0.95) AS latency_p95, quantile_cont(latency_ms, 0.99) AS latency_p99,
+  round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50,
+  round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95, round(quantile_cont(latency_ms, 0.99), 6) AS latency_p99,
   min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
-  round(sum(confidence), 6) / count(confidence) AS confidence_mean, quantile_cont(confidence, 0.5) AS confidence_median,
+  round(sum(confidence), 6) / count(confidence) AS confidence_mean, round(quantile_cont(confidence, 0.5), 8) AS confidence_median,
   min(confidence) AS confidence_min, max(confidence) AS confidence_max,
   {_SPAN} / 1e6 AS total_time_sec,
   CASE WHEN {_SPAN} > 0 THEN count(*) / ({_SPAN} / 1e6) ELSE 0.0 END AS items_per_sec
@@ -163,7 +163,7 @@ def q_batch_latency(spark, sf_dir):
 SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, model,
   CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGINT) AS verified,
   CAST(count_if(verified) AS DOUBLE) / count(*) AS verification_rate,
-  round(sum(latency_ms), 4) / count(latency_ms) AS latency_mean, quantile_cont(latency_ms, 0.95) AS latency_p95,
+  round(sum(latency_ms), 4) / count(latency_ms) AS latency_mean, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95,
   max(latency_ms) AS latency_max
 FROM {_LOG_SQL} l GROUP BY 1, model""")
 def q_windowed_stats(spark, sf_dir):
