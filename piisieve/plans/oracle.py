@@ -408,3 +408,10 @@ def token_decision_sql(tokens: str, text: str, v: str) -> str:
 def type_alias_sql(t: str) -> str:
     m = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in cat.TYPE_ALIASES.items()) + "}"
     return f"coalesce(({m})[upper({t})], lower({t}))"
+
+
+def label_guard_sql(label_col: str, text_col: str) -> str:
+    """First matching whole-text label guard (reason) or NULL."""
+    whens = " ".join(f"WHEN {label_col} = {q(lab)} AND regexp_matches({text_col}, {q(pat)}) THEN {q(reason)}"
+                     for lab, pat, reason in cat.LABEL_GUARDS)
+    return f"(CASE {whens} END)"

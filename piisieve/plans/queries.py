@@ -581,3 +581,35 @@ def q_plugin_scorer_replies(spark, sf_dir):
     p = replies_op.staged(scored, replies_op.parse_simple, "raw_response", "detected_piis")
     return p.select("doc_id", "p.parse_path", F.array_join("p.verified", "|").alias("verified"),
                     F.size("p.verified").alias("n_verified"))
+
+
+# --------------------------------------------------------------------------- label-level verifier accuracy
+_TRAIN_RECS = f"(SELECT recordId, input, element, is_true_positive FROM {_TRAIN_SQL} t0)"
+
+
+@register("label_verification_metrics", f"""
+WITH recs AS MATERIALIZED {_TRAIN_RECS},
+c AS (SELECT recordId, label, verified FROM {O.verify_sql(O.detect_sql('recs', 'recordId', 'input'))} v),
+agg AS (SELECT recordId, label, bool_or(verified) AS any_verified FROM c GROUP BY recordId, label),
+pred AS (SELECT r.recordId, r.element AS pii, r.is_true_positive,
+                CASE WHEN a.any_verified IS NOT NULL THEN a.any_verified
+                     ELSE {O.label_guard_sql('r.element', 'r.input')} IS NULL END AS verified
+         FROM recs r LEFT JOIN agg a ON a.recordId = r.recordId AND a.label = r.element)
+SELECT pii, CAST(count_if(verified AND is_true_positive) AS BIGINT) AS tp,
+  CAST(count_if(verified AND NOT is_true_positive) AS BIGINT) AS fp,
+  CAST(count_if(NOT verified AND is_true_positive) AS BIGINT) AS fn,
+  CAST(count_if(NOT verified AND NOT is_true_positive) AS BIGINT) AS tn,
+  count_if(verified AND is_true_positive) / nullif(count_if(verified AND is_true_positive) + count_if(verified AND NOT is_true_positive), 0) AS precision,
+  count_if(verified AND is_true_positive) / nullif(count_if(verified AND is_true_positive) + count_if(NOT verified AND is_true_positive), 0) AS recall,
+  2 * count_if(verified AND is_true_positive) / nullif(2 * count_if(verified AND is_true_positive) + count_if(verified AND NOT is_true_positive) + count_if(NOT verified AND is_true_positive), 0) AS f1,
+  count_if(verified AND NOT is_true_positive) / nullif(count_if(verified AND NOT is_true_positive) + count_if(NOT verified AND NOT is_true_positive), 0) AS fpr
+FROM pred GROUP BY ROLLUP (pii)""")
+def q_label_verification_metrics(spark, sf_dir):
+    """J-03/J-04 at label level on ``DetectedRecord`` rows (located values first, whole-text
+    guards otherwise), scored with E-12 against the generated corpus's truth per label."""
+    t = training.generate_training(_seeds(spark, sf_dir))
+    recs = t.select("recordId", "input", F.array("element").alias("PIIs"), "is_true_positive")
+    verdicts = verify.verify_candidates(detect.detect_candidates(recs, id_col="recordId", text_col="input"))
+    labels = verify.verify_labels(recs, verdicts)
+    scored = labels.join(recs.select("recordId", "is_true_positive"), "recordId")
+    return verify.confusion_metrics(scored, by="pii")
