@@ -148,7 +148,7 @@ I = {
 "J-11": ("decisions.token_decision", Q.format("token_decisions")),
 "J-12": ("training.path_labels / json_path_labels", Q.format("customer_json_labels")+", "+Q.format("training_set")),
 "J-13": ("training.deep_json_labels", "query `customer_json_deep_labels` (rows-only)"),
-"J-14": ("training.select_template", Q.format("training_set")),
+"J-14": ("training.select_template; template_col override makes every template reachable", Q.format("training_set") + ", " + T.format("test_datagen::test_every_template_selectable")),
 "J-15": ("catalogue.TEMPLATE_DOMAINS lookup", Q.format("training_set")),
 "J-16": ("training_columns text labels [name]", Q.format("training_set")),
 "K-01": ("datagen.gen_email", Q.format("generated_entity_tests")),
