@@ -69,9 +69,13 @@ def candidate_array(text: Column, rules=None, context_chars: int = CONTEXT_CHARS
     rules = rules or cat.DETECTION_RULES
     per_rule = []
     lowered = ref("_lowered", F.lower(text))
+    gate_names = {g: f"_gate{chr(97 + i)}" for i, g in enumerate(sorted(set(cat.DETECTION_GATES.values())))}
+    gates = {g: ref(n, text.rlike(g)) for g, n in gate_names.items()}
     empty_runs = F.array().cast("array<struct<v:string,n:int>>")
     for k, (etype, label, pattern, group) in enumerate(rules):
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        if etype in cat.DETECTION_GATES:
+            hits = F.when(gates[cat.DETECTION_GATES[etype]], hits).otherwise(F.array().cast("array<string>"))
         if etype in cat.DETECTION_NEEDLES:
             needles, lower = cat.DETECTION_NEEDLES[etype]
             hay = lowered if lower else text
