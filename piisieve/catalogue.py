@@ -39,7 +39,7 @@ DETECTION_RULES: list[tuple[str, str, str, int]] = [
 DETECTION_NEEDLES: dict[str, tuple[list[str], bool]] = {
     "EMAIL": (["@"], False),
     "MRN": (["MRN-"], False),
-    "SECRET": (["token", "secret", "api", "password", "passwd"], True),
+    "SECRET": (["token", "secret", "apikey", "api_key", "api-key", "password", "passwd"], True),
 }
 
 # Shared gates: a rule runs only on texts matching its gate regex, evaluated once per text
