@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalogue as cat
@@ -224,14 +224,16 @@ def consolidate(long: DataFrame, models: list[str]) -> DataFrame:
     ``{model}_Reason``. ``models`` fixes the pivot values and their column order.
     """
     order = F.struct("load_order", "item_pos")
-    # Both sides are reduced by partial (map-side) aggregation before any shuffle, so a
-    # record id carrying a third of all lines (copies, or the 'unknown' default) never lands
-    # whole in one task; the join then pairs one input row with at most #PIIs cells.
-    inputs = long.groupBy("record_id").agg(F.min_by("input_text", order).alias("input_text"))
+    # One partial/final aggregation per (record, pii): the pivot written as conditional
+    # max_by per model, plus the cell's earliest input. A record id carrying a third of all
+    # lines is reduced map-side here; the window afterwards sees at most #PIIs rows per
+    # record, and the upstream (detection, verifiers) is evaluated once.
+    per_model = [F.max_by(F.struct("verified", "reason"),
+                          F.when(F.col("model") == m, order)).alias(m) for m in models]
     cells = (long.groupBy("record_id", "pii")
-             .pivot("model", models)
-             .agg(F.max_by(F.struct("verified", "reason"), order))
-             .join(inputs, "record_id"))
+             .agg(*per_model, F.min(order).alias("_first"),
+                  F.min_by("input_text", order).alias("_input"))
+             .withColumn("input_text", F.min_by("_input", "_first").over(Window.partitionBy("record_id"))))
     cols = [F.col("record_id"), F.col("input_text"), F.col("pii")]
     for m in models:
         c = F.col(f"`{m}`")
