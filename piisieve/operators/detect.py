@@ -96,7 +96,7 @@ def labels_of(candidates: Column) -> Column:
 
 
 def detect_arrays(df: DataFrame, text_col: str = "text", rules=None,
-                  context_chars: int = CONTEXT_CHARS) -> DataFrame:
+                  context_chars: int = CONTEXT_CHARS, labels_out: str = "PIIs") -> DataFrame:
     """Add ``candidates`` (array) and ``PIIs`` (sorted distinct labels) to every row.
 
     Everything a later per-document step needs stays in the document's row, so verifying,
@@ -106,7 +106,7 @@ def detect_arrays(df: DataFrame, text_col: str = "text", rules=None,
     for group in levels:
         df = df.withColumns(dict(group))
     df = df.withColumn("candidates", cands).drop(*[n for group in levels for n, _ in group])
-    return df.withColumn("PIIs", labels)
+    return df.withColumn(labels_out, labels)
 
 
 def _rules_key(rules):

@@ -224,3 +224,53 @@ def verify_labels(records: DataFrame, candidate_verdicts: DataFrame, id_col: str
          .when(located, F.col("first_reason"))
          .when(guard.isNotNull(), guard)
          .otherwise(F.lit("Value not located; " + REASON_UNCERTAIN.lower())).alias("reason"))
+
+
+def _label_guard(label: Column, text: Column) -> Column:
+    out = None
+    for lab, pattern, reason in cat.LABEL_GUARDS:
+        cond = (label == lab) & text.rlike(pattern)
+        out = F.when(cond, F.lit(reason)) if out is None else out.when(cond, F.lit(reason))
+    return out
+
+
+def verify_labels_in_row(df: DataFrame, text_col: str = "input", labels_col: str = "PIIs",
+                         window: int = DEFAULT_WINDOW) -> DataFrame:
+    """``verify_labels`` computed inside each record's row (no join, one pass): detection,
+    rule verdicts per located value, whole-text guards for labels that cannot be located,
+    then one output row per (record, label) with ``label_pos, pii, verified, reason``.
+    All other columns of ``df`` are carried through."""
+    from .detect import detect_arrays
+    from .rows import generator_input
+    keep = [c for c in df.columns if c != labels_col]
+    arr = detect_arrays(df, text_col, labels_out="_detected")
+    raws = F.transform("candidates", lambda c: F.struct(
+        c.label.alias("label"), c.first_pos.alias("first_pos"),
+        rule_raw(c.entity_type, c.entity_value,
+                 narrow_context(c.context, c.ctx_offset, c.entity_value, window),
+                 after=after_value(c.context, c.ctx_offset, c.entity_value, window)).alias("r")))
+    staged = arr.select(*keep, labels_col, raws.alias("_raws"))
+
+    def decided(x):
+        d = rule_decide(x.r)
+        return F.struct(x.label.alias("label"), x.first_pos.alias("first_pos"),
+                        d["verified"].alias("verified"), d["reason"].alias("reason"))
+
+    staged = staged.select(*keep, labels_col, F.transform("_raws", decided).alias("_dec"))
+    text = F.col(text_col)
+
+    def item(lab, pos):
+        ml = F.filter("_dec", lambda x: x.label == lab)
+        located = F.size(ml) > 0
+        any_ok = F.exists(ml, lambda x: x.verified)
+        first = F.element_at(F.array_sort(F.transform(ml, lambda x: F.struct(
+            (~x.verified).alias("k1"), x.first_pos.alias("k2"), x.reason.alias("reason")))), 1)
+        guard = _label_guard(lab, text)
+        return F.struct(
+            pos.alias("label_pos"), lab.alias("pii"),
+            F.when(located, any_ok).otherwise(guard.isNull()).alias("verified"),
+            F.when(located, first.reason).when(guard.isNotNull(), guard)
+             .otherwise(F.lit("Value not located; " + REASON_UNCERTAIN.lower())).alias("reason"))
+
+    items = F.transform(labels_col, item)
+    return staged.select(*keep, F.inline(generator_input(items)))

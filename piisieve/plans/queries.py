@@ -609,7 +609,4 @@ def q_label_verification_metrics(spark, sf_dir):
     guards otherwise), scored with E-12 against the generated corpus's truth per label."""
     t = training.generate_training(_seeds(spark, sf_dir))
     recs = t.select("recordId", "input", F.array("element").alias("PIIs"), "is_true_positive")
-    verdicts = verify.verify_candidates(detect.detect_candidates(recs, id_col="recordId", text_col="input"))
-    labels = verify.verify_labels(recs, verdicts)
-    scored = labels.join(recs.select("recordId", "is_true_positive"), "recordId")
-    return verify.confusion_metrics(scored, by="pii")
+    return verify.confusion_metrics(verify.verify_labels_in_row(recs), by="pii")

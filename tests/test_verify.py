@@ -78,3 +78,10 @@ def test_match_outputs_last_wins_and_missing(spark):
     assert len(joined) == 1
     missing = verify.match_outputs(inp, out, order_col="o", how="left_anti").collect()
     assert [r.recordId for r in missing] == ["r2"]
+
+
+def test_in_row_label_verdicts_match_table_form(spark):
+    recs = spark.createDataFrame(SAMPLES, "recordId string, input string, PIIs array<string>")
+    table = _label_verdicts(spark)
+    in_row = {(r.recordId, r.pii): (r.verified, r.reason) for r in verify.verify_labels_in_row(recs).collect()}
+    assert in_row == table
