@@ -137,8 +137,8 @@ I = {
 "I-41": ("key presence (variant path / json_object_keys)", Q.format("parse_single_replies")),
 "J-01": ("detect.candidate_array / detect_candidates", Q.format("detect_candidates")),
 "J-02": ("detect.labels_of / detect_arrays", Q.format("batch_prompts")),
-"J-03": ("catalogue.VERIFY_RULES / LABEL_GUARDS, verify.rule_raw, verify_labels", Q.format("verify_candidates") + ", " + Q.format("label_verification_metrics")),
-"J-04": ("verify.rule_decide (three tests), verify_labels", Q.format("verify_candidates") + ", " + Q.format("label_verification_metrics")),
+"J-03": ("catalogue.VERIFY_RULES / LABEL_GUARDS, verify.rule_raw, verify_labels(_in_row)", Q.format("verify_candidates") + ", " + Q.format("label_verification_metrics")),
+"J-04": ("verify.rule_decide (three tests), verify_labels(_in_row)", Q.format("verify_candidates") + ", " + Q.format("label_verification_metrics")),
 "J-05": ("prompts.single_prompt", Q.format("single_prompts")),
 "J-06": ("prompts.batch_prompt / prompt_table", Q.format("batch_prompts")),
 "J-07": ("prompts.chat_messages", T.format("test_prompts::test_chat_messages")),
