@@ -433,16 +433,17 @@ def q_training_set(spark, sf_dir):
 
 
 @register("training_distribution", f"""
+WITH t AS MATERIALIZED {_TRAIN_SQL}
 SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(len(PIIs) > 0) AS BIGINT) AS true_positive_records,
   CAST(count_if(len(PIIs) = 0) AS BIGINT) AS false_positive_records,
   CAST(count_if(starts_with(regexp_replace(input, '^[ \\t\\n\\r]+', ''), '{{')) AS BIGINT) AS json_records,
   CAST(count_if(NOT starts_with(regexp_replace(input, '^[ \\t\\n\\r]+', ''), '{{')) AS BIGINT) AS text_records,
   CAST(count_if(starts_with(regexp_replace(input, '^[ \\t\\n\\r]+', ''), '{{') AND len(PIIs) > 3) AS BIGINT) AS multi_pii_json_records,
   CAST(count_if(drawn_fp) AS BIGINT) AS drawn_false_positives, CAST(count(DISTINCT element) AS BIGINT) AS elements,
-  CAST((SELECT count(DISTINCT l) FROM (SELECT unnest(PIIs) AS l FROM {_TRAIN_SQL} t2) u) AS INTEGER) AS labels_covered,
+  CAST((SELECT count(DISTINCT l) FROM (SELECT unnest(PIIs) AS l FROM t) u) AS INTEGER) AS labels_covered,
   CAST(count_if(contains(({training_category_map_sql()})[element], 'Financial')) AS BIGINT) AS financial_records,
   CAST(count_if(contains(({training_category_map_sql()})[element], 'Health')) AS BIGINT) AS health_records
-FROM {_TRAIN_SQL} t""")
+FROM t""")
 def q_training_distribution(spark, sf_dir):
     """E-23/E-24, C-07 ... C-11: distribution of the generated labelled set."""
     return training.distribution(training.generate_training(_seeds(spark, sf_dir)))
