@@ -47,7 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="piisieve-ckpt-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/ABFS) "
+                               "that every executor can reach")
+        d = tempfile.mkdtemp(prefix="piisieve-ckpt-", dir="/tmp")   # local runs (tests) only
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
