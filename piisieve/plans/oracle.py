@@ -223,7 +223,6 @@ def single_prompt_sql(ctx: str, t: str, v: str) -> str:
 
 # ----------------------------------------------------------------------------- replies
 def simple_reply_sql(id_col: str, lst: str) -> str:
-    from ..operators.scorer import KEEP_REASON  # noqa: F401
     kept = f"list_filter({lst}, lambda d: {draw_sql('keep', 10, id_col, 'd')} < 7)"
     vs = f"(CASE WHEN len({kept}) = 0 THEN 'NONE' ELSE array_to_string({kept}, ', ') END)"
     firsts = (f"(CASE WHEN len({kept}) = 0 THEN 'NONE' ELSE array_to_string(list_transform({kept}, "
