@@ -244,19 +244,26 @@ def verify_labels_in_row(df: DataFrame, text_col: str = "input", labels_col: str
     from .rows import generator_input
     keep = [c for c in df.columns if c != labels_col]
     arr = detect_arrays(df, text_col, labels_out="_detected")
+    raws, decided, items = _labels_plan(text_col, labels_col, window)
+    staged = arr.select(*keep, labels_col, raws.alias("_raws"))
+    staged = staged.select(*keep, labels_col, decided.alias("_dec"))
+    return staged.select(*keep, F.inline(generator_input(items)))
+
+
+@lru_cache(maxsize=None)
+def _labels_plan(text_col: str, labels_col: str, window: int):
+    """Column trees of ``verify_labels_in_row`` (built once per parameter set)."""
     raws = F.transform("candidates", lambda c: F.struct(
         c.label.alias("label"), c.first_pos.alias("first_pos"),
         rule_raw(c.entity_type, c.entity_value,
                  narrow_context(c.context, c.ctx_offset, c.entity_value, window),
                  after=after_value(c.context, c.ctx_offset, c.entity_value, window)).alias("r")))
-    staged = arr.select(*keep, labels_col, raws.alias("_raws"))
 
-    def decided(x):
+    def decide(x):
         d = rule_decide(x.r)
         return F.struct(x.label.alias("label"), x.first_pos.alias("first_pos"),
                         d["verified"].alias("verified"), d["reason"].alias("reason"))
 
-    staged = staged.select(*keep, labels_col, F.transform("_raws", decided).alias("_dec"))
     text = F.col(text_col)
 
     def item(lab, pos):
@@ -272,5 +279,4 @@ def verify_labels_in_row(df: DataFrame, text_col: str = "input", labels_col: str
             F.when(located, first.reason).when(guard.isNotNull(), guard)
              .otherwise(F.lit("Value not located; " + REASON_UNCERTAIN.lower())).alias("reason"))
 
-    items = F.transform(labels_col, item)
-    return staged.select(*keep, F.inline(generator_input(items)))
+    return raws, F.transform("_raws", decide), F.transform(labels_col, item)
