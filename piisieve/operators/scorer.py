@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ..functions.draw import draw
 
 # ----------------------------------------------------------------------------- plug-in (J-08)
-_SCORERS: dict[int, object] = {}
 
 
 class Scorer:
@@ -36,13 +35,15 @@ class Scorer:
 
 def score_with(df: DataFrame, factory: Callable[[], Scorer], out_col: str = "raw_response") -> DataFrame:
     """Apply a scorer to every row; adds ``out_col`` and ``latency_ms`` (per item)."""
-    key = id(factory)
+    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
     schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, `{out_col}` string, latency_ms double"
 
     def run(batches: Iterator) -> Iterator:
-        scorer = _SCORERS.get(key)
-        if scorer is None:  # build the model once per Python worker
-            scorer = _SCORERS[key] = factory()
+        import pyspark   # present on every worker; its namespace outlives single tasks
+        cache = pyspark.__dict__.setdefault("_piisieve_scorers", {})
+        scorer = cache.get(key)
+        if scorer is None:  # build the model once per Python worker process
+            scorer = cache[key] = factory()
         for pdf in batches:
             if len(pdf) == 0:
                 continue

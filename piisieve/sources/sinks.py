@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def iso_utc(ts: Column) -> Column:
@@ -24,8 +25,13 @@ def entity_results(df: DataFrame, model_name: str, model_type: str, model_params
     metadata {}); confidence is rounded to 4 and latency to 2 decimals.
     """
     lat = F.col(latency_col) if latency_col else F.lit(0.0)
-    meta = (F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
-            if "metadata" in df.columns else F.create_map().cast("map<string,string>"))
+    empty = F.create_map().cast("map<string,string>")
+    if "metadata" not in df.columns:
+        meta = empty
+    elif isinstance(df.schema["metadata"].dataType, T.MapType):
+        meta = F.coalesce(F.col("metadata"), empty.cast(df.schema["metadata"].dataType))
+    else:                       # a typed struct (e.g. generator output) passes through as is
+        meta = F.col("metadata")
     return df.select(
         "recordId", "input",
         F.coalesce(F.col("entityType"), F.lit("UNKNOWN")).alias("entityType"),
