@@ -37,3 +37,11 @@ def test_comparison_table_and_argmax(spark):
     assert [r.model for r in stats.comparison_table(s).collect()] == ["m1", "m2", "m0"]
     a = spark.createDataFrame([([0.1, 0.7, 0.7, 0.2],)], "a array<double>")
     assert a.select(decisions.argmax(F.col("a")).alias("i")).first().i == 1
+
+
+def test_spread_only_touches_small_inputs(spark):
+    from piisieve.session import spread
+    big = spark.range(0, 1000, numPartitions=16)
+    assert spread(big, 8) is big                       # already parallel: left untouched
+    small = spark.range(0, 1000, numPartitions=1)
+    assert spread(small, 8).rdd.getNumPartitions() == 8
