@@ -71,3 +71,17 @@ def test_in_row_and_table_forms_agree(spark):
     table = C.batch_results(recs, labels).select("doc_id", "model", "verified_piis")
     assert in_row.count() == table.count()
     assert in_row.exceptAll(table).count() == 0
+
+
+def test_pivot_cell_count_invariant(spark):
+    from pyspark.sql import functions as F
+
+    from piisieve.plans import queries as Q
+
+    from conftest import SF_SMALL
+    models = [m.name for m in C.RULE_MODELS]
+    lg = Q.rule_long(spark, SF_SMALL)
+    wide = C.consolidate(lg, models)
+    filled = sum(wide.filter(F.col(f"{m}_Verified") != "N/A").count() for m in models)
+    assert filled == lg.select("record_id", "pii", "model").distinct().count()
+    assert wide.count() == lg.select("record_id", "pii").distinct().count()
