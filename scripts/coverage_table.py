@@ -166,7 +166,7 @@ I = {
 "K-13": ("training record columns", Q.format("training_set")),
 "K-14": ("not built (tables the reference never reads)", "—"),
 "L-01": ("streaming.verify_entity_stream + start_append; start_with_dead_letters (idempotent per batch id)", T.format("test_streaming::test_incremental_verification") + ", " + T.format("test_streaming::test_stream_dead_letters")),
-"L-02": ("streaming.windowed_stats_stream; batch twin stats.windowed_stats", Q.format("windowed_stats")+", "+T.format("test_streaming")),
+"L-02": ("streaming.windowed_stats_stream; batch twin stats.windowed_stats", Q.format("windowed_stats")+", "+T.format("test_streaming::test_late_rows_dropped_by_watermark")),
 "L-03": ("streaming.dedupe_results_stream", T.format("test_streaming::test_window_and_dedupe_streams")),
 }
 rows.update(I)

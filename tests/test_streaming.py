@@ -52,3 +52,31 @@ def test_stream_dead_letters(spark, tmpdir_path):
     assert [r.recordId for r in spark.read.json(out).collect()] == ["1"]
     reasons = sorted(r.reject_reason for r in spark.read.json(dead).collect())
     assert reasons == ["invalid_json", "missing_recordId"]
+
+
+def test_late_rows_dropped_by_watermark(spark, tmpdir_path):
+    src, ck = os.path.join(tmpdir_path, "res3"), os.path.join(tmpdir_path, "ck3")
+    schema = "recordId string, model string, verified boolean, latency_ms double, ts timestamp"
+    on_time = [("r1", "m", True, 10.0, dt.datetime(2024, 1, 1, 5, 0))]
+    late = [("r2", "m", True, 20.0, dt.datetime(2024, 1, 1, 1, 0)),      # hours behind: dropped
+            ("r3", "m", False, 30.0, dt.datetime(2024, 1, 1, 5, 30))]    # on time: counted
+    spark.createDataFrame(on_time, schema).write.mode("append").parquet(src)
+
+    out = os.path.join(tmpdir_path, "wm_out")
+
+    def keep(batch, epoch):   # update-mode rows of each micro-batch, replay-safe per epoch
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = (S.windowed_stats_stream(stream).writeStream.foreachBatch(keep).outputMode("update")
+             .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    spark.createDataFrame(late, schema).write.mode("append").parquet(src)
+    run()
+    rows = spark.read.parquet(out).collect()
+    last = max(r.epoch for r in rows)
+    got = [(r.total, r.verified) for r in rows if r.epoch == last and r.total > 0]
+    assert got == [(2, 1)]   # window 05:00 now holds r1 and r3; r2 (hours late) was dropped
