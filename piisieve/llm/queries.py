@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, token_orc
+from . import decontaminate, lines, packing, quality, simhash, substrings, token_orc
 from .base import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -57,3 +57,57 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to and read from ORC files."""
     return token_orc.report(table(spark, sf_dir, "documents"))
+
+
+@register("op3_curve_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed in Hilbert order."""
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
+@register("op6_simhash_groups")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+_OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s
+        FROM d, unnest(range(1, len(w) - 33)) AS t(i) WHERE len(w) >= 35),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + j AS i FROM win JOIN twice USING (s), unnest(range(0, 35)) AS t(j)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS s FROM
+         (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)"""
+
+
+@register("op8_substring_dedup", _OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document under windows of 35 words that occur elsewhere."""
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+_OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS site, text,
+                  string_split(text, E'\n') AS ls FROM documents),
+l AS (SELECT r, doc_id, site, i, ls[i] AS raw,
+             trim(regexp_replace(lower(ls[i]), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+      FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+bad AS (SELECT line, min(doc_id) AS first_doc FROM l WHERE length(line) - length(replace(line, ' ', '')) >= 3
+        GROUP BY line HAVING count(DISTINCT site) >= 10),
+gone AS (SELECT r, i FROM l JOIN bad USING (line) WHERE doc_id IS DISTINCT FROM first_doc OR first_doc IS NULL),
+kept AS (SELECT r, string_agg(raw, E'\n' ORDER BY i) AS s FROM l ANTI JOIN gone USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)"""
+
+
+@register("op9_line_dedup", _OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without boilerplate lines, as counts and a digest."""
+    return lines.report(table(spark, sf_dir, "documents"))

@@ -94,6 +94,13 @@ def window_hash(words: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[:-width]) * powers(n, _PRIME_INV))
 
 
+def range_hash(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the word hashes of each range, the same wherever the range lies."""
+    total = np.zeros(len(words) + 1, dtype=_U)
+    np.cumsum(words * powers(len(words)), dtype=_U, out=total[1:])
+    return mix((total[end] - total[start]) * powers(len(words) + 1, _PRIME_INV)[start] + (end - start).astype(_U))
+
+
 class Chunk:
     """Bytes of whole documents; document i is ``data[starts[i]:ends[i]]``."""
 
