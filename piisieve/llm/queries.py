@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, packing, quality, simhash, substrings, token_orc
+from . import decontaminate, lines, packing, ppm, quality, simhash, substrings, token_orc
 from .base import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -111,3 +111,9 @@ FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)"""
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without boilerplate lines, as counts and a digest."""
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@register("op7_ppm_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and PPM log10 probability of every document."""
+    return ppm.scored(table(spark, sf_dir, "documents"))
