@@ -32,7 +32,7 @@ from .base import staged
 from .textops import BLANK, chunks, mix, span_hash, word_bounds, worker_state
 
 ORDER = 5
-HOT = 1 << 20
+HOT = 1 << 19
 FOLDS = 10
 END = 10
 #: the end token's key among the word hashes
@@ -161,10 +161,10 @@ def _hottest(values: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.
 class HotTable:
     """Vectorised lookup by open addressing; a key not placed within a few probes counts as absent."""
 
-    PROBES = 6
+    PROBES = 12
 
     def __init__(self, keys, values, known):
-        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.bits = max(4, (2 * len(keys)).bit_length())
         self.keys = np.zeros(1 << self.bits, dtype=_U)
         self.row = np.full(1 << self.bits, -1, dtype=np.int32)
         self.values, self.known = values, known
