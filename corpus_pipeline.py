@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from piisieve.llm import decontaminate, quality
+from piisieve.llm import decontaminate, lines, packing, quality, simhash
 from piisieve.llm.base import staged, table
 
 
@@ -18,12 +18,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove boilerplate lines that spread over many sources."""
+    return lines.deduplicated(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return simhash.deduplicated(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages; drop documents that are mostly benchmark text."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", benchmark_decontamination)]
+def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the token ids of what is left along the Hilbert curve; one row per piece."""
+    return packing.report(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", simhash_near_dedup),
+          ("benchmark decontamination", benchmark_decontamination), ("packing", curve_packing)]
 
 #: the trained classifier and the packing order have no SQL form; tests compare run() stage by stage
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, packing, ppm, quality, simhash, substrings, token_orc
+from . import decontaminate, lines, packing, ppm, quality, secrets, simhash, substrings, token_orc, urls
 from .base import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -117,3 +117,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and PPM log10 probability of every document."""
     return ppm.scored(table(spark, sf_dir, "documents"))
+
+
+@register("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns and Markov models."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@register("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rules and link-graph propagation."""
+    return urls.report(table(spark, sf_dir, "pages"))
