@@ -2,8 +2,8 @@
 
 The classifier sees each text as relative frequencies of hashed word 1- and 2-grams and byte
 3- and 5-grams in ``DIMS`` shared slots. It is trained on at most ``sample_rows`` labelled
-documents (those with the smallest hash of their id; the documented bound), whole texts,
-in one Spark task; four fifths fit the weights, one fifth fits a Platt calibration. Only the
+documents (those with the smallest hash of their id) and about ``SAMPLE_BYTES`` of features, whole
+texts, in one Spark task; four fifths fit the weights, one fifth fits a Platt calibration. Only the
 finished model (``DIMS`` floats) goes to the driver and is broadcast; all documents are then
 scored in Arrow batches against a fixed probability threshold.
 
@@ -133,11 +133,11 @@ def _fit(pdf):
     y = pdf["label"].to_numpy(dtype=np.float64)
     if len(set(y)) < 2:
         return pd.DataFrame({"weights": [b""], "slope": [0.0], "offset": [0.0]})
-    cols = [np.frombuffer(x, np.int32) for x in pdf["slots"]]
-    vals = [np.frombuffer(x, np.float32) for x in pdf["vals"]]
-    sizes = np.array([len(c) for c in cols])
-    col, val = np.concatenate(cols), np.concatenate(vals) * np.float32(30)
-    row = np.repeat(np.arange(len(y)), sizes)
+    sizes = pdf["slots"].map(len).to_numpy() // 4
+    col = np.frombuffer(b"".join(pdf["slots"]), np.int32)
+    val = np.frombuffer(b"".join(pdf["vals"]), np.float32) * np.float32(30)
+    del pdf
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     fit = (np.arange(len(y)) % 5) != 4
     weight = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
     w, bias = np.zeros(DIMS, dtype=np.float64), 0.0
@@ -184,10 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
             .groupBy("doc_id", "key", "label").agg(F.min("text").alias("text")))
     found = map_columns(rows, ["key", "label"], [("slots", "binary", pa.binary()), ("vals", "binary", pa.binary())],
                         _extract)
-    # long texts weigh in with fewer rows: the sample also ends at SAMPLE_BYTES of features
+    # the sample is also bounded to about SAMPLE_BYTES of features, by the same hash
     kept = staged(found, "quality-sample")
     size = kept.agg(F.sum(F.length("slots")).alias("n")).first()["n"] or 0
-    share = min(1.0, 4 * SAMPLE_BYTES / max(1, size))
+    share = min(1.0, SAMPLE_BYTES / max(1, size))
     kept = kept.where(F.pmod(F.col("key"), F.lit(10_000)) < int(10_000 * share))
     model = (kept.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fit, "weights binary, slope double, offset double")).first()
     if model is None:

@@ -16,7 +16,7 @@ import numpy as np
 
 from .textops import BLANK, Chunk, span_hash, worker_state
 
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_500_000
 #: UTF-8 of the white space (and zero-width) characters beyond ASCII
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]"
                    rb"|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf|[\x1c-\x1f]")
