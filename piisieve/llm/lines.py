@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread.
 
-A line (trimmed, lower-cased; of at least ``MIN_WORDS`` words) that occurs at ``MIN_SITES``
+A line (without outer spaces, lower-cased, with at least ``MIN_WORDS`` - 1 inner spaces) that occurs at ``MIN_SITES``
 sites or more is boilerplate. Sites are counted by a HyperLogLog sketch per line hash, merged by
 partial aggregation before the shuffle. Estimates clearly under or over the threshold decide;
 lines within ``BAND`` of it get exact distinct counts. Boilerplate lines leave every document
@@ -32,21 +32,25 @@ def _lines(text: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    return F.lower(F.trim(line))
 
 
 def line_rows(docs: DataFrame, site: str, min_words: int) -> DataFrame:
-    """Candidate lines: _key, doc_id, site, i (line number), line (hash of the normal form)."""
+    """Staged candidate lines: _key, doc_id, site, i (line number), line (hash of the normal form)."""
     rows = docs.select("doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
                        row_key().alias("_key"), F.posexplode(_lines(F.col("text"))).alias("i", "line"))
     normal = _normal(F.col("line"))
-    words = F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit("")))
-    return rows.where(words >= min_words - 1).select("doc_id", "site", "_key", "i", F.xxhash64(normal).alias("line"))
+    spaces = F.length(normal) - F.length(F.translate(normal, " ", ""))
+    return staged(rows.where(spaces >= min_words - 1)
+                  .select("doc_id", "site", "_key", "i", F.xxhash64(normal).alias("line")), "lines")
 
 
 def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
     """(line, first_doc): lines of ``min_sites`` or more distinct sites and their first document."""
-    spread = staged(rows.groupBy("line").agg(
+    # most lines stay at one site; a sketch is made for the others only
+    several = staged(rows.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b"))
+                     .where((F.col("a") != F.col("b")) | (min_sites < 2)).select("line"), "several-sites")
+    spread = staged(rows.join(several, "line").groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("about"), F.min("doc_id").alias("first_doc"))
         .where(F.col("about") >= min_sites * (1 - BAND)), "spread")
     near = spread.where(F.col("about") <= min_sites * (1 + BAND)).select("line", "first_doc")

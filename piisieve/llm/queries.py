@@ -95,7 +95,7 @@ _OP9 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS site, text,
                   string_split(text, E'\n') AS ls FROM documents),
 l AS (SELECT r, doc_id, site, i, ls[i] AS raw,
-             trim(regexp_replace(lower(ls[i]), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+             lower(trim(ls[i], ' ')) AS line
       FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
 bad AS (SELECT line, min(doc_id) AS first_doc FROM l WHERE length(line) - length(replace(line, ' ', '')) >= 3
         GROUP BY line HAVING count(DISTINCT site) >= 10),
