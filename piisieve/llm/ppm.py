@@ -38,7 +38,8 @@ END = 10
 #: the end token's key among the word hashes
 END_KEY = np.uint64(0x5851F42D4C957F2D)
 _U = np.uint64
-_MERGE_ROWS = 1_500_000
+_MERGE_ROWS = 800_000
+CHUNK = 1 << 18
 
 
 class Sequences:
@@ -62,7 +63,7 @@ class Sequences:
 
 
 def _sequences(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int, Sequences]]:
-    for chunk in chunks(batch.column("text")):
+    for chunk in chunks(batch.column("text"), CHUNK):
         raw = chunk.data.tobytes()
         yield chunk.first, chunk.n, Sequences([raw[a:b] for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist())], order)
 
