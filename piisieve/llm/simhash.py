@@ -115,7 +115,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("the ball covers up to 3 differing bits")
-    distinct = fps.select("fp").where("fp IS NOT NULL").distinct()
+    # a fixed number of parts: adaptive coalescing would judge the fingerprints by their own size,
+    # not by that of the balls they emit
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").where("fp IS NOT NULL").distinct().repartition(parts, "fp")
     masks = F.when(F.bit_count("fp") % 2 == 0, F.array(*[F.lit(_signed(m)) for m in BALL[0]])).otherwise(
         F.array(*[F.lit(_signed(m)) for m in BALL[1]]))
     out = distinct.select("fp", F.explode(masks).alias("flip")).select(
