@@ -34,7 +34,7 @@ END_ID = 1
 SLOTS = 256
 AXES = 4
 BITS = 8
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from .textops import BLANK, LOWER, Chunk, chunks, mix, span_hash, window_hash
 BITS = 18
 DIMS = 1 << BITS
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 24_000_000
+SAMPLE_BYTES = 12_000_000
 THRESHOLD = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30

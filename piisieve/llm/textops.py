@@ -8,6 +8,8 @@ Python worker needs a few dozen times that size, whatever the partition holds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -15,13 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _PRIME_INV = pow(_PRIME, -1, 1 << 64)
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks of many operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_state(name: str) -> dict:
     """A dict that lives as long as the Python worker process, for caches that tasks share.
 
@@ -132,3 +141,4 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
         size += len(raw) + 1
     if held:
         yield Chunk(held, first)
+    release()

@@ -25,7 +25,7 @@ from .textops import chunks
 from .tokens import shared_tokenizer, tokenizer_path
 
 END_ID = 2
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: metadata of the files: 64 MB stripes, a row index entry each 1,000 documents
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
                "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
