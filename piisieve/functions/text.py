@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes ASCII whitespace incl. vertical tab and form feed; Spark's
-# trim removes spaces only, so strip with two anchored regexes (I-01).
-_WS = "[ \\t\\n\\r\\f\\x0B]"
+# Python's str.strip() removes every Unicode white space character; Spark's trim removes
+# spaces only, so strip with two anchored regexes (I-01).
+_WS = ("[ \\t\\n\\r\\f\\x0B\\x1C-\\x1F\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029"
+       "\\u202F\\u205F\\u3000]")
 
 
 def _c(c) -> Column:
@@ -15,7 +16,7 @@ def _c(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """I-01: strip all leading/trailing ASCII whitespace, like Python ``str.strip()``."""
+    """I-01: strip all leading/trailing white space, like Python ``str.strip()``."""
     return F.regexp_replace(F.regexp_replace(_c(c), f"^{_WS}+", ""), f"{_WS}+$", "")
 
 

@@ -30,8 +30,11 @@ def _json_slice(s: Column) -> Column:
 
 
 def strict_json(s: Column) -> Column:
-    """Parse ``s`` as exactly one JSON value; NULL when invalid (variant of a 1-item array)."""
-    return F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    """Parse ``s`` as exactly one JSON value; NULL when invalid (variant of a 1-item array).
+
+    The wrapping alone would also accept ``a, b``, so the array must have one item."""
+    wrapped = F.concat(F.lit("["), s, F.lit("]"))
+    return F.when(F.json_array_length(wrapped) == 1, F.try_parse_json(wrapped))
 
 
 def _all(labels: Column, verified: bool, reason: str | Column) -> Column:

@@ -14,7 +14,10 @@ exact DuckDB twin.
 
 from __future__ import annotations
 
+import sys
 import time
+import types
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +38,13 @@ class Scorer:
 
 def score_with(df: DataFrame, factory: Callable[[], Scorer], out_col: str = "raw_response") -> DataFrame:
     """Apply a scorer to every row; adds ``out_col`` and ``latency_ms`` (per item)."""
-    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    key = uuid.uuid4().hex      # two factories may share module and name
     schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, `{out_col}` string, latency_ms double"
 
     def run(batches: Iterator) -> Iterator:
-        import pyspark   # present on every worker; its namespace outlives single tasks
-        cache = pyspark.__dict__.setdefault("_piisieve_scorers", {})
+        # a module of our own, made on the worker: it outlives single tasks
+        home = sys.modules.setdefault("piisieve_scorers", types.ModuleType("piisieve_scorers"))
+        cache = home.__dict__.setdefault("built", {})
         scorer = cache.get(key)
         if scorer is None:  # build the model once per Python worker process
             scorer = cache[key] = factory()

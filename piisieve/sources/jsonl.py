@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
+from ..operators.replies import strict_json
 
 DETECTED_RECORD = T.StructType([
     T.StructField("recordId", T.StringType()),
@@ -67,10 +68,15 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def _load_order(paths: list[str]) -> Column:
-    names = [os.path.basename(p.rstrip("/")) for p in paths]
-    m = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    """Order of a line: its input path's place (a file, or a folder that holds it), then file and position."""
+    index = F.lit(len(paths))
+    # a file's own path ends like the one given; scheme and working folder may come before it
+    for i, p in reversed(list(enumerate(paths))):
+        tail = "/" + p.rstrip("/").split("://", 1)[-1].removeprefix("file:").lstrip("./").lstrip("/")
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        index = F.when(path.endswith(tail) | F.contains(path, F.lit(tail + "/")), F.lit(i)).otherwise(index)
     return F.struct(
-        F.coalesce(F.element_at(m, F.col("_metadata.file_name")), F.lit(len(names))).alias("file_index"),
+        index.alias("file_index"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("pos"))
@@ -93,7 +99,7 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     raw = spark.read.text(paths).select(F.col("value").alias("raw_line"), _load_order(paths).alias("load_order"))
     line = py_strip(F.col("raw_line"))
     lines = raw.select("raw_line", "load_order", line.alias("line")).filter(F.col("line") != "")
-    valid = F.try_parse_json(F.concat(F.lit("["), F.col("line"), F.lit("]"))).isNotNull()
+    valid = strict_json(F.col("line")).isNotNull()
     keys = F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>"))
     reason = F.when(~valid, F.lit("invalid_json"))
     for k in required:

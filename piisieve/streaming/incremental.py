@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import py_strip
+from ..operators.replies import strict_json
 from ..operators.verify import entity_candidates, verify_candidates
 from ..sources.jsonl import ENTITY_RECORD
 
@@ -42,7 +43,7 @@ def start_with_dead_letters(spark: SparkSession, in_dir: str, out_dir: str, dead
     line = py_strip(F.col("value"))
     keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
     reason = (F.when(line == "", F.lit("blank"))
-              .when(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNull(), F.lit("invalid_json"))
+              .when(strict_json(line).isNull(), F.lit("invalid_json"))
               .when(~F.array_contains(keys, "recordId"), F.lit("missing_recordId"))
               .when(~F.array_contains(keys, "input"), F.lit("missing_input")))
     tagged = lines.select(F.col("value").alias("raw_line"), line.alias("line"), reason.alias("reject_reason"))
