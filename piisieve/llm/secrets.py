@@ -5,8 +5,9 @@ that look random: first-order Markov models of random strings and of ordinary id
 give each run a log-likelihood ratio per transition. They are trained on labelled samples
 that the base patterns provide: what they match is labelled random, the other runs of the same
 sample ordinary. The sample is at most ``SAMPLE_DOCS`` documents with base matches and as many
-of all documents, those with the smallest hash of their id (documented bounds); training is an
-aggregation to at most two counts for each pair of characters, which come to the driver.
+of all documents, those with the smallest hash of id and text, rows alike counted once
+(documented bounds). Only hashes are sorted to pick them. Training is an aggregation to at most
+two counts for each pair of characters, which come to the driver.
 
 Offsets are code points: a pattern's matches and the gaps that ``split`` leaves between them
 alternate, so lengths add up to positions.
@@ -76,12 +77,17 @@ def _pairs(values: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of every pair of characters, row by row."""
-    keyed = docs.withColumn("order", F.xxhash64("doc_id"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     likely = F.lit(False)
     for kind, _, _, _ in BASE:
         likely = likely | F.col("text").rlike(LIKELY[kind])
-    pick = lambda df: df.orderBy("order", "doc_id").limit(sample_docs)
-    sample = staged(with_base(pick(keyed.where(likely)).unionByName(pick(keyed))), "secret-sample")
+    keys = staged(keyed.select("_key", likely.alias("likely")).groupBy("_key").agg(F.max("likely").alias("likely")),
+                  "secret-keys")
+    pick = lambda df: df.select("_key").orderBy("_key").limit(sample_docs)
+    chosen = pick(keys.where("likely")).unionByName(pick(keys)).distinct()
+    # at most 2 * sample_docs keys: a proven bound for the broadcast
+    texts = keyed.join(F.broadcast(chosen), "_key").select("_key", "text").dropDuplicates(["_key"])
+    sample = staged(with_base(texts), "secret-sample")
     random = sample.select(F.lit(1).alias("label"), F.explode(F.concat(
         *[F.transform(kind, lambda s: s["value"]) for kind, _, _, _ in BASE])).alias("value"))
     taken = F.concat(*[F.transform(kind, lambda s: s["value"]) for kind, _, _, _ in BASE])
