@@ -7,7 +7,8 @@ enough that fingerprints of even weight flip pairs of the low half and those of
 pairs of the high half (three flips change the weight's parity, so a pair at distance three
 has one of each): 561 variants instead of 2,081. At most two bits apart, one-bit variants meet.
 
-Variants are shuffled on their value. Around one variant at most 2,081 distinct fingerprints
+Variants are shuffled on their value: a fingerprint sends each task one row with the numbers of
+all flips whose variants hash there, so its bits travel once a task, not once a variant. Around one variant at most 2,081 distinct fingerprints
 can meet, whatever the corpus holds, so groups are bounded. All that are within one bit of
 the variant are true links of all others there (1 + 2 bits); the smallest of them is linked
 with each other member after its distance is checked. Exact copies share a fingerprint and
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import map_columns, row_key, staged
 from .components import components
-from .textops import BLANK, word_bounds
+from .textops import BLANK, mix, word_bounds
 
 SHINGLE = 3
 RADIUS = 3
@@ -76,6 +77,30 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_columns(rows, ["doc_id", "_key"], [("fp", "bigint", pa.int64())], _hash(shingle))
 
 
+def _emit(parts: int):
+    """mapInArrow body: for each fingerprint the parts its variants hash to, with the flips' numbers."""
+    masks = [[_signed(m) for m in ball] for ball in BALL]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ball = np.array(masks, dtype=np.int64)
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(fps), 512):
+                fp = fps[at:at + 512]
+                odd = np.bitwise_count(fp.view(np.uint64)) & 1
+                part = (mix((fp[:, None] ^ ball[odd]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, axis=1, kind="stable")
+                part = np.take_along_axis(part, order, axis=1)
+                new = np.ones(part.shape, dtype=bool)
+                new[:, 1:] = part[:, 1:] != part[:, :-1]
+                first = np.flatnonzero(new)
+                flips = pa.ListArray.from_arrays(pa.array(np.append(first, part.size), pa.int32()),
+                                                 pa.array(order.ravel().astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()[first]), pa.array(fp[first // part.shape[1]]), flips],
+                                                 ["part", "fp", "flips"])
+    return run
+
+
 def _meet(radius: int):
     """mapInArrow body over rows sorted by variant: links between those that meet."""
     def links(variant: np.ndarray, fp: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
@@ -119,12 +144,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     # not by that of the balls they emit
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = fps.select("fp").where("fp IS NOT NULL").distinct().repartition(parts, "fp")
-    masks = F.when(F.bit_count("fp") % 2 == 0, F.array(*[F.lit(_signed(m)) for m in BALL[0]])).otherwise(
-        F.array(*[F.lit(_signed(m)) for m in BALL[1]]))
-    out = distinct.select("fp", F.explode(masks).alias("flip")).select(
-        F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp",
-        (F.bit_count("flip") <= 1).cast("int").alias("near"))
-    met = out.repartition("variant").sortWithinPartitions("variant")
+    sent = distinct.mapInArrow(_emit(parts), "part int, fp bigint, flips array<smallint>").repartitionById(
+        parts, F.col("part"))
+    even, odd = (F.array(*[F.lit(_signed(m)) for m in ball]) for ball in BALL)
+    flip = F.when(F.bit_count("fp") % 2 == 0, F.get(even, F.col("flip"))).otherwise(F.get(odd, F.col("flip")))
+    met = sent.select("fp", F.explode("flips").alias("flip")).select(
+        F.col("fp").bitwiseXOR(flip).alias("variant"), "fp",
+        (F.col("flip") <= 64).cast("int").alias("near")).sortWithinPartitions("variant")     # a flip of at most one bit
     return met.select("variant", "fp", "near").mapInArrow(_meet(radius), "u bigint, v bigint").distinct()
 
 
