@@ -7,9 +7,14 @@ enough that fingerprints of even weight flip pairs of the low half and those of
 pairs of the high half (three flips change the weight's parity, so a pair at distance three
 has one of each): 561 variants instead of 2,081. At most two bits apart, one-bit variants meet.
 
-Variants are shuffled on their value. Around one variant at most 2,081 distinct fingerprints
-can meet, whatever the corpus holds, so groups are bounded. All that are within one bit of
-the variant are true links of all others there (1 + 2 bits); the smallest of them is linked
+Variants are shuffled on ``KEY`` bits of their value. Those of one fingerprint that agree on
+these bits travel as one row, which the receiving task expands again: 91 rows instead of 561.
+Keys near which fingerprints lie so densely that they would overfill a task are dealt by the
+whole variant instead, one row each; both sides of a meeting take the same way, since it
+depends on the variant alone. The number of tasks follows the number of variants.
+
+Around one variant at most 2,081 distinct fingerprints can meet, whatever the corpus holds,
+so groups are bounded. All that are within one bit of the variant are true links of all others there (1 + 2 bits); the smallest of them is linked
 with each other member after its distance is checked. Exact copies share a fingerprint and
 meet before, in an aggregation. Links go to connected components, never to the driver.
 
@@ -37,6 +42,29 @@ SEED = 42
 _ONE = [1 << i for i in range(64)]
 #: flip masks of the half-radius ball by the parity of a fingerprint's weight
 BALL = [[0, *_ONE, *(a | b for i, a in enumerate(half) for b in half[:i])] for half in (_ONE[:32], _ONE[32:])]
+#: the bits of a variant that decide its task: 2 ** 24 keys
+KEY = 0x00000FFF00000FFF
+#: variants that a task sorts, about
+TASK_VARIANTS = 4_000_000
+#: keys with more fingerprints of their own than this are dealt by whole variants, as are their neighbours
+DENSE = TASK_VARIANTS // len(BALL[0])
+
+
+def _routes() -> tuple[list[list[int]], list[list[tuple[int, int, int]]]]:
+    """Flips by code, and per parity (key flip, code, n): code's n flips change the key bits by key flip.
+
+    Codes ``code + 1`` to ``code + n`` stand for the same flips one by one.
+    """
+    flips: list[list[int]] = []
+    routes: list[list[tuple[int, int, int]]] = [[], []]
+    for route, ball in zip(routes, BALL):
+        by_key: dict[int, list[int]] = {}
+        for mask in ball:
+            by_key.setdefault(mask & KEY, []).append(mask)
+        for key, masks in by_key.items():
+            route.append((key, len(flips), len(masks)))
+            flips += [masks, *([m] for m in masks)]
+    return flips, routes
 
 
 def _signed(x: int) -> int:
@@ -78,7 +106,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _meet(radius: int):
     """mapInArrow body over rows sorted by variant: links between those that meet."""
-    def links(variant: np.ndarray, fp: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    def links(variant: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        near = np.bitwise_count((variant ^ fp).view(np.uint64)) <= 1
         first = np.append(True, variant[1:] != variant[:-1])
         group = np.cumsum(first) - 1
         size = np.bincount(group)
@@ -93,7 +122,7 @@ def _meet(radius: int):
         return pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 2
         for batch in batches:
             cols = [np.append(h, batch.column(i).to_numpy(zero_copy_only=False)) for i, h in enumerate(held)]
             if not len(cols[0]):
@@ -101,31 +130,56 @@ def _meet(radius: int):
             cut = int(np.searchsorted(cols[0], cols[0][-1]))      # the last group may go on
             held = [c[cut:] for c in cols]
             if cut:
-                yield links(cols[0][:cut], cols[1][:cut], cols[2][:cut] > 0)
+                yield links(cols[0][:cut], cols[1][:cut])
         if len(held[0]):
-            yield links(held[0], held[1], held[2] > 0)
+            yield links(held[0], held[1])
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _literal(value) -> str:
+    if isinstance(value, list):
+        return f"array({', '.join(map(_literal, value))})"
+    if isinstance(value, tuple):
+        return f"struct({', '.join(map(_literal, value))})"
+    return f"bigint('{_signed(value)}')"
+
+
+def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """Links (u, v) between distinct fingerprints of at most ``radius`` (up to 3) differing bits.
 
     Pairs around one variant are linked through its smallest near member, so links connect
-    exactly the fingerprints that pairwise links would connect.
+    exactly the fingerprints that pairwise links would connect. ``dense`` changes only the
+    way rows travel.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the ball covers up to 3 differing bits")
-    # a fixed number of parts: adaptive coalescing would judge the fingerprints by their own size,
-    # not by that of the balls they emit
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = fps.select("fp").where("fp IS NOT NULL").distinct().repartition(parts, "fp")
-    masks = F.when(F.bit_count("fp") % 2 == 0, F.array(*[F.lit(_signed(m)) for m in BALL[0]])).otherwise(
-        F.array(*[F.lit(_signed(m)) for m in BALL[1]]))
-    out = distinct.select("fp", F.explode(masks).alias("flip")).select(
-        F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp",
-        (F.bit_count("flip") <= 1).cast("int").alias("near"))
-    met = out.repartition("variant").sortWithinPartitions("variant")
-    return met.select("variant", "fp", "near").mapInArrow(_meet(radius), "u bigint, v bigint").distinct()
+    flips, routes = _routes()
+    distinct = staged(fps.select("fp").where("fp IS NOT NULL").distinct(), "distinct")
+    # a task's work is its variants, so their number sets that of the tasks; adaptive coalescing
+    # would judge by the bytes of the rows that carry them
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                distinct.count() * len(BALL[0]) // TASK_VARIANTS)
+    key = F.col("fp").bitwiseAND(F.lit(KEY))
+    reach = F.expr(_literal(sorted({k for route in routes for k, _, _ in route})))
+    heavy = staged(distinct.groupBy(key.alias("own")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense)
+                   .select("own", F.explode(reach).alias("flip"))
+                   .select(F.col("own").bitwiseXOR(F.col("flip")).alias("heavy")).distinct(), "heavy")
+    way = F.when(F.bit_count("fp") % 2 == 0, F.expr(_literal(routes[0]))).otherwise(F.expr(_literal(routes[1])))
+    routed = (distinct.repartition(parts, "fp").select("fp", F.explode(way).alias("way"))
+              .select("fp", key.bitwiseXOR(F.col("way.col1")).alias("key"),
+                      F.col("way.col2").alias("code"), F.col("way.col3").alias("n")))
+    table = F.expr(_literal(flips))
+    single = F.col("heavy").isNotNull()
+    sent = routed.join(heavy, F.col("key") == F.col("heavy"), "left").select(
+        "fp", "key", single.alias("single"),
+        F.explode(F.when(single, F.sequence(F.col("code") + 1, F.col("code") + F.col("n")))
+                  .otherwise(F.array("code"))).alias("code"))
+    code = (F.col("code") + 1).cast("int")
+    goal = F.when(F.col("single"), F.col("fp").bitwiseXOR(F.element_at(table, code)[0])).otherwise(F.col("key"))
+    met = (sent.select("fp", "code", goal.alias("goal")).repartition(parts, "goal")
+           .select("fp", F.explode(F.element_at(table, code)).alias("flip"))
+           .select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp").sortWithinPartitions("variant"))
+    return met.mapInArrow(_meet(radius), "u bigint, v bigint").distinct()
 
 
 def groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

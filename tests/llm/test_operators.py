@@ -56,6 +56,7 @@ def test_links_find_every_pair_within_three_bits(spark):
     fps = sorted({b ^ sum(1 << int(i) for i in rng.choice(64, k, replace=False)) for b in base for k in (0, 1, 2, 3, 4, 5)})
     df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp bigint")
     root = {r.fp: r.root for r in simhash.groups(df).collect()}
+    assert {tuple(r) for r in simhash.links(df, dense=0).collect()} == {tuple(r) for r in simhash.links(df).collect()}
     want = {x: x for x in fps}
     for _ in fps:
         for x in fps:
