@@ -2,10 +2,11 @@
 
 The classifier sees each text as relative frequencies of hashed word 1- and 2-grams and byte
 3- and 5-grams in ``DIMS`` shared slots. It is trained on at most ``sample_rows`` labelled
-documents (those with the smallest hash of their id) and about ``SAMPLE_BYTES`` of features, whole
-texts, in one Spark task; four fifths fit the weights, one fifth fits a Platt calibration. Only the
-finished model (``DIMS`` floats) goes to the driver and is broadcast; all documents are then
-scored in Arrow batches against a fixed probability threshold.
+documents (those with the smallest hash of their id), whole texts, however long. Every step is a
+Spark job: ``SAMPLE_TASKS`` tasks add up the gradient of their rows and the driver sums these
+(``DIMS`` floats each), so no task holds the whole sample. Four fifths fit the weights, one fifth fits
+a Platt calibration on the driver (one score a row). The finished model (``DIMS`` floats) is broadcast;
+all documents are then scored in Arrow batches against a fixed probability threshold.
 
 Defined cases: null and empty texts have no words and fail the base rule; documents without a
 label are scored like others; labels that are null are not trained on; without labels of both
@@ -26,7 +27,9 @@ from .textops import BLANK, LOWER, Chunk, chunks, mix, span_hash, window_hash
 BITS = 18
 DIMS = 1 << BITS
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 12_000_000
+#: tasks that hold a share of the sample each
+SAMPLE_TASKS = 12
+STEPS = 80
 THRESHOLD = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -126,37 +129,64 @@ def _extract():
     return compute
 
 
-def _fit(pdf):
-    """applyInPandas body over the bounded sample: weights, bias and calibration."""
-    import pandas as pd
-    pdf = pdf.sort_values(["key", "label"], kind="stable")
-    y = pdf["label"].to_numpy(dtype=np.float64)
+def _rows(batch: pa.RecordBatch, w: np.ndarray, bias: float):
+    """Slots, values and row numbers of a batch of the sample, and its scores."""
+    slots, vals = batch.column("slots").to_pylist(), batch.column("vals").to_pylist()
+    row = np.repeat(np.arange(len(slots), dtype=np.int32), [len(x) // 4 for x in slots])
+    col = np.frombuffer(b"".join(slots), np.int32)
+    val = np.frombuffer(b"".join(vals), np.float32) * np.float32(30)
+    return col, val, row, np.bincount(row, weights=w[col] * val, minlength=len(slots)) + bias
+
+
+def _gradient(model, keys: np.ndarray, weight: np.ndarray):
+    """mapInArrow body: the summed gradient of a task's rows (weights, then bias)."""
+    def run(batches):
+        w, total = model.value, np.zeros(DIMS + 1)
+        for batch in batches:
+            col, val, row, z = _rows(batch, w[:-1], w[-1])
+            share = weight[np.searchsorted(keys, batch.column("key").to_numpy())]
+            error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - batch.column("label").to_numpy())
+            total[:-1] += np.bincount(col, weights=val * error[row], minlength=DIMS)
+            total[-1] += error.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g"])
+    return run
+
+
+def _scores(model):
+    """mapInArrow body: key and score of each row."""
+    def run(batches):
+        w = model.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(_rows(batch, w[:-1], w[-1])[3])], ["key", "z"])
+    return run
+
+
+def _fit(sample: DataFrame) -> tuple[np.ndarray, float, float]:
+    """Weights and bias, slope and offset of the sample (key, label, slots, vals)."""
+    known = sorted((r["key"], r["label"]) for r in sample.select("key", "label").collect())     # at most sample_rows rows
+    keys, y = np.array([k for k, _ in known], dtype=np.int64), np.array([c for _, c in known], dtype=np.float64)
     if len(set(y)) < 2:
-        return pd.DataFrame({"weights": [b""], "slope": [0.0], "offset": [0.0]})
-    sizes = pdf["slots"].map(len).to_numpy() // 4
-    col = np.frombuffer(b"".join(pdf["slots"]), np.int32)
-    val = np.frombuffer(b"".join(pdf["vals"]), np.float32) * np.float32(30)
-    del pdf
-    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+        return np.empty(0, dtype=np.float32), 0.0, 0.0
     fit = (np.arange(len(y)) % 5) != 4
     weight = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
-    w, bias = np.zeros(DIMS, dtype=np.float64), 0.0
-    m, v, mb, vb = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0
-    for step in range(1, 81):          # Adam on the whole weighted sample, L2-regularised
-        z = np.bincount(row, weights=w[col] * val, minlength=len(y)) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(col, weights=val * error[row], minlength=DIMS) + 1e-6 * w
-        gb = error.sum()
+    context = sample.sparkSession.sparkContext
+    w, m, v = np.zeros(DIMS + 1), np.zeros(DIMS + 1), np.zeros(DIMS + 1)
+    decay = np.append(np.full(DIMS, 1e-6), 0.0)
+    for step in range(1, STEPS + 1):          # Adam on the whole weighted sample, L2-regularised
+        model = context.broadcast(w.astype(np.float32))
+        parts = sample.mapInArrow(_gradient(model, keys, weight), "g binary").collect()
+        model.destroy()
+        g = np.sum([np.frombuffer(bytes(p["g"]), np.float32) for p in parts], axis=0, dtype=np.float64) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.1 * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
         w -= rate * m / (np.sqrt(v) + 1e-8)
-        bias -= rate * mb / (np.sqrt(vb) + 1e-8)
-    z = np.bincount(row, weights=w[col] * val, minlength=len(y)) + bias
+    model = context.broadcast(w.astype(np.float32))
+    found = {r["key"]: r["z"] for r in sample.mapInArrow(_scores(model), "key bigint, z double").collect()}
+    model.destroy()
+    z = np.array([found[k] for k, _ in known])
     held = ~fit if len(set(y[~fit])) == 2 else fit
     slope, offset = platt(z[held], y[held])
-    return pd.DataFrame({"weights": [np.append(w * 30, bias).astype(np.float32).tobytes()],
-                         "slope": [slope], "offset": [offset]})
+    return np.append(w[:-1] * 30, w[-1]).astype(np.float32), slope, offset
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -184,15 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
             .groupBy("doc_id", "key", "label").agg(F.min("text").alias("text")))
     found = map_columns(rows, ["key", "label"], [("slots", "binary", pa.binary()), ("vals", "binary", pa.binary())],
                         _extract)
-    # the sample is also bounded to about SAMPLE_BYTES of features, by the same hash
-    kept = staged(found, "quality-sample")
-    size = kept.agg(F.sum(F.length("slots")).alias("n")).first()["n"] or 0
-    share = min(1.0, SAMPLE_BYTES / max(1, size))
-    kept = kept.where(F.pmod(F.col("key"), F.lit(10_000)) < int(10_000 * share))
-    model = (kept.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fit, "weights binary, slope double, offset double")).first()
-    if model is None:
-        return np.empty(0, dtype=np.float32), 0.0, 0.0
-    return np.frombuffer(bytes(model["weights"]), np.float32), model["slope"], model["offset"]
+    spread = found.repartition(SAMPLE_TASKS, "key").sortWithinPartitions("key")
+    return _fit(staged(spread, "quality-sample").coalesce(SAMPLE_TASKS))
 
 
 def _scorer(model):
