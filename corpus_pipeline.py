@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove boilerplate lines that spread over many sources."""
-    return lines.deduplicated(docs)
+    """Remove boilerplate lines that spread over many sources, short ones and lines without spaces too."""
+    return lines.deduplicated(docs, min_words=1)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

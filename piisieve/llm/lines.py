@@ -1,6 +1,7 @@
 """Line dedup by distinct-site spread.
 
-A line (without outer spaces, lower-cased, with at least ``MIN_WORDS`` - 1 inner spaces) that occurs at ``MIN_SITES``
+A line (without outer spaces, lower-cased, with at least ``min_words`` - 1 inner spaces, or any line
+that is not blank if that is under 2) that occurs at ``MIN_SITES``
 sites or more is boilerplate. Sites are counted by a HyperLogLog sketch per line hash, merged by
 partial aggregation before the shuffle. Estimates clearly under or over the threshold decide;
 lines within ``BAND`` of it get exact distinct counts. Boilerplate lines leave every document
@@ -41,7 +42,7 @@ def line_rows(docs: DataFrame, site: str, min_words: int) -> DataFrame:
                        row_key().alias("_key"), F.posexplode(_lines(F.col("text"))).alias("i", "line"))
     normal = _normal(F.col("line"))
     spaces = F.length(normal) - F.length(F.translate(normal, " ", ""))
-    return staged(rows.where(spaces >= min_words - 1)
+    return staged(rows.where(spaces >= min_words - 1 if min_words > 1 else normal.rlike(r"\S"))
                   .select("doc_id", "site", "_key", "i", F.xxhash64(normal).alias("line")), "lines")
 
 
