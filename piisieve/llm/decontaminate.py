@@ -194,7 +194,7 @@ def build_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                   .applyInPandas(_build(window), "block int, model binary"), "automata")
 
 
-def _scanner(models: list, clean: tuple[int, float] | None, n_before: int):
+def _scanner(models: list, clean: tuple[int, float, int] | None, n_before: int):
     """Task body: stream each document through the automata of this pass."""
     def make():
         state = worker_state("automata")
@@ -264,15 +264,15 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def cut(chunk: Chunk, i: int, start, end, spans, max_words: int, max_coverage: float) -> str | None:
-    """Document ``i`` without its hit spans of ``max_words`` words or more; null if more than
-    ``max_coverage`` of its words are hit."""
+def cut(chunk: Chunk, i: int, start, end, spans, max_words: int, max_coverage: float, window: int = WINDOW) -> str | None:
+    """Document ``i`` without its hit spans of ``max_words`` words or more, and those of under ``window``
+    words, which only whole short items give; null if more than ``max_coverage`` of its words are hit."""
     raw = chunk.data[chunk.starts[i]:chunk.ends[i]].tobytes()
     if spans and sum(e - s for s, e in spans) > max_coverage * len(start):
         return None
     at, kept = 0, []
     for s, e in spans:
-        if e - s >= max_words:
+        if e - s >= max_words or e - s < window:
             a, b = int(start[s] - chunk.starts[i]), int(end[e - 1] - chunk.starts[i])
             kept.append(raw[at:a])
             at = b
@@ -285,7 +285,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None
     """``columns`` of ``docs`` (all by default) with ``_n_words``, ``_spans`` (hit word ranges),
     ``_items`` (item ids with an occurring window) and ``_longest`` (longest match in words);
     with ``clean`` = (span length limit, coverage limit) also ``_clean``, the text without the
-    spans of that length or more, null beyond that coverage."""
+    spans of that length or more and whole items under ``window`` words, null beyond that coverage."""
     columns = columns if columns is not None else docs.columns
     keep = [f"_c{i}" for i in range(len(columns))]
     spark = docs.sparkSession
@@ -303,7 +303,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None
         last = n == len(passes) - 1
         carried = keep + ([] if last else ["_text"])
         text = [("_clean", "string", pa.string())] if last and clean else []
-        out = map_columns(out, carried, found + text, _scanner(models, clean if last else None, n))
+        out = map_columns(out, carried, found + text, _scanner(models, (*clean, window) if last and clean else None, n))
         if not last:
             out = staged(out, "decontaminate")
     return out.select(*[F.col(k).alias(c) for c, k in zip(columns, keep)],
@@ -321,7 +321,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW,
                    max_coverage: float = 0.5) -> DataFrame:
-    """``docs`` with benchmark spans of ``max_words`` words or more cut from the text; documents
+    """``docs`` with benchmark spans of ``max_words`` words or more and whole shorter items cut from the
+    text (all hits at the default; above it, short items that touch other hits count as one span with them); documents
     with more than ``max_coverage`` of their words hit go. Untouched texts stay byte for byte."""
     found = scan(docs, benchmark, clean=(max_words, max_coverage))
     touched = F.size("_spans") > 0
