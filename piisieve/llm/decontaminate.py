@@ -186,7 +186,8 @@ def build_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                  piece_words: int = PIECE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row (block, model) per block of benchmark items, built by one task each."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    pieces = staged(items.mapInArrow(_pieces(window, piece_words), "item string, words binary"), "items")
+    # repeated pieces add nothing to an automaton, and all of them would go to one block
+    pieces = staged(items.mapInArrow(_pieces(window, piece_words), "item string, words binary").distinct(), "items")
     total = pieces.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0
     n_blocks = -(-total // 8 // block_words) or 1
     block = F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)).cast("int")
