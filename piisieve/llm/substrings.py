@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against blocks of reference phrases.
+"""Substring dedup by anchored phrases and counted windows, in place of a relative Lempel-Ziv parse.
 
 Documents are factored against every text of the corpus that could share a factor with them,
 found by content: each window of ``WINDOW`` words names its smallest ``SEED``-word hash as its
