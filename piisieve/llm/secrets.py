@@ -14,7 +14,9 @@ two counts for each pair of characters, which come to the driver.
 917 runs outside base spans in the other half reach it (the highest is at -0.39), nor do
 24,000 identifiers of 12 styles made from its words. Of 2,000 uniform strings per case, 95.0 % (hex)
 and 99.6 to 100 % (base32, upper case and digits, base62, base64) of 16 characters do, 99.1 and
-100 % of 32. Rules of two alternating signs (``-=-=-=``) reach it too.
+100 % of 32. The threshold was picked from these same figures. Rules of two alternating signs
+(``-=-=-=``) reach it too. Keys that no base pattern matches train the ordinary model if they are
+in the sample: with 80 keys planted among the documents of sf0.001, 5 were missed.
 
 Offsets are code points: a pattern's matches and the gaps that ``split`` leaves between them
 alternate, so lengths add up to positions.
