@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, packing, ppm, quality, secrets, simhash, substrings, token_orc, urls
+from . import (centroids, decontaminate, divergence, lines, packing, pieces, ppm, quality, secrets, simhash,
+               substrings, token_orc, urls)
 from .base import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -129,3 +130,70 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page by rules and link-graph propagation."""
     return urls.report(table(spark, sf_dir, "pages"))
+
+
+@register("op11_sentencepiece")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document."""
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (s.size + 2 * v) AS p,
+             1 + (1000000000::HUGEINT * (total + 2)) // (v.size + 2 * v) AS q
+      FROM s JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+          FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR k <= 10"""
+
+
+@register("op12_source_divergence", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that mark a source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def _op13() -> str:
+    near = "list_sum(list_transform(list_zip(e.q, m.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = ["""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE len(embedding) = 64
+           AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64),
+m0 AS (SELECT k, q FROM (SELECT q, row_number() OVER (ORDER BY vec_id IS NULL, sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS k
+                         FROM e) WHERE k < 16)"""]
+    for i in range(4):
+        parts.append(f"""
+a{i} AS (SELECT r, vec_id, e.q, arg_min(m.k, {near} * 16 + m.k) AS k, min({near}) AS d FROM e, m{i} m GROUP BY r, vec_id, e.q)""")
+        if i < 3:
+            parts.append(f"""
+s{i} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(q) AS x, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY k, j),
+n{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM s{i} GROUP BY k),
+m{i + 1} AS (SELECT m.k, coalesce(n.q, m.q) AS q FROM m{i} m LEFT JOIN n{i} n ON n.k = m.k)""")
+    return ",".join(parts) + """
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a3 a JOIN m3 m ON a.k = m.k"""
+
+
+@register("op13_centroid_clusters", _op13())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds."""
+    return centroids.report(table(spark, sf_dir, "embeddings"))
