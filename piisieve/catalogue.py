@@ -53,6 +53,17 @@ DETECTION_GATES: dict[str, str] = {
     "IBAN": "[0-9]{3}",
 }
 
+# Token edges: a match is dropped where the two characters before or after it match these.
+_WORD_EDGES = (r"[0-9A-Za-z]\z", r"^[0-9A-Za-z]")
+_NUMBER_EDGES = (r"[0-9A-Za-z]\z|[0-9][.-]\z", r"^[0-9A-Za-z]|^[.-][0-9]")
+DETECTION_EDGES: dict[str, tuple[str, str]] = {
+    "EMAIL": _WORD_EDGES, "IBAN": _WORD_EDGES, "SWIFT_CODE": _WORD_EDGES, "CRYPTO": _WORD_EDGES, "MRN": _WORD_EDGES,
+    "PHONE": _NUMBER_EDGES, "SSN": _NUMBER_EDGES, "IPV4": _NUMBER_EDGES, "CARD": _NUMBER_EDGES,
+}
+
+# Characters that follow the value within the match, for rules that capture a group
+DETECTION_TAILS: dict[str, int] = {"SECRET": 1}
+
 ENTITY_TYPES = [r[0] for r in DETECTION_RULES]
 TYPE_TO_LABEL = {r[0]: r[1] for r in DETECTION_RULES}
 

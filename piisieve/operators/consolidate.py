@@ -82,7 +82,7 @@ def _row_items(i: int, verdicts: Column, labels: Column) -> Column:
     def item(lab):
         ml = F.filter(vs, lambda x: x.label == lab)
         ranked = F.array_sort(F.transform(ml, lambda x: F.struct(
-            (~x[key].verified).alias("k1"), x.first_pos.alias("k2"), x[key].reason.alias("reason"))))
+            (~x[key].verified).alias("k1"), x.pos.alias("k2"), x[key].reason.alias("reason"))))
         return F.when(F.size(ml) > 0, F.struct(
             lab.alias("pii"), F.exists(ml, lambda x: x[key].verified).alias("verified"),
             F.element_at(ranked, 1).reason.alias("reason")))
@@ -90,14 +90,14 @@ def _row_items(i: int, verdicts: Column, labels: Column) -> Column:
     return F.filter(F.transform(labels, item), lambda x: x.isNotNull())
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=32)
 def _batch_plan(models: tuple, candidates_col: str, labels_col: str):
     """The (large, immutable) Column trees of ``batch_results_in_row``, built once."""
     raws = F.transform(F.col(candidates_col), lambda c: F.struct(
-        c.label.alias("label"), c.first_pos.alias("first_pos"),
+        c.label.alias("label"), c.pos.alias("pos"),
         *[_model_raw(m, c).alias(f"r{i}") for i, m in enumerate(models)]))
     verdicts = F.transform(F.col("_raws"), lambda x: F.struct(
-        x.label.alias("label"), x.first_pos.alias("first_pos"),
+        x.label.alias("label"), x.pos.alias("pos"),
         *[_model_decision(m, x[f"r{i}"]).alias(f"v{i}") for i, m in enumerate(models)]))
     per_model = F.array(*[F.struct(F.lit(m.name).alias("model"),
                                    _row_items(i, F.col("_verdicts"), F.col(labels_col)).alias("items"))
@@ -131,7 +131,7 @@ def batch_results_in_row(docs: DataFrame, models=RULE_MODELS, candidates_col: st
 def candidate_model_verdicts(cands: DataFrame, models=RULE_MODELS) -> DataFrame:
     """All models over the candidates in one pass (one projection + explode, no re-scan);
     each model's regex chains are evaluated once into a staged column."""
-    base = ["doc_id", "entity_type", "label", "entity_value", "first_pos"]
+    base = ["doc_id", "entity_type", "label", "entity_value", "pos"]
     staged = cands.select(*base, *[_model_raw(m).alias(f"_r{i}") for i, m in enumerate(models)])
     arr = F.array(*[F.when(F.col(f"_r{i}").isNotNull(), F.struct(
         F.lit(m.name).alias("model"), _model_decision(m, F.col(f"_r{i}"))["verified"].alias("verified"),
@@ -147,7 +147,7 @@ def label_verdicts(cand_verdicts: DataFrame) -> DataFrame:
     """
     return cand_verdicts.groupBy("doc_id", "model", "label").agg(
         F.bool_or("verified").alias("verified"),
-        F.min_by("reason", F.struct(~F.col("verified"), F.col("first_pos"))).alias("reason"))
+        F.min_by("reason", F.struct(~F.col("verified"), F.col("pos"))).alias("reason"))
 
 
 def batch_results(records: DataFrame, labels: DataFrame, models=RULE_MODELS) -> DataFrame:

@@ -31,3 +31,12 @@ def generator_input(arr) -> Column:
     """
     col = F.col(arr) if isinstance(arr, str) else arr
     return F.filter(col, lambda x: F.lit(True))
+
+
+def sealed(df: DataFrame) -> DataFrame:
+    """``df`` behind a one-element generator, which filters and explodes are not pushed through.
+
+    Pushed below a chain of projections, a filter is rewritten in terms of the first inputs,
+    and its expression grows with every level that names an earlier column twice.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

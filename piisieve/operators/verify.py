@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalogue as cat
-from .detect import CONTEXT_CHARS
+from .detect import CONTEXT_CHARS, _before
 from .rows import generator_input
 
 DEFAULT_WINDOW = 60
@@ -37,9 +37,7 @@ def luhn_ok(value: Column) -> Column:
 
 
 def narrow_context(context: Column, ctx_offset: Column, value: Column, window: int) -> Column:
-    """Cut a detection context (``CONTEXT_CHARS`` each side) down to ``window`` chars."""
-    if window > CONTEXT_CHARS:
-        raise ValueError(f"window {window} exceeds detection context {CONTEXT_CHARS}")
+    """Cut a detection context down to ``window`` characters on each side."""
     start = F.greatest(ctx_offset - window, F.lit(0))
     return F.substring(context, start + 1, ctx_offset - start + F.length(value) + window)
 
@@ -113,17 +111,43 @@ def rule_columns(etype: Column, value: Column, context: Column, rules=None,
     return rule_decide(rule_raw(etype, value, context, rules, after))
 
 
-def verify_candidates(cands: DataFrame, window: int = DEFAULT_WINDOW, rules=None) -> DataFrame:
-    """J-03/J-04 on detected candidates (output of ``detect_candidates``).
+def verify_candidates(cands: DataFrame, window: int = DEFAULT_WINDOW, rules=None,
+                      context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """J-03/J-04 on detected candidates (output of ``detect_candidates``), each occurrence in its own context.
 
-    Adds ``own, spec, ctx, guard_reason, verified, confidence, reason``.
+    Adds ``own, spec, ctx, guard_reason, verified, confidence, reason``. ``window`` must not exceed
+    the ``context_chars`` that the candidates were detected with.
     """
+    if window > context_chars:
+        raise ValueError(f"window {window} exceeds the candidates' context of {context_chars} characters")
     raw, cols = _verify_plan(window, None if rules is None else tuple(tuple(r) for r in rules))
     staged = cands.withColumn("_rule_raw", raw)   # regexes once per row, decisions read it
     return staged.select(*cands.columns, *[c.alias(k) for k, c in cols])
 
 
-@lru_cache(maxsize=None)
+def verify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = DEFAULT_WINDOW,
+                     rules=None, **detection) -> DataFrame:
+    """Detect and verify in one call; contexts are as wide as ``window`` asks."""
+    from .detect import detect_candidates
+    wide = max(window, detection.pop("context_chars", CONTEXT_CHARS))
+    return verify_candidates(detect_candidates(docs, id_col, text_col, context_chars=wide, **detection), window, rules, wide)
+
+
+def value_verdicts(verdicts: DataFrame, keys=("doc_id", "entity_type", "label", "entity_value")) -> DataFrame:
+    """One row per value: verified if any of its occurrences is (privacy first).
+
+    ``reason`` and ``first_pos`` are those of the first occurrence with that verdict; counts say how many
+    occurrences there are and how many are verified. Aggregated before its shuffle, so a value
+    repeated any number of times travels as one row per task.
+    """
+    best = F.min(F.struct((~F.col("verified")).alias("no"), F.col("pos"), F.col("reason"))).alias("_best")
+    return verdicts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_occurrences"), F.count_if("verified").alias("n_verified"), best).select(
+        *keys, "n_occurrences", "n_verified", (~F.col("_best.no")).alias("verified"),
+        F.col("_best.pos").alias("first_pos"), F.col("_best.reason").alias("reason"))
+
+
+@lru_cache(maxsize=32)
 def _verify_plan(window: int, rules_key):
     """Column trees of ``verify_candidates`` (built once per window / rule set)."""
     rules = list(rules_key) if rules_key else None
@@ -138,18 +162,69 @@ def after_value(context: Column, ctx_offset: Column, value: Column, window: int)
     return F.substring(context, ctx_offset + F.length(value) + 1, F.lit(window))
 
 
-def entity_candidates(records: DataFrame, id_col: str = "recordId", text_col: str = "input",
-                      type_col: str = "entityType", value_col: str = "entityValue",
-                      context_chars: int = CONTEXT_CHARS) -> DataFrame:
-    """``EntityRecord`` rows (value given by an upstream detector) as verifier candidates."""
+_PLACE = "array<struct<pos:bigint,context:string,ctx_offset:int>>"
+
+
+def _with_places(records: DataFrame, text_col: str, value_col: str, context_chars: int) -> DataFrame:
+    """``records`` with ``_places``: position and context of every occurrence of the value (pos 0: none)."""
     text, value = F.col(text_col), F.col(value_col)
-    pos = F.instr(text, value)
-    start = F.greatest(pos - context_chars, F.lit(1))
-    return records.select(
-        "*", F.col(type_col).alias("entity_type"), value.alias("entity_value"),
-        pos.cast("bigint").alias("first_pos"),
-        F.substring(text, start, pos - start + F.length(value) + context_chars).alias("context"),
-        (pos - start).cast("int").alias("ctx_offset"))
+    held: list[dict[str, Column]] = []
+
+    def ref(name: str, expr: Column) -> Column:
+        held.append({name: expr})
+        return F.col(name)
+    quoted = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    gaps = ref("_gaps", F.when(F.length(value) > 0, F.split(text, quoted, -1)))
+    steps = ref("_steps", F.transform(gaps, lambda g: F.length(g) + F.length(value)))
+    before = _before(steps, F.lit(0), lambda x, y: x + y, ref, "_sums")
+    found = F.when(F.size(gaps) > 1, F.transform(
+        F.sequence(F.lit(0), F.size(gaps) - 2), lambda i: before(i) + F.length(F.get(gaps, i)) + 1)).otherwise(F.array(F.lit(0)))
+
+    def place(pos: Column) -> Column:
+        start = F.greatest(pos - context_chars, F.lit(1))
+        return F.struct(pos.cast("bigint").alias("pos"),
+                        F.substring(text, start, pos - start + F.length(value) + context_chars).alias("context"),
+                        (pos - start).cast("int").alias("ctx_offset"))
+    places = F.transform(ref("_found", found), place).cast(_PLACE)
+    out = records
+    for level in held:
+        out = out.withColumns(level)
+    return out.withColumn("_places", places).drop(*[n for level in held for n in level])
+
+
+def entity_candidates(records: DataFrame, text_col: str = "input", type_col: str = "entityType",
+                      value_col: str = "entityValue", context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """``EntityRecord`` rows (value given by an upstream detector) as verifier candidates.
+
+    One row per occurrence of the value in the text; ``pos`` is 0 where it does not occur.
+    """
+    rows = _with_places(records, text_col, value_col, context_chars)
+    return rows.select(*records.columns, F.col(type_col).alias("entity_type"), F.col(value_col).alias("entity_value"),
+                       F.inline(generator_input("_places")))
+
+
+def verify_entities(records: DataFrame, text_col: str = "input", type_col: str = "entityType",
+                    value_col: str = "entityValue", window: int = DEFAULT_WINDOW, rules=None) -> DataFrame:
+    """J-03/J-04 on ``EntityRecord`` rows: one verdict per record, verified if any occurrence is.
+
+    Adds ``pos, context, ctx_offset`` of the first occurrence with that verdict, then the columns of
+    ``verify_candidates``. Occurrences are judged inside the record's row: no shuffle.
+    """
+    rows = _with_places(records, text_col, value_col, max(window, CONTEXT_CHARS))
+    etype, value = F.col(type_col), F.col(value_col)
+    raws = F.transform("_places", lambda c: F.struct(
+        c.pos.alias("pos"), c.context.alias("context"), c.ctx_offset.alias("ctx_offset"),
+        rule_raw(etype, value, narrow_context(c.context, c.ctx_offset, value, window), rules,
+                 after_value(c.context, c.ctx_offset, value, window)).alias("r")))
+    verdicts = F.transform("_raws", lambda x: F.struct(
+        (~rule_decide(x.r)["verified"]).alias("no"), x.pos.alias("pos"), x.context.alias("context"),
+        x.ctx_offset.alias("ctx_offset"), *[c.alias(k) for k, c in rule_decide(x.r).items()]))
+    keep = [F.col(f"`{c}`") for c in records.columns]
+    names = ["guard_reason", *cat.TESTS, "verified", "confidence", "reason"]
+    return (rows.select(*keep, raws.alias("_raws")).select(*keep, verdicts.alias("_verdicts"))
+            .select(*keep, F.array_min("_verdicts").alias("_best"))
+            .select(*keep, etype.alias("entity_type"), value.alias("entity_value"),
+                    *[F.col(f"_best.{c}") for c in ["pos", "context", "ctx_offset", *names]]))
 
 
 def confusion_metrics(df: DataFrame, pred_col: str = "verified", truth_col: str = "is_true_positive",
@@ -177,11 +252,13 @@ def match_outputs(inputs: DataFrame, outputs: DataFrame, key: str = "recordId",
     key (partial aggregation), never a collect.
     """
     def last(df):
-        if order_col is None or order_col not in df.columns:
-            return df.dropDuplicates([key])
         cols = [c for c in df.columns if c != key]
-        row = F.max_by(F.struct(*cols), order_col).alias("_row")
-        return df.groupBy(key).agg(row).select(key, "_row.*")
+        if not cols:
+            return df.dropDuplicates([key])
+        own = F.struct(*[F.col(f"`{c}`") for c in cols])
+        # without an order the row whose JSON text is largest stays, the same at any partitioning
+        order = F.struct(F.col(order_col), F.to_json(own)) if order_col in df.columns else F.to_json(own)
+        return df.groupBy(key).agg(F.max_by(own, order).alias("_row")).select(key, "_row.*")
     return last(inputs).join(last(outputs), key, how)
 
 
@@ -207,8 +284,8 @@ def verify_labels(records: DataFrame, candidate_verdicts: DataFrame, id_col: str
     """
     per_label = (candidate_verdicts.groupBy(id_col, "label").agg(
         F.bool_or("verified").alias("any_verified"),
-        F.min_by("reason", F.struct(~F.col("verified"), F.col("first_pos"))).alias("v_reason"),
-        F.min_by("reason", F.col("first_pos")).alias("first_reason")))
+        F.min_by("reason", F.struct(~F.col("verified"), F.col("pos"))).alias("v_reason"),
+        F.min_by("reason", F.col("pos")).alias("first_reason")))
     exploded = records.select(id_col, text_col,
                               F.posexplode(generator_input(labels_col)).alias("label_pos", "label"))
     guard = None
@@ -250,18 +327,18 @@ def verify_labels_in_row(df: DataFrame, text_col: str = "input", labels_col: str
     return staged.select(*keep, F.inline(generator_input(items)))
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=32)
 def _labels_plan(text_col: str, labels_col: str, window: int):
     """Column trees of ``verify_labels_in_row`` (built once per parameter set)."""
     raws = F.transform("candidates", lambda c: F.struct(
-        c.label.alias("label"), c.first_pos.alias("first_pos"),
+        c.label.alias("label"), c.pos.alias("pos"),
         rule_raw(c.entity_type, c.entity_value,
                  narrow_context(c.context, c.ctx_offset, c.entity_value, window),
                  after=after_value(c.context, c.ctx_offset, c.entity_value, window)).alias("r")))
 
     def decide(x):
         d = rule_decide(x.r)
-        return F.struct(x.label.alias("label"), x.first_pos.alias("first_pos"),
+        return F.struct(x.label.alias("label"), x.pos.alias("pos"),
                         d["verified"].alias("verified"), d["reason"].alias("reason"))
 
     text = F.col(text_col)
@@ -271,7 +348,7 @@ def _labels_plan(text_col: str, labels_col: str, window: int):
         located = F.size(ml) > 0
         any_ok = F.exists(ml, lambda x: x.verified)
         first = F.element_at(F.array_sort(F.transform(ml, lambda x: F.struct(
-            (~x.verified).alias("k1"), x.first_pos.alias("k2"), x.reason.alias("reason")))), 1)
+            (~x.verified).alias("k1"), x.pos.alias("k2"), x.reason.alias("reason")))), 1)
         guard = _label_guard(lab, text)
         return F.struct(
             pos.alias("label_pos"), lab.alias("pii"),

@@ -18,30 +18,39 @@ def q(s: str) -> str:
 
 
 def detect_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    parts = []
-    for etype, label, pattern, group in cat.DETECTION_RULES:
-        parts.append(
-            f"SELECT {id_col}, {q(etype)} AS entity_type, {q(label)} AS label, "
-            f"unnest(regexp_extract_all({text_col}, {q(pattern)}, {group})) AS entity_value, "
-            f"{text_col} AS t FROM {table}")
-    hits = "\nUNION ALL\n".join(parts)
-    valid = ("(entity_type <> 'IPV4' OR greatest(" + ", ".join(
-        f"CAST(split_part(entity_value, '.', {i}) AS INTEGER)" for i in range(1, 5)) + ") <= 255)")
+    """One row per occurrence; overlaps are settled rule by rule, each against those kept before."""
     w = CONTEXT_CHARS
+    ctes, kept = [f"src AS (SELECT row_number() OVER () AS r, {id_col}, {text_col} AS t FROM {table})"], []
+    for k, (etype, label, pattern, group) in enumerate(cat.DETECTION_RULES):
+        lengths = "list_sum(list_transform({0}, lambda x: length(x)))"
+        start = f"coalesce({lengths.format('g[1:i]')}, 0) + coalesce({lengths.format('h[1:i - 1]')}, 0)"
+        if group:
+            start = f"{start} + length(h[i]) - {cat.DETECTION_TAILS[etype]} - length(v[i])"
+        ctes.append(f"h{k} AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT r, {id_col}, t, "
+                    f"regexp_extract_all(t, {q(pattern)}) AS h, regexp_extract_all(t, {q(pattern)}, {group}) AS v, "
+                    f"regexp_split_to_array(t, {q(pattern)}) AS g FROM src) s WHERE len(h) > 0)")
+        ctes.append(f"p{k} AS (SELECT r, {id_col}, t, v[i] AS entity_value, CAST({start} AS BIGINT) AS a FROM h{k})")
+        ok = ["length(entity_value) > 0"]
+        if etype == "IPV4":
+            ok.append("greatest(" + ", ".join(f"CAST(split_part(entity_value, '.', {i}) AS INTEGER)" for i in range(1, 5)) + ") <= 255")
+        if etype in cat.DETECTION_EDGES:
+            left, right = cat.DETECTION_EDGES[etype]
+            ok.append(f"NOT regexp_matches(CASE WHEN a > 1 THEN substring(t, a - 1, 2) ELSE substring(t, 1, a) END, {q(left)})")
+            ok.append(f"NOT regexp_matches(substring(t, a + length(entity_value) + 1, 2), {q(right)})")
+        for j in range(k):
+            ok.append(f"NOT EXISTS (SELECT 1 FROM k{j} o WHERE o.r = p.r AND o.a < p.a + length(p.entity_value) "
+                      f"AND p.a < o.a + length(o.entity_value))")
+        # materialised: each level reads all levels before it
+        ctes.append(f"k{k} AS MATERIALIZED (SELECT *, {q(etype)} AS entity_type, {q(label)} AS label FROM p{k} p WHERE "
+                    + " AND ".join(ok) + ")")
+        kept.append(f"SELECT * FROM k{k}")
+    start = f"greatest(a - {w}, 0)"
     return f"""(
-WITH hits AS ({hits}),
-pos AS (
-  SELECT {id_col}, entity_type, label, entity_value, t, strpos(t, entity_value) AS pos
-  FROM hits WHERE length(entity_value) > 0 AND {valid}),
-ctx AS (
-  SELECT {id_col}, entity_type, label, entity_value, pos,
-         substring(t, greatest(pos - {w}, 1), pos - greatest(pos - {w}, 1) + length(entity_value) + {w}) AS context,
-         pos - greatest(pos - {w}, 1) AS ctx_offset
-  FROM pos)
-SELECT {id_col}, entity_type, label, entity_value, CAST(count(*) AS BIGINT) AS n_hits,
-       CAST(min(pos) AS BIGINT) AS first_pos, min(context) AS context,
-       CAST(min(ctx_offset) AS INTEGER) AS ctx_offset
-FROM ctx GROUP BY {id_col}, entity_type, label, entity_value)"""
+WITH {", ".join(ctes)}
+SELECT {id_col}, entity_type, label, entity_value, CAST(a + 1 AS BIGINT) AS pos,
+       substring(t, {start} + 1, a - {start} + length(entity_value) + {w}) AS context,
+       CAST(a - {start} AS INTEGER) AS ctx_offset
+FROM ({" UNION ALL ".join(kept)}) u)"""
 
 
 def luhn_fail_sql(v: str) -> str:
@@ -124,12 +133,12 @@ def model_label_verdicts_sql(models) -> str:
         else:
             verdict = "verified, reason"
         types = "" if m.types is None else "WHERE entity_type IN (" + ", ".join(q(t) for t in m.types) + ")"
-        parts.append(f"SELECT doc_id, label, first_pos, {q(m.name)} AS model, {i} AS model_idx, {verdict} "
+        parts.append(f"SELECT doc_id, label, pos, {q(m.name)} AS model, {i} AS model_idx, {verdict} "
                      f"FROM {verify_sql(detect_sql(), m.window)} v{i} {types}")
     union = "\nUNION ALL\n".join(parts)
     return f"""(
 SELECT doc_id, model, model_idx, label, bool_or(verified) AS verified,
-       arg_min(reason, (NOT verified, first_pos)) AS reason
+       arg_min(reason, (NOT verified, pos)) AS reason
 FROM ({union}) u GROUP BY doc_id, model, model_idx, label)"""
 
 
@@ -326,11 +335,21 @@ FROM s7)"""
 
 
 def entity_candidates_sql(src: str, w: int = CONTEXT_CHARS) -> str:
-    pos = "strpos(input, entityValue)"
-    start = f"greatest({pos} - {w}, 1)"
-    return f"""(SELECT *, entityType AS entity_type, entityValue AS entity_value, CAST({pos} AS BIGINT) AS first_pos,
-  substring(input, {start}, {pos} - {start} + length(entityValue) + {w}) AS context,
-  CAST({pos} - {start} AS INTEGER) AS ctx_offset FROM {src} g)"""
+    """One row per occurrence of the given value (pos 0: it does not occur)."""
+    start = f"greatest(pos - {w}, 1)"
+    before = "coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + (i - 1) * length(entityValue) + 1"
+    return f"""(SELECT * EXCLUDE (gaps, i), entityType AS entity_type, entityValue AS entity_value,
+  substring(input, {start}, pos - {start} + length(entityValue) + {w}) AS context,
+  CAST(pos - {start} AS INTEGER) AS ctx_offset
+FROM (SELECT *, CAST(CASE WHEN len(gaps) > 1 THEN {before} ELSE 0 END AS BIGINT) AS pos
+      FROM (SELECT *, unnest(range(1, greatest(len(gaps), 2))) AS i
+            FROM (SELECT *, string_split(input, entityValue) AS gaps FROM {src} g0) g1) g2) g)"""
+
+
+def entity_verdicts_sql(src: str, key: str = "recordId") -> str:
+    """One verdict per record: any occurrence, the first with that verdict."""
+    return f"""(SELECT * FROM {verify_sql(entity_candidates_sql(src))} e
+QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY NOT verified, pos) = 1)"""
 
 
 # ----------------------------------------------------------------------------- decisions

@@ -43,7 +43,7 @@ def candidate_verdicts(spark: SparkSession, sf_dir: str, window: int = verify.DE
     return verify.verify_candidates(candidates(spark, sf_dir), window=window)
 
 
-_CAND_COLS = "doc_id, entity_type, label, entity_value, n_hits, first_pos, context, ctx_offset"
+_CAND_COLS = "doc_id, entity_type, label, entity_value, pos, context, ctx_offset"
 
 
 @register("detect_candidates", f"SELECT {_CAND_COLS} FROM {O.detect_sql()} d")
@@ -52,7 +52,7 @@ def q_detect_candidates(spark, sf_dir):
     return candidates(spark, sf_dir)
 
 
-_VERDICT_COLS = ("doc_id", "entity_type", "label", "entity_value", "first_pos", "guard_reason",
+_VERDICT_COLS = ("doc_id", "entity_type", "label", "entity_value", "pos", "guard_reason",
                  "own", "spec", "ctx", "verified", "confidence", "reason")
 
 
@@ -63,6 +63,16 @@ def q_verify_candidates(spark, sf_dir):
     return candidate_verdicts(spark, sf_dir).select(*_VERDICT_COLS)
 
 
+@register("value_verdicts", f"""
+SELECT doc_id, entity_type, label, entity_value, CAST(count(*) AS BIGINT) AS n_occurrences,
+  CAST(count_if(verified) AS BIGINT) AS n_verified, bool_or(verified) AS verified,
+  arg_min(pos, (NOT verified, pos)) AS first_pos, arg_min(reason, (NOT verified, pos)) AS reason
+FROM {O.verify_sql(O.detect_sql())} v GROUP BY doc_id, entity_type, label, entity_value""")
+def q_value_verdicts(spark, sf_dir):
+    """J-03/J-04 per value: verified if any of its occurrences is."""
+    return verify.value_verdicts(candidate_verdicts(spark, sf_dir))
+
+
 @register("verification_summary", f"""
 SELECT entity_type, CAST(count(*) AS BIGINT) AS total,
        CAST(count_if(verified) AS BIGINT) AS verified,
@@ -287,9 +297,9 @@ def q_batch_prompts(spark, sf_dir):
 @register("single_prompts", f"""
 SELECT c.doc_id, c.entity_type, c.entity_value, md5({O.single_prompt_sql('d.text', 'c.entity_type', 'c.entity_value')}) AS prompt_md5,
   CAST(length({O.single_prompt_sql('d.text', 'c.entity_type', 'c.entity_value')}) AS INTEGER) AS prompt_chars
-FROM {O.detect_sql()} c JOIN documents d ON c.doc_id = d.doc_id""")
+FROM (SELECT DISTINCT doc_id, entity_type, entity_value FROM {O.detect_sql()} c0) c JOIN documents d ON c.doc_id = d.doc_id""")
 def q_single_prompts(spark, sf_dir):
-    """J-05: single-entity prompt per candidate (context = the whole document)."""
+    """J-05: single-entity prompt per distinct candidate value (context = the whole document)."""
     docs = _documents(spark, sf_dir)
     text = F.col("text")
 
@@ -299,7 +309,10 @@ def q_single_prompts(spark, sf_dir):
                         F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_chars"))
     # the prompt needs the whole text: build it in the document's row, never join text back
     arr = detect.detect_arrays(docs)
-    return arr.select("doc_id", F.inline(F.transform("candidates", one)))
+    values = F.array_distinct(F.transform("candidates", lambda c: F.struct(
+        c.entity_type.alias("entity_type"), c.entity_value.alias("entity_value"))))
+    return arr.select("doc_id", "text", values.alias("found")).select(
+        "doc_id", F.inline(F.transform("found", one)))
 
 
 @register("parse_simple_replies", f"""
@@ -358,11 +371,11 @@ SELECT entityType, CAST(count_if(verified AND is_true_positive) AS BIGINT) AS tp
   count_if(verified AND is_true_positive) / nullif(count_if(verified AND is_true_positive) + count_if(NOT verified AND is_true_positive), 0) AS recall,
   2 * count_if(verified AND is_true_positive) / nullif(2 * count_if(verified AND is_true_positive) + count_if(verified AND NOT is_true_positive) + count_if(NOT verified AND is_true_positive), 0) AS f1,
   count_if(verified AND NOT is_true_positive) / nullif(count_if(verified AND NOT is_true_positive) + count_if(NOT verified AND NOT is_true_positive), 0) AS fpr
-FROM {O.verify_sql(O.entity_candidates_sql(_GEN_ALL))} v GROUP BY ROLLUP (entityType)""")
+FROM {O.entity_verdicts_sql(_GEN_ALL)} v GROUP BY ROLLUP (entityType)""")
 def q_entity_verification_metrics(spark, sf_dir):
     """E-12 / D-09: rule-verifier precision, recall, F1 and FPR against generated truth."""
     tests = datagen.generate(_seeds(spark, sf_dir), "all")
-    verdicts = verify.verify_candidates(verify.entity_candidates(tests))
+    verdicts = verify.verify_entities(tests)
     return verify.confusion_metrics(verdicts)
 
 
@@ -541,12 +554,12 @@ def q_reply_label_agreement(spark, sf_dir):
 SELECT recordId, entityType, entityValue, verified AS result_verified, round(confidence, 4) AS result_confidence,
   reason AS result_reason, CAST(0.0 AS DOUBLE) AS result_latency_ms, 'rules_balanced' AS model_name,
   'cpu' AS model_type, '0' AS model_parameters, is_true_positive AS metadata_is_true_positive
-FROM {O.verify_sql(O.entity_candidates_sql(_GEN_ALL))} v""")
+FROM {O.entity_verdicts_sql(_GEN_ALL)} v""")
 def q_entity_results(spark, sf_dir):
     """C-01/C-04: ``EntityResult`` rows of the rule verifier over the generated entity tests
     (flattened; the run timestamp is left out of the comparison)."""
     tests = datagen.generate(_seeds(spark, sf_dir), "all")
-    v = verify.verify_candidates(verify.entity_candidates(tests))
+    v = verify.verify_entities(tests)
     from ..sources.sinks import entity_results
     r = entity_results(v.withColumn("metadata", F.create_map(
         F.lit("is_true_positive"), F.col("is_true_positive").cast("string"))), "rules_balanced", "cpu", "0")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import py_strip
 from ..operators.replies import strict_json
-from ..operators.verify import entity_candidates, verify_candidates
+from ..operators.verify import verify_entities
 from ..sources.jsonl import ENTITY_RECORD
 
 
@@ -26,7 +26,7 @@ def verify_entity_stream(spark: SparkSession, in_dir: str, window: int = 60) ->
     ok = (line != "") & F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNotNull() \
         & F.array_contains(keys, "recordId") & F.array_contains(keys, "input")
     recs = lines.filter(ok).select(F.from_json(line, ENTITY_RECORD).alias("r")).select("r.*")
-    verdicts = verify_candidates(entity_candidates(recs), window=window)
+    verdicts = verify_entities(recs, window=window)
     return verdicts.select("recordId", "input", "entityType", "entityValue", "metadata",
                            "verified", "confidence", "reason",
                            F.current_timestamp().alias("ts"))
@@ -52,7 +52,7 @@ def start_with_dead_letters(spark: SparkSession, in_dir: str, out_dir: str, dead
         b = batch.withColumn("batch_id", F.lit(epoch))
         good = (b.filter(F.col("reject_reason").isNull())
                 .select("batch_id", F.from_json("line", ENTITY_RECORD).alias("r")).select("batch_id", "r.*"))
-        verdicts = verify_candidates(entity_candidates(good), window=window).select(
+        verdicts = verify_entities(good, window=window).select(
             "batch_id", "recordId", "input", "entityType", "entityValue", "metadata",
             "verified", "confidence", "reason")
         opts = {"partitionOverwriteMode": "dynamic"}

@@ -46,8 +46,8 @@ def test_detection_counts_and_context(spark):
     text = "mail a.b@mail1.example.com or a.b@mail1.example.com; ip 10.0.0.1 and 999.1.1.1"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     rows = {(r.entity_type, r.entity_value): r for r in detect.detect_candidates(df).collect()}
-    assert rows[("EMAIL", "a.b@mail1.example.com")].n_hits == 2
-    assert rows[("EMAIL", "a.b@mail1.example.com")].first_pos == 6
+    places = [r.pos for r in detect.detect_candidates(df).where("entity_type = 'EMAIL'").collect()]
+    assert places == [6, 31]
     assert ("IPV4", "999.1.1.1") not in rows            # octet > 255 is not an address
     r = rows[("IPV4", "10.0.0.1")]
     assert r.context[r.ctx_offset:r.ctx_offset + len("10.0.0.1")] == "10.0.0.1"
