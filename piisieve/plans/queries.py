@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.draw import draw as _draw
 from ..functions.text import truncate_text
 from .. import catalogue as _cat
-from ..operators import consolidate, datagen, decisions, detect, prompts, scorer, stats, training, verify
+from ..operators import consolidate, datagen, decisions, detect, prompts, quantiles, scorer, stats, training, verify
 from ..operators import replies as replies_op
 from ..operators.rows import keep_if
 from ..session import spread, table
@@ -105,7 +105,7 @@ SELECT model, CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGI
   min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
   round(sum(confidence), 6) / count(confidence) AS confidence_mean, round(quantile_cont(confidence, 0.5), 8) AS confidence_median,
   min(confidence) AS confidence_min, max(confidence) AS confidence_max,
-  {_SPAN} / 1e6 AS total_time_sec,
+  coalesce({_SPAN} / 1e6, 0.0) AS total_time_sec,
   CASE WHEN {_SPAN} > 0 THEN count(*) / ({_SPAN} / 1e6) ELSE 0.0 END AS items_per_sec
 FROM {_LOG_SQL} l GROUP BY model"""
 
@@ -138,7 +138,7 @@ SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(verified) AS BIGINT) AS
   min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
   round(sum(confidence), 6) / count(confidence) AS confidence_mean, round(quantile_cont(confidence, 0.5), 8) AS confidence_median,
   min(confidence) AS confidence_min, max(confidence) AS confidence_max,
-  {_SPAN} / 1e6 AS total_time_sec,
+  coalesce({_SPAN} / 1e6, 0.0) AS total_time_sec,
   CASE WHEN {_SPAN} > 0 THEN count(*) / ({_SPAN} / 1e6) ELSE 0.0 END AS items_per_sec
 FROM {_LOG_SQL} l""")
 def q_overall_stats(spark, sf_dir):
@@ -575,11 +575,20 @@ def q_entity_results(spark, sf_dir):
 
 @register("model_stats_approx")
 def q_model_stats_approx(spark, sf_dir):
-    """E-06: the same per-model stats with ``percentile_approx`` (bounded buffers for value
-    domains without a bound); rows-only check, approximate quantiles differ by engine."""
+    """E-06: the same per-model stats with quantiles from a mergeable sketch; rows-only check, since
+    approximate quantiles differ by engine (``sketch_quantile_check`` decides their error)."""
     return stats.model_stats(inference_log(spark, sf_dir), approx=True)
 
 
+@register("sketch_quantile_check", f"""
+SELECT model, prob, TRUE AS within_bound
+FROM (SELECT DISTINCT model FROM {_LOG_SQL} l WHERE latency_ms IS NOT NULL), (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS prob)""")
+def q_sketch_quantile_check(spark, sf_dir):
+    """E-06: every sketched quantile's true rank lies within the returned error bound."""
+    return quantiles.sketch_check(inference_log(spark, sf_dir), "model", "latency_ms", list(stats.PROBS), stats.SKETCH_K).select(
+        "model", "prob", "within_bound")
+
+
 # --------------------------------------------------------------------------- scorer plug-in (J-08)
 @register("plugin_scorer_replies", f"""
 SELECT doc_id, parse_path, array_to_string(verified, '|') AS verified, CAST(len(verified) AS INTEGER) AS n_verified
