@@ -176,7 +176,8 @@ def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
     if num_partitions:
         rows = rows.repartition(num_partitions, "_g", "_s1", "_s2")
     own = Window.partitionBy("_g", "_s1", "_s2").orderBy(*[F.col(f"`{c}`") for c in order_cols])
-    return (rows.withColumn("_local", F.row_number().over(own)).join(offsets, ["_g", "_s1", "_s2"])
+    # both sides are dealt and sorted by the slices already, so merging them costs no shuffle of the rows
+    return (rows.withColumn("_local", F.row_number().over(own)).join(offsets.hint("merge"), ["_g", "_s1", "_s2"])
             .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_offset") + F.col("_local")).alias(out)))
 
 
