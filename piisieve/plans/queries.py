@@ -512,13 +512,30 @@ def q_customer_json_labels(spark, sf_dir):
 _DEEP_FIELDS = {p: lab for _, p, lab in training.PATH_LABELS}
 
 
-@register("customer_json_deep_labels")
+def _deep_docs(d):
+    """Every second document lies in objects and lists of another one, next to values that are not entered."""
+    nested = F.concat(F.lit('{"id":'), F.col("c_custkey").cast("string"), F.lit(',"document":'), F.col("doc"), F.lit(',"history":['), F.col("doc"),
+                      F.lit(',5,null,"email",['), F.col("doc"), F.lit(']],"email":{"list":[{"deep":['), F.col("doc"), F.lit(']}]}}'))
+    return d.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, nested).otherwise(F.col("doc")).alias("doc"))
+
+
+_DEEP_DOCS_SQL = f"""(SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN
+  '{{"id":' || c_custkey || ',"document":' || doc || ',"history":[' || doc || ',5,null,"email",[' || doc ||
+  ']],"email":{{"list":[{{"deep":[' || doc || ']}}]}}}}' ELSE doc END AS doc FROM {_CUSTOMER_DOCS_SQL} c)"""
+_DEEP_MAP = "MAP {" + ", ".join(f"{O.q(k)}: {O.q(v)}" for k, v in _DEEP_FIELDS.items()) + "}"
+
+
+@register("customer_json_deep_labels", f"""
+WITH d AS (SELECT c_custkey, doc FROM {_DEEP_DOCS_SQL} x),
+e AS (SELECT c_custkey, t.id AS n, replace(regexp_replace(t.fullkey, '\\[[0-9]+\\]', '', 'g'), '$.', '') AS f, CAST(t.key AS VARCHAR) AS k
+      FROM d, json_tree(CAST(d.doc AS JSON)) t
+      WHERE t.key IS NOT NULL AND NOT regexp_matches(t.fullkey, '\\]$') AND NOT contains(t.fullkey, '][')),
+l AS (SELECT c_custkey, n, coalesce(({_DEEP_MAP})[f], ({_DEEP_MAP})[k]) AS label FROM e)
+SELECT c_custkey, coalesce(string_agg(label, '|' ORDER BY n), '') AS labels FROM d LEFT JOIN l USING (c_custkey) GROUP BY c_custkey""")
 def q_customer_json_deep_labels(spark, sf_dir):
-    """J-13: deep walk (lists entered, bare-key fallback) over the same documents; rows-only
-    check (a recursive walk has no bounded SQL form)."""
-    d = _customer_docs(spark, sf_dir)
-    labels = training.deep_json_labels(F.col("doc"), _DEEP_FIELDS)
-    return d.select("c_custkey", F.array_join(labels, "|").alias("labels"))
+    """J-13: walk that enters lists of objects, with bare-key fallback, over nested documents."""
+    d = training.deep_json_labels(_deep_docs(_customer_docs(spark, sf_dir)), "doc", _DEEP_FIELDS)
+    return d.select("c_custkey", F.array_join("labels", "|").alias("labels"))
 
 
 # --------------------------------------------------------------------------- parser fidelity (E-26)
