@@ -195,9 +195,10 @@ def results_long(results: DataFrame, model_col: str = "model", order_col: str =
     """C-05/C-06/I-31: result rows -> long (record, pii, model, verified, reason, order).
 
     Only struct items count (string items of simple mode are ignored by construction: the
-    column must be ``array<struct<pii,verified,reason>>``). Missing fields take the
-    reference defaults: record 'unknown', input '', pii '', verified false, reason
-    'No reason provided'. The input is truncated before any shuffle.
+    column must be ``array<struct<pii,verified,reason>>``). A record without an id is 'unknown', a
+    null input ''; keys that an item lacks got their defaults when it was read
+    (``sources.jsonl.read_results``), and an explicit null stays one. The input is truncated before any
+    shuffle.
     """
     exploded = results.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("unknown")).alias("record_id"),
@@ -206,9 +207,7 @@ def results_long(results: DataFrame, model_col: str = "model", order_col: str =
         F.posexplode(generator_input(items_col)).alias("item_pos", "item"))
     return exploded.select(
         "record_id", "input_text", "model", "load_order", "item_pos",
-        F.coalesce("item.pii", F.lit("")).alias("pii"),
-        F.coalesce("item.verified", F.lit(False)).alias("verified"),
-        F.coalesce("item.reason", F.lit(cat.CONSOLIDATE_NO_REASON)).alias("reason"))
+        "item.pii", F.coalesce("item.verified", F.lit(False)).alias("verified"), "item.reason")
 
 
 def model_order(long: DataFrame) -> DataFrame:

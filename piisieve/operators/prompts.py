@@ -55,12 +55,14 @@ def describe_labels(labels: Column, descriptions: Column | None = None) -> Colum
 
 
 def batch_prompt(text: Column, labels: Column, reasoning: Column,
-                 descriptions: Column | None = None) -> Column:
-    """J-06: batch verification prompt; ``reasoning`` (boolean Column) picks the output mode."""
+                 descriptions: Column | None = None, described: Column | None = None) -> Column:
+    """J-06: batch verification prompt; ``reasoning`` (boolean Column) picks the output mode.
+
+    ``described`` is the described label list where it is there already (``with_descriptions``)."""
     return render(cat.BATCH_PROMPT, {
         "input_text": text,
         "detected_piis": py_list_repr(labels),
-        "element_descriptions": describe_labels(labels, descriptions),
+        "element_descriptions": describe_labels(labels, descriptions) if described is None else described,
         "response_rules": F.when(reasoning, F.lit(cat.REASONING_RULES))
                            .otherwise(F.lit(cat.SIMPLE_RULES)),
         "output_example": F.when(reasoning, F.lit(cat.REASONING_EXAMPLE))
@@ -95,27 +97,52 @@ def chat_messages(prompt: Column, family: str) -> Column:
     raise ValueError(family)
 
 
+def catalogue_map_from(catalogue: DataFrame, max_rows: int = 100_000) -> Column:
+    """A small catalogue table as a literal map; ``with_descriptions`` takes one of any size."""
+    rows = catalogue.select("name", "description").limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"catalogue has more than {max_rows} rows; use with_descriptions")
+    return catalogue_map([(r["name"], "", r["description"]) for r in rows]) if rows else F.create_map().cast("map<string,string>")
+
+
+def with_descriptions(records: DataFrame, catalogue: DataFrame, labels_col: str = "PIIs",
+                      out: str = "element_descriptions", broadcast_rows: int = 100_000) -> DataFrame:
+    """D-03 with a catalogue of any size: ``records`` with the described label list as text.
+
+    The distinct label lists, without any text, are exploded, joined with the catalogue (name,
+    description; Spark broadcasts what it measures to be small) and put together in list order.
+    They go back to the records by a broadcast where they are at most ``broadcast_rows``, by a
+    shuffle beyond. A name's last description in sort order counts.
+    """
+    lists = records.select(F.col(labels_col).alias("_labels")).distinct()
+    names = catalogue.where("name <> '' AND description <> ''").groupBy("name").agg(F.max("description").alias("description"))
+    parts = lists.select("_labels", F.posexplode("_labels").alias("_at", "_name"))
+    line = F.concat(F.lit("- **"), F.col("_name"), F.lit("**: "), F.coalesce("description", F.lit(cat.NO_DESCRIPTION)))
+    lines = (parts.join(names, parts["_name"] == names["name"], "left").groupBy("_labels")
+             .agg(F.array_sort(F.collect_list(F.struct("_at", line.alias("line")))).alias("_lines"))
+             .select("_labels", F.array_join(F.transform("_lines", lambda x: x.line), "\n").alias(out)))
+    if lists.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        lines = F.broadcast(lines)
+    joined = records.join(lines, F.col(labels_col) == F.col("_labels"), "left").drop("_labels")
+    return joined.withColumn(out, F.when(F.size(labels_col) == 0, F.lit(cat.NO_PIIS)).otherwise(F.col(out)))
+
+
 def prompt_table(records: DataFrame, id_col: str = "recordId", text_col: str = "input",
-                 labels_col: str = "PIIs", modes=("simple", "reasoning")) -> DataFrame:
+                 labels_col: str = "PIIs", modes=("simple", "reasoning"), catalogue: DataFrame | None = None) -> DataFrame:
     """One prompt per (record, mode); both modes in one job through a ``mode`` column.
 
-    Records without labels get no prompt (they short-circuit, C-03).
+    Records without labels get no prompt (they short-circuit, C-03). Labels are described by the
+    built-in catalogue, or by the table ``catalogue`` (name, description).
     """
-    with_mode = records.select(id_col, text_col, labels_col, F.explode(
+    described = None
+    keep = records.select(id_col, text_col, labels_col)
+    if catalogue is not None:
+        keep = with_descriptions(keep, catalogue, labels_col, "_described")
+        described = F.col("_described")
+    with_mode = keep.select("*", F.explode(
         F.when(F.size(labels_col) > 0, F.array(*[F.lit(m) for m in modes]))
         .otherwise(F.array().cast("array<string>"))).alias("mode"))
     return with_mode.select(
         id_col, "mode", labels_col,
-        batch_prompt(F.col(text_col), F.col(labels_col), F.col("mode") == "reasoning")
+        batch_prompt(F.col(text_col), F.col(labels_col), F.col("mode") == "reasoning", described=described)
         .alias("prompt"))
-
-
-def catalogue_map_from(catalogue: DataFrame, max_rows: int = 100_000) -> Column:
-    """D-03 with a catalogue read from a file (``sources.jsonl.read_catalogue``): turn it into
-    a literal map after checking its size, so every row can look labels up without a join.
-    A label catalogue is small by nature; a larger table is refused rather than broadcast."""
-    n = catalogue.count()
-    if n > max_rows:
-        raise ValueError(f"catalogue has {n} rows (> {max_rows}); join it instead of inlining it")
-    rows = [(r["name"], "", r["description"]) for r in catalogue.select("name", "description").collect()]
-    return catalogue_map(rows) if rows else F.create_map().cast("map<string,string>")

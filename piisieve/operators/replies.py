@@ -200,6 +200,24 @@ def parse_replies(df: DataFrame, mode: str, reply_col: str = "raw_response",
     raise ValueError(mode)
 
 
+def verify_records(records: DataFrame, factory, model: str, mode: str = "simple") -> DataFrame:
+    """Batch verification of ``(recordId, input, PIIs)`` rows as result records, in one of the reply modes.
+
+    Records without labels are not scored: they get no verdicts and latency 0.0 (C-03). The
+    stream (L-01) and batch jobs share this function.
+    """
+    from .scorer import score_with
+    kind = ITEMS if mode == "reasoning" else "array<string>"
+    rows = records.select("recordId", "input", F.coalesce("PIIs", F.array().cast("array<string>")).alias("detected_piis"))
+    scored = parse_replies(score_with(rows.where(F.size("detected_piis") > 0), factory), mode)
+    found = F.col("verified_piis" if mode == "reasoning" else "verified").cast(kind).alias("verified_piis")
+    cols = ["recordId", "input", "detected_piis"]
+    short = rows.where(F.size("detected_piis") == 0).select(
+        *cols, F.array().cast(kind).alias("verified_piis"), F.lit(0.0).alias("latency_ms"))
+    return (scored.select(*cols, found, F.round("latency_ms", 2).alias("latency_ms")).unionByName(short)
+            .withColumn("model", F.lit(model)))
+
+
 def staged(df: DataFrame, parser, *cols: str, out: str = "p") -> DataFrame:
     """Run ``parser`` (parse_single / parse_simple / parse_reasoning) over columns of
     ``df`` with its intermediate values (stripped text, JSON slice, parsed VARIANT, parts)

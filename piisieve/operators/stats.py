@@ -55,6 +55,25 @@ def keep_latest_file(results: DataFrame, model_col: str = "model",
             .filter(F.col(file_col) == F.col("_latest")).drop("_latest"))
 
 
+def file_stats(results: DataFrame, file_col: str = "file", order_col: str = "load_order") -> DataFrame:
+    """E-09/E-10: statistics per model from result files; a model's last file replaces its earlier ones.
+
+    ``results`` is ``sources.jsonl.read_entity_results``. A file's model is that of its first row. All is
+    aggregated per file; of the files of one model the last is then picked among one row per
+    file, so no result row meets another table.
+    """
+    per_file = model_stats(results, file_col)
+    info = results.groupBy(F.col(file_col).alias("_file")).agg(
+        F.min_by("model", order_col).alias("_model"), F.min("file_name").alias("file_name"))
+    rows = per_file.join(info, per_file[file_col] == info["_file"]).drop("_file")
+    values = [c for c in rows.columns if c != "_model"]
+    last = rows.groupBy(F.struct("_model.name").alias("_name")).agg(
+        F.max_by(F.struct("_model", *values), file_col).alias("_row"))
+    return last.select(F.col("_name.name").alias("model"), F.col("_row._model.type").alias("model_type"),
+                       F.col("_row._model.parameters").alias("model_params"),
+                       *[F.col(f"_row.{c}") for c in values if c != file_col])
+
+
 def exact_pct(x: Column, decimals: int) -> Column:
     """An interpolated percentile of ``decimals``-place values has at most ``decimals + 2``
     exact decimals (the interpolation fraction has two); rounding to ``decimals + 4`` removes

@@ -6,6 +6,7 @@ DataFrame whose columns are named exactly like the oracle SQL's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from .. import catalogue as _cat
 from ..operators import consolidate, datagen, decisions, detect, prompts, quantiles, scorer, stats, training, verify
 from ..operators import replies as replies_op
 from ..operators.rows import keep_if
-from ..session import spread, table
+from ..session import checkpoint_dir, spread, table
+from ..sources import jsonl
 from . import oracle as O
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -181,6 +183,65 @@ def q_windowed_stats(spark, sf_dir):
     return stats.windowed_stats(inference_log(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- result files
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/piisieve/{name}-{uuid.uuid4().hex}"
+
+
+def _write_result_files(df: DataFrame, path: str, order: list[str]) -> None:
+    """One folder ``<file>`` per result file, whose part files hold its lines in ``order``."""
+    keys = ["file", *order]
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*order).write.partitionBy("file")
+     .option("ignoreNullFields", False).json(path))
+
+
+@register("result_file_stats", _STATS_SQL.replace("SELECT model, CAST(count", """SELECT model, 'event' AS model_type,
+  CAST(max(part) AS VARCHAR) AS model_params, 'file=' || max(part) || '_' || model AS file_name, CAST(count""").replace(
+    "FROM " + _LOG_SQL, """FROM (SELECT *, record_id % 3 AS part, max(record_id % 3) OVER (PARTITION BY model) AS last
+  FROM """ + _LOG_SQL + " x)").replace(" l GROUP BY model", " l WHERE part = last GROUP BY model"))
+def q_result_file_stats(spark, sf_dir):
+    """A-06, A-08, E-09, E-10: result files written, read back and summed up; a model's last file counts."""
+    log = inference_log(spark, sf_dir)
+    part = (F.col("record_id") % 3).cast("string")
+    rows = log.select(
+        F.concat(part, F.lit("_"), "model", F.lit(".jsonl")).alias("file"), F.col("record_id").alias("_order"),
+        F.col("record_id").cast("string").alias("recordId"), F.lit("").alias("input"), F.lit("E").alias("entityType"),
+        F.lit("v").alias("entityValue"),
+        F.struct("verified", "confidence", F.lit("r").alias("reason"), F.col("latency_ms").alias("latencyMs")).alias("result"),
+        F.struct(F.col("model").alias("name"), F.lit("event").alias("type"), part.alias("parameters")).alias("model"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
+    path = _scratch(spark, "results")
+    _write_result_files(rows, path, ["_order"])
+    return stats.file_stats(jsonl.read_entity_results(spark, path))
+
+
+@register("result_file_consolidation", f"""
+WITH r AS (SELECT 'r' || (event_id % 500) AS record_id, 'p' || (event_id % 7) AS pii, event_id % 3 AS f, event_id,
+                  CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50 AS verified FROM events),
+i AS (SELECT record_id, arg_min('text ' || event_id, (f, event_id)) AS input_text FROM r GROUP BY record_id),
+c AS (SELECT record_id, pii, f, arg_max(verified, event_id) AS verified, arg_max('reason ' || event_id, event_id) AS reason
+      FROM r GROUP BY record_id, pii, f)
+SELECT record_id, input_text, pii,
+  {", ".join(f"""coalesce(max(CASE WHEN f = {k} THEN CASE WHEN verified THEN 'YES' ELSE 'NO' END END), 'N/A') AS "file={k}_Verified",
+  coalesce(max(CASE WHEN f = {k} THEN reason END), 'Not processed by this model') AS "file={k}_Reason" """ for k in range(3))}
+FROM c JOIN i USING (record_id) GROUP BY record_id, input_text, pii""")
+def q_result_file_consolidation(spark, sf_dir):
+    """E-17 ... E-20, F-02 over files with real duplicates: first input of a record, last verdict of a cell."""
+    e = table(spark, sf_dir, "events")
+    text = F.col("event_id").cast("string")
+    item = F.struct(F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("pii"),
+                    (F.get_json_object("props", "$.k").cast("double") >= 50).alias("verified"),
+                    F.concat(F.lit("reason "), text).alias("reason"))
+    rows = e.select(F.concat((F.col("event_id") % 3).cast("string"), F.lit(".jsonl")).alias("file"), F.col("event_id").alias("_order"),
+                    F.concat(F.lit("r"), (F.col("event_id") % 500).cast("string")).alias("recordId"),
+                    F.concat(F.lit("text "), text).alias("input"), F.array(item).alias("verified_piis"))
+    path = _scratch(spark, "runs")
+    _write_result_files(rows, path, ["_order"])
+    files = [f"{path}/file={k}.jsonl" for k in range(3)]
+    long = consolidate.results_long(jsonl.read_results(spark, files), model_col="model_tag")
+    return consolidate.consolidate(long, [f"file={k}" for k in range(3)])
+
+
 # --------------------------------------------------------------------------- consolidation
 def rule_batch_results(spark, sf_dir, models=consolidate.RULE_MODELS):
     """Reasoning-mode batch results of the rule-verifier variants over all documents.

@@ -9,12 +9,11 @@ they appear in their file without a global sort.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..catalogue import CONSOLIDATE_NO_REASON as NO_REASON
 from ..functions.text import py_strip
 from ..operators.replies import strict_json
 
@@ -67,21 +66,55 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return kept
 
 
-def _load_order(paths: list[str]) -> Column:
-    """Order of a line: its input path's place (a file, or a folder that holds it), then file and position."""
-    index = F.lit(len(paths))
-    # a file's own path ends like the one given; scheme and working folder may come before it
-    for i, p in reversed(list(enumerate(paths))):
-        tail = "/" + p.rstrip("/").split("://", 1)[-1].removeprefix("file:").lstrip("./").lstrip("/")
-        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        index = F.when(path.endswith(tail) | F.contains(path, F.lit(tail + "/")), F.lit(i)).otherwise(index)
+def _entries(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, bool]]:
+    """(place, full path, is a folder) of what each input names, in order; globs in the order of their names."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for place, path in enumerate(paths):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = sorted((str(s.getPath()), bool(s.isDirectory())) for s in (fs.globStatus(p) or []))
+        out += [(place, full, folder) for full, folder in found]
+    return out
+
+
+def _origin(entries: list[tuple[int, str, bool]]) -> Column:
+    """Which entry a line comes from: its number and, for folders named like a file, the folder's name."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, "^file:/+", "file:/")
+    files = [(full, i) for i, (_, full, folder) in enumerate(entries) if not folder]
+    index = F.lit(len(entries))
+    for i, (_, full, folder) in reversed(list(enumerate(entries))):
+        if folder:
+            index = F.when(F.startswith(path, F.lit(full.rstrip("/") + "/")), F.lit(i)).otherwise(index)
+    if files:
+        first = {}
+        for full, i in files:
+            first.setdefault(full, i)
+        # one lookup, however many files
+        index = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), path), index)
+    return index
+
+
+def _load_order(entries: list[tuple[int, str, bool]]) -> Column:
+    """Order of a line: its input entry's place (a file, or a folder that holds it), then file and position."""
     return F.struct(
-        index.alias("file_index"),
+        _origin(entries).alias("file_index"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("pos"))
 
 
+def _tag(entries: list[tuple[int, str, bool]]) -> Column:
+    """A-08: the file's stem; that of its folder where the folder is named like a result file."""
+    names = [full.rstrip("/").rsplit("/", 1)[-1] if folder and full.rstrip("/").endswith(".jsonl") else None
+             for _, full, folder in entries]
+    name = F.col("load_order.file_name")
+    if any(names):
+        name = F.coalesce(F.get(F.array(*[F.lit(n).cast("string") for n in names]), F.col("load_order.file_index")), name)
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType = DETECTED_RECORD,
                required: tuple[str, ...] = ("recordId", "input"), rejects: bool = False,
                ignore_missing: bool = False, keep_variant: bool = False) -> DataFrame:
@@ -96,7 +129,8 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     paths = [paths] if isinstance(paths, str) else list(paths)
     if ignore_missing:
         paths = existing_paths(spark, paths)
-    raw = spark.read.text(paths).select(F.col("value").alias("raw_line"), _load_order(paths).alias("load_order"))
+    entries = _entries(spark, paths)
+    raw = spark.read.text(paths).select(F.col("value").alias("raw_line"), _load_order(entries).alias("load_order"))
     line = py_strip(F.col("raw_line"))
     lines = raw.select("raw_line", "load_order", line.alias("line")).filter(F.col("line") != "")
     valid = strict_json(F.col("line")).isNotNull()
@@ -110,13 +144,30 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
         *([F.when(reason.isNull(), F.try_parse_json("line")).alias("json")] if keep_variant else []))
     out = parsed.select(
         *[F.col(f"rec.{f.name}").alias(f.name) for f in schema.fields],
-        F.regexp_replace(F.col("load_order.file_name"), r"\.[^.]*$", "").alias("model_tag"),
+        _tag(entries).alias("model_tag"),
         "load_order", "reject_reason", "raw_line", *(["json"] if keep_variant else []))
     if rejects:
         return out
     return out.filter(F.col("reject_reason").isNull()).drop("reject_reason", "raw_line")
 
 
+ENTITY_RESULT = T.StructType([
+    T.StructField("recordId", T.StringType()),
+    T.StructField("input", T.StringType()),
+    T.StructField("entityType", T.StringType()),
+    T.StructField("entityValue", T.StringType()),
+    T.StructField("result", T.StructType([
+        T.StructField("verified", T.BooleanType()),
+        T.StructField("confidence", T.DoubleType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("latencyMs", T.DoubleType())])),
+    T.StructField("model", T.StructType([
+        T.StructField("name", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("parameters", T.StringType())])),
+    T.StructField("timestamp", T.TimestampNTZType()),
+])
+
 RESULT_ITEM = "struct<pii:string,verified:boolean,reason:string>"
 
 
@@ -124,15 +175,41 @@ def read_results(spark: SparkSession, paths: str | list[str], ignore_missing: bo
     """A-07/C-06: reasoning-mode result files for consolidation.
 
     ``verified_piis`` is read item by item from the parsed line: object items become
-    struct(pii, verified, reason) (missing keys NULL), anything else (strings of simple
-    mode, numbers, a non-list value) is ignored — one stray item never drops the others.
+    struct(pii, verified, reason), anything else (strings of simple mode, numbers, a non-list
+    value) is ignored, so one stray item never drops the others. Keys that an item lacks take their
+    defaults (C-05); an explicit null stays null.
     """
     base = T.StructType([f for f in REASONING_RESULT.fields if f.name != "verified_piis"])
     df = read_jsonl(spark, paths, base, required=(), ignore_missing=ignore_missing, keep_variant=True)
-    items = F.filter(F.transform(F.try_variant_get("json", "$.verified_piis", "array<variant>"),
-                                 lambda x: F.try_variant_get(x, "$", RESULT_ITEM)),
-                     lambda x: x.isNotNull())
-    return df.withColumn("verified_piis", F.coalesce(items, F.array().cast(f"array<{RESULT_ITEM}>"))).drop("json")
+
+    def value(x: Column, key: str, kind: str, default) -> Column:
+        missing = F.try_variant_get(x, f"$.{key}", "variant").isNull()
+        return F.when(missing, F.lit(default)).otherwise(F.try_variant_get(x, f"$.{key}", kind)).alias(key)
+    items = F.transform(
+        F.filter(F.try_variant_get("json", "$.verified_piis", "array<variant>"),
+                 lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))),
+        lambda x: F.struct(value(x, "pii", "string", ""), value(x, "verified", "boolean", False),
+                           value(x, "reason", "string", NO_REASON)))
+    return df.withColumn("verified_piis", F.coalesce(items.cast(f"array<{RESULT_ITEM}>"),
+                                                     F.array().cast(f"array<{RESULT_ITEM}>"))).drop("json")
+
+
+def read_entity_results(spark: SparkSession, results_dir: str) -> DataFrame:
+    """A-06 into E-09: all ``*.jsonl`` of a folder as the long view that ``stats`` reads.
+
+    Columns: file (its place by name), file_name, model (name, type, parameters), record_id, latency_ms,
+    confidence, verified, ts, load_order.
+    """
+    rows = read_results_dir(spark, results_dir, ENTITY_RESULT)
+    if "load_order" not in rows.columns:        # a folder without result files
+        return spark.createDataFrame([], "file int, file_name string, model struct<name:string,type:string,parameters:string>, "
+                                         "record_id string, latency_ms double, confidence double, verified boolean, "
+                                         "ts timestamp_ntz, load_order struct<file_index:int,file_name:string,block_start:bigint,pos:bigint>")
+    return rows.select(
+        F.col("load_order.file_index").alias("file"), F.col("model_tag").alias("file_name"), "model",
+        F.col("recordId").alias("record_id"), F.col("result.latencyMs").alias("latency_ms"),
+        F.col("result.confidence").alias("confidence"), F.col("result.verified").alias("verified"),
+        F.col("timestamp").alias("ts"), "load_order")
 
 
 def count_nonblank(spark: SparkSession, path: str | list[str]) -> int:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import py_strip
-from ..operators.replies import strict_json
+from ..operators.replies import strict_json, verify_records
 from ..operators.verify import verify_entities
-from ..sources.jsonl import ENTITY_RECORD
+from ..sources.jsonl import DETECTED_RECORD, ENTITY_RECORD
 
 
 def verify_entity_stream(spark: SparkSession, in_dir: str, window: int = 60) -> DataFrame:
@@ -23,7 +23,7 @@ def verify_entity_stream(spark: SparkSession, in_dir: str, window: int = 60) ->
     lines = spark.readStream.format("text").load(in_dir)
     line = py_strip(F.col("value"))
     keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
-    ok = (line != "") & F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNotNull() \
+    ok = (line != "") & strict_json(line).isNotNull() \
         & F.array_contains(keys, "recordId") & F.array_contains(keys, "input")
     recs = lines.filter(ok).select(F.from_json(line, ENTITY_RECORD).alias("r")).select("r.*")
     verdicts = verify_entities(recs, window=window)
@@ -66,6 +66,35 @@ def start_with_dead_letters(spark: SparkSession, in_dir: str, out_dir: str, dead
     return w.start()
 
 
+def start_batch_verification(spark: SparkSession, in_dir: str, out_dir: str, dead_letter_dir: str, checkpoint: str,
+                             factory, model: str, mode: str = "simple", available_now: bool = True) -> StreamingQuery:
+    """L-01 for batch records (``recordId, input, PIIs``): each micro-batch goes through the batch operators.
+
+    Records without labels short-circuit; the others are scored and their replies parsed
+    (``replies.verify_records``). Results and rejected lines are partitioned by the batch id and overwritten
+    per partition, so a replayed batch rewrites its own files.
+    """
+    lines = spark.readStream.format("text").load(in_dir)
+    line = py_strip(F.col("value"))
+    keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
+    reason = F.when(strict_json(line).isNull(), F.lit("invalid_json"))
+    for key in ("recordId", "input", "PIIs"):
+        reason = reason.when(~F.array_contains(keys, key), F.lit(f"missing_{key}"))
+    tagged = lines.where(line != "").select(F.col("value").alias("raw_line"), line.alias("line"), reason.alias("reject_reason"))
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        opts = {"partitionOverwriteMode": "dynamic"}
+        good = batch.where("reject_reason IS NULL").select(F.from_json("line", DETECTED_RECORD).alias("r")).select("r.*")
+        (verify_records(good, factory, model, mode).withColumn("batch_id", F.lit(epoch))
+         .write.mode("overwrite").options(**opts).option("ignoreNullFields", False).partitionBy("batch_id").json(out_dir))
+        (batch.where("reject_reason IS NOT NULL").select("raw_line", "reject_reason", F.lit(epoch).alias("batch_id"))
+         .write.mode("overwrite").options(**opts).partitionBy("batch_id").json(dead_letter_dir))
+
+    w = tagged.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def start_append(df: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True,
                  fmt: str = "json") -> StreamingQuery:
     """L-01 sink: append files, exactly-once through the checkpoint folder."""
