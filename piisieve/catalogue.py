@@ -338,9 +338,8 @@ How to answer:
 {output_example}
 """
 
-REASONING_RULES = """CRITICAL: machines read the answer, so give valid JSON in the EXACT format of the sample and nothing around it.
-The opening brace is your first character, the closing brace your last. Keys and texts stand in double quotes, quotes within
-them are escaped, booleans are bare words, and trailing commas are an error. A reason is one short phrase."""
+REASONING_RULES = """CRITICAL: a strict parser takes everything from your opening brace to your closing brace as valid JSON in the EXACT format
+of the sample. It gives up on names without double quotes, on quotes inside a text that are not escaped and on trailing commas."""
 
 REASONING_EXAMPLE = """{
   "results": [
