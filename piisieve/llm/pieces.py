@@ -36,7 +36,7 @@ from .textops import worker_state
 from .tokens import tokenizer_path
 
 SPACE = "▁"
-CACHE_PARTS = 600_000
+CACHE_PARTS = 1_200_000
 CACHE_CHARS = 64
 
 
@@ -144,10 +144,10 @@ class PieceModel:
         """Ids of one part in decimal, by an agenda for each stretch that has not been met before."""
         out = []
         for stretch in self.split(part):
-            known = self.stretches.get(stretch)
+            known = self.parts.get(stretch) or self.stretches.get(stretch)
             if known is None:
                 known = b"".join(map(self.decimal.__getitem__, self.agenda(stretch)))
-                if len(stretch) <= CACHE_CHARS:
+                if len(stretch) <= CACHE_CHARS and len(stretch) < len(part):       # whole parts get their own entry
                     self.stretches[stretch] = known
             out.append(known)
         return b"".join(out)
