@@ -1,8 +1,7 @@
 """Line dedup by distinct-site spread.
 
-A line (without outer spaces, lower-cased, with at least ``min_words`` - 1 inner spaces, or any line
-that is not blank if that is under 2) that occurs at ``MIN_SITES``
-sites or more is boilerplate. Sites are counted by a HyperLogLog sketch per line hash, merged by
+A line that is not blank (without outer spaces, lower-cased) and occurs at ``MIN_SITES`` sites or
+more is boilerplate; a caller may ask for at least ``min_words`` - 1 inner spaces. Sites are counted by a HyperLogLog sketch per line hash, merged by
 partial aggregation before the shuffle. Estimates clearly under or over the threshold decide;
 lines within ``BAND`` of it get exact distinct counts. Boilerplate lines leave every document
 but the one with the smallest doc_id that has them, so no line is lost to the corpus.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from .base import row_key, staged
 
 MIN_SITES = 10
-MIN_WORDS = 4
+MIN_WORDS = 1
 LG_K = 12
 #: estimates within this share of the threshold are counted exactly (a sketch of 2 ** LG_K
 #: registers errs by under 2 % in one of two cases, and by under 8 % in all but one of 10 ** 6)

@@ -98,7 +98,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS sit
 l AS (SELECT r, doc_id, site, i, ls[i] AS raw,
              lower(trim(ls[i], ' ')) AS line
       FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
-bad AS (SELECT line, min(doc_id) AS first_doc FROM l WHERE length(line) - length(replace(line, ' ', '')) >= 3
+bad AS (SELECT line, min(doc_id) AS first_doc FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
         GROUP BY line HAVING count(DISTINCT site) >= 10),
 gone AS (SELECT r, i FROM l JOIN bad USING (line) WHERE doc_id IS DISTINCT FROM first_doc OR first_doc IS NULL),
 kept AS (SELECT r, string_agg(raw, E'\n' ORDER BY i) AS s FROM l ANTI JOIN gone USING (r, i) GROUP BY r),
