@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row: columns _c0, _c1, ... and _file, _row.
+
+    Rows read straight from Parquet have one, their file and place in it; other rows are written
+    with one first, so that later passes see the same numbers.
+    """
+    columns = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select(*columns, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException:          # another format, or a column of that name
+            pass
+    return staged(docs.select(*columns, F.lit(0).cast("bigint").alias("_file"),
+                              F.monotonically_increasing_id().alias("_row")), "numbered")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: plans, generated classes, broadcasts and shuffle files of finished jobs.
+
+    Spark removes a job's shuffle files and broadcasts when the driver's objects for them are
+    collected, which a driver with memory to spare puts off over many jobs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A 64-bit key of a document's id and text, used with the id itself to join results back.
 

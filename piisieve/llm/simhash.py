@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_columns, row_key, staged
+from .base import map_columns, numbered, row_key, staged
 from .components import components
 from .textops import BLANK, word_bounds
 
@@ -48,6 +48,8 @@ KEY = 0x00000FFF00000FFF
 TASK_VARIANTS = 4_000_000
 #: keys with more fingerprints of their own than this are dealt by whole variants, as are their neighbours
 DENSE = TASK_VARIANTS // len(BALL[0])
+#: row numbers (two longs each) that are broadcast at most
+BROADCAST_ROWS = 1 << 19
 
 
 def _routes() -> tuple[list[list[int]], list[list[tuple[int, int, int]]]]:
@@ -202,15 +204,29 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row per group: that with the smallest doc_id (nulls last, then by a hash)."""
-    fps = staged(fingerprints(docs, shingle), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
-    best = fps.groupBy("fp").agg(F.min(order).alias("best"))
-    kept = (groups(fps, radius).join(best, "fp").groupBy("root").agg(F.min("best").alias("best"))
-            .select(F.col("best.doc_id").alias("_id"), F.col("best._key").alias("_key")))
-    cols = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*cols, F.col("doc_id").alias("_doc"), row_key().alias("_key"))
-    found = rows.join(staged(kept, "kept"), "_key").where(F.col("_doc").eqNullSafe(F.col("_id")))
-    # rows alike in id and text share a key: one of them stays
-    return found.dropDuplicates(["_key", "_id"]).select(
-        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """``docs`` with one row per group: that with the smallest doc_id (nulls last, then by a hash).
+
+    Only ids, fingerprints and row numbers are shuffled; the texts stay where they were read while the
+    numbers of the rows to drop (``dropped``) go to them, by a broadcast up to ``BROADCAST_ROWS``.
+    """
+    rows = numbered(docs)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    gone = staged(dropped(rows.withColumnsRenamed({names["doc_id"]: "doc_id", names["text"]: "text"}), shingle, radius), "dropped")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, ["_file", "_row"], "left_anti").select(*[F.col(i).alias(c) for c, i in names.items()])
+
+
+def dropped(rows: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(_file, _row) of all rows of ``rows`` but one per group."""
+    found = map_columns(rows.select("doc_id", "text", "_file", "_row", row_key().alias("_key")),
+                        ["doc_id", "_file", "_row", "_key"], [("fp", "bigint", pa.int64())], _hash(shingle))
+    fps = staged(found, "fingerprints")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"), F.col("_file"), F.col("_row"))
+    own = staged(groups(fps, radius), "roots")
+    best = (own.join(fps.groupBy("fp").agg(F.min(order).alias("best")), "fp").groupBy("root")
+            .agg(F.min("best").alias("best")).select("root", "best._file", "best._row"))
+    kept = staged(own.join(best.withColumnsRenamed({"_file": "_kept_file", "_row": "_kept_row"}), "root")
+                  .select("fp", "_kept_file", "_kept_row"), "kept")
+    return fps.join(kept, "fp").where((F.col("_file") != F.col("_kept_file")) | (F.col("_row") != F.col("_kept_row"))).select(
+        "_file", "_row")
