@@ -39,7 +39,9 @@ from .textops import LOWER, Chunk, chunks, span_hash
 MIN_DOCS = 10
 TOP = 10
 PARTS = 1_000_000_000
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: counts, or strings, that a task gathers before it passes them on
+HELD = 1 << 20
 #: groups and languages are broadcast up to so many rows, and left to the planner beyond
 BROADCAST_ROWS = 100_000
 #: numbers a task holds of all its matrices of source pairs
@@ -93,44 +95,115 @@ def _groups(batch: pa.RecordBatch) -> tuple[np.ndarray, Callable[[np.ndarray], l
     return number, names
 
 
+def _added(parts: list[Grouped]) -> Grouped:
+    """Counts of several chunks as one."""
+    group, digest, n, docs = (np.concatenate(x) for x in zip(*parts))
+    order, first = _runs(group, digest)
+    if not len(first):
+        return group, digest, n, docs
+    at = order[first]
+    return group[at], digest[at], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+
+
 def _count(mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number, names = _groups(batch)
+
+            def rows(counted: Grouped, names=names) -> pa.RecordBatch:
+                group, digest, n, docs = counted
+                return pa.RecordBatch.from_arrays(
+                    [*names(group), pa.array(digest.view(np.int64)), pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
+                    ["lang", "source", "digest", "n", "docs"])
+            held: list[Grouped] = []
             for chunk in chunks(batch.column("text"), CHUNK):
                 *_, bound, digest = _words(chunk, mask)
                 doc = np.repeat(np.arange(chunk.first, chunk.first + chunk.n), np.diff(bound))
-                group, digest, n, docs = _per_group(number, doc, digest)
-                yield pa.RecordBatch.from_arrays(
-                    [*names(group), pa.array(digest.view(np.int64)), pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
-                    ["lang", "source", "digest", "n", "docs"])
+                held.append(_per_group(number, doc, digest))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [_added(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield rows(held.pop())
+            if held:
+                yield rows(_added(held))
     return run
 
 
+def _each(size: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for every size, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+class _Spellings:
+    """One string per digest in a byte pool, and the two ends for digests that have several."""
+
+    def __init__(self):
+        self.digest, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)      # sorted by digest
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)         # by entry
+        self.pool, self.filled = np.empty(1 << 20, np.uint8), 0
+        self.ends: dict[int, tuple[bytes, bytes]] = {}                               # by entry
+
+    def _take_in(self, digest: np.ndarray, text: np.ndarray, size: np.ndarray) -> None:
+        while self.filled + len(text) > len(self.pool):
+            self.pool = np.append(self.pool, np.empty(len(self.pool), np.uint8))
+        self.pool[self.filled:self.filled + len(text)] = text
+        every = np.append(self.digest, digest)
+        order = np.argsort(every, kind="stable")
+        self.digest = every[order]
+        self.entry = np.append(self.entry, len(self.size) + np.arange(len(digest)))[order]
+        self.start = np.append(self.start, self.filled + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.filled += len(text)
+
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, digest: np.ndarray) -> None:
+        """Compare every word with the string of its digest, byte by byte."""
+        unique, first, back = np.unique(digest, return_index=True, return_inverse=True)
+        size = end - start
+        at = np.searchsorted(self.digest, unique)
+        new = at == len(self.digest)
+        new[~new] = self.digest[at[~new]] != unique[~new]
+        if new.any():
+            own = first[new]
+            self._take_in(unique[new], data[np.repeat(start[own], size[own]) + _each(size[own])], size[own])
+        model = self.entry[np.searchsorted(self.digest, unique)][back]
+        other = size != self.size[model]
+        step = _each(size)
+        like = np.minimum(np.repeat(self.start[model], size) + step, self.filled - 1)
+        differs = data[np.repeat(start, size) + step] != self.pool[like]
+        other[np.repeat(np.arange(len(size)), size)[differs]] = True
+        for w in np.flatnonzero(other).tolist():
+            e, word = int(model[w]), data[start[w]:end[w]].tobytes()
+            low, high = self.ends.get(e) or (self.pool[self.start[e]:self.start[e] + self.size[e]].tobytes(),) * 2
+            self.ends[e] = min(low, word), max(high, word)
+
+    def rows(self) -> pa.RecordBatch:
+        digest = np.empty(len(self.size), np.uint64)
+        digest[self.entry] = self.digest
+        offsets = np.append(self.start, self.filled).astype(np.int32)
+        least = pa.StringArray.from_buffers(len(digest), pa.py_buffer(offsets), pa.py_buffer(self.pool[:self.filled].tobytes()))
+        most = least
+        if self.ends:
+            low, high = least.to_pylist(), least.to_pylist()
+            for e, (a, b) in self.ends.items():
+                low[e], high[e] = a.decode(), b.decode()
+            least, most = pa.array(low, pa.string()), pa.array(high, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), least, most], ["digest", "least", "most"])
+
+
 def _spelled(mask: int):
-    """mapInArrow body: smallest and largest string of every digest of a chunk."""
+    """mapInArrow body: smallest and largest string of the digests of a task, in parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Spellings()
         for batch in batches:
             for chunk in chunks(batch.column("text"), CHUNK):
                 data, start, end, _, digest = _words(chunk, mask)
-                unique, first, back = np.unique(digest, return_index=True, return_inverse=True)
-                model = first[back]                       # one word of the same digest, to compare with
-                size = end - start
-                other = size != size[model]
-                offset = np.cumsum(size) - size
-                step = np.arange(int(size.sum())) - np.repeat(offset, size)
-                like = np.minimum(np.repeat(start[model], size) + step, len(data) - 1)
-                differs = data[np.repeat(start, size) + step] != data[like]
-                other[np.repeat(np.arange(len(size)), size)[differs]] = True
-                raw = data.tobytes()
-                least = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-                most = list(least)
-                for w in np.flatnonzero(other).tolist():
-                    word, at = raw[start[w]:end[w]], back[w]
-                    least[at], most[at] = min(least[at], word), max(most[at], word)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unique.view(np.int64)), pa.array(least, pa.binary()).cast(pa.string()),
-                     pa.array(most, pa.binary()).cast(pa.string())], ["digest", "least", "most"])
+                if len(digest):
+                    held.add(data, start, end, digest)
+                if len(held.size) > HELD // 4:
+                    yield held.rows()
+                    held = _Spellings()
+        if len(held.size):
+            yield held.rows()
     return run
 
 
