@@ -8,9 +8,9 @@ rows = {
 "A-03": ("sources/jsonl.count_nonblank", T.format("test_io::test_tolerant_reader")),
 "A-04": ("Spark PATH_NOT_FOUND on a missing path", T.format("test_io::test_missing_paths")),
 "A-05": ("sources/jsonl.read_jsonl_strict (FAILFAST)", T.format("test_io::test_strict_reader_fails_fast")),
-"A-06": ("sources/jsonl.read_results_dir", T.format("test_io::test_results_dir")),
+"A-06": ("sources/jsonl.read_results_dir, read_entity_results", Q.format("result_file_stats")),
 "A-07": ("sources/jsonl.existing_paths, read_jsonl(ignore_missing=True), read_results", T.format("test_io::test_missing_paths")),
-"A-08": ("read_jsonl: model_tag = file stem (last suffix only)", T.format("test_io::test_tolerant_reader")),
+"A-08": ("read_jsonl: model_tag = stem of the file, or of a folder named like one", Q.format("result_file_stats")),
 "A-09": ("sources/jsonl.read_catalogue (max_by per name)", T.format("test_io::test_catalogue")),
 "A-10": ("sources/jsonl.read_catalogue (name, description, category)", T.format("test_io::test_catalogue")),
 "A-11": ("operators/detect.detect_arrays / detected_records", Q.format("batch_prompts")+", "+Q.format("batch_result_summary")),
@@ -38,7 +38,7 @@ rows = {
 "C-15": ("operators/runs.run_matrix(selected_models, selected_variations)", T.format("test_runs_scorer::test_run_matrix")),
 "D-01": ("verify.match_outputs (last wins both sides)", T.format("test_verify::test_match_outputs_last_wins_and_missing")),
 "D-02": ("verify.match_outputs(how='left_anti')", T.format("test_verify::test_match_outputs_last_wins_and_missing")),
-"D-03": ("prompts.describe_labels, catalogue_map, catalogue_map_from", Q.format("batch_prompts")),
+"D-03": ("prompts.describe_labels, with_descriptions (catalogue of any size by join)", Q.format("batch_prompts")+", "+T.format("test_results::test_catalogue_of_a_million_rows")),
 "D-04": ("decisions.span_decision containment match", Q.format("span_decisions")),
 "D-05": ("decisions.token_decision overlap", Q.format("token_decisions")),
 "D-06": ("decisions.token_decision locate (not found branch)", Q.format("token_decisions")),
@@ -51,11 +51,11 @@ rows = {
 "E-03": ("stats.model_stats(error_col=...)", T.format("test_stats::test_error_count_first_info_and_summary")),
 "E-04": ("latency mean/median/min/max", Q.format("model_stats")),
 "E-05": ("exact percentile (bounded value->count buffers)", Q.format("model_stats")),
-"E-06": ("stats.model_stats(approx=True)", "query `model_stats_approx` (rows-only)"),
+"E-06": ("stats.model_stats(approx=True), quantiles.sketch_check", Q.format("sketch_quantile_check")),
 "E-07": ("confidence mean/median/min/max", Q.format("model_stats")),
 "E-08": ("total_time_sec, items_per_sec", Q.format("model_stats")),
-"E-09": ("stats.keep_latest_file + model_stats", T.format("test_stats::test_later_file_replaces_model")),
-"E-10": ("stats.first_model_info", T.format("test_stats::test_error_count_first_info_and_summary")),
+"E-09": ("stats.file_stats", Q.format("result_file_stats")),
+"E-10": ("stats.file_stats, first_model_info", Q.format("result_file_stats")),
 "E-11": ("stats.overall_stats, summary_lines", Q.format("overall_stats")),
 "E-12": ("verify.confusion_metrics", Q.format("entity_verification_metrics")),
 "E-13": ("consolidate.batch_result_summary", Q.format("batch_result_summary")),
@@ -63,8 +63,8 @@ rows = {
 "E-15": ("decisions.token_decision most frequent label (ties -> smallest)", Q.format("token_decisions")),
 "E-16": ("consolidate.record_pii_counts", Q.format("record_pii_counts")),
 "E-17": ("consolidate.model_order", T.format("test_misc::test_lookup_first_and_model_order")),
-"E-18": ("consolidate.consolidate first-seen input (window)", Q.format("consolidated_comparison")),
-"E-19": ("consolidate.consolidate last-seen verdict (max_by)", Q.format("consolidated_comparison")),
+"E-18": ("consolidate.consolidate first-seen input (window)", Q.format("result_file_consolidation")),
+"E-19": ("consolidate.consolidate last-seen verdict (max_by)", Q.format("result_file_consolidation")),
 "E-20": ("consolidate.consolidate pivot with explicit models", Q.format("consolidated_comparison")),
 "E-21": ("consolidate.consensus", Q.format("verifier_consensus")),
 "E-22": ("consolidate.rejection_by_type (ROLLUP)", Q.format("rejection_by_type")),
@@ -73,21 +73,21 @@ rows = {
 "E-25": ("runs.run_tally", T.format("test_runs_scorer::test_run_tally")),
 "E-26": ("replies.label_set_agreement", Q.format("reply_label_agreement")),
 "F-01": ("stats.sequence_number / assign_batches (range-partitioned, no hot task)", Q.format("batch_sequence") + ", " + T.format("test_stats::test_hot_group_spans_many_tasks")),
-"F-02": ("max_by on load order (consolidate, keep_latest_file)", Q.format("consolidated_comparison")),
+"F-02": ("max_by on load order (consolidate, file_stats)", Q.format("result_file_consolidation")),
 "F-03": ("first hit: try_element_at(filter(...), 1)", Q.format("span_decisions")),
 "F-04": ("stats.batch_latency", Q.format("batch_latency")),
 "G-01": ("stats.comparison_table", T.format("test_misc::test_comparison_table_and_argmax")),
 "G-02": ("stats.best_performers fastest", Q.format("best_performers")),
 "G-03": ("stats.best_performers most confident", Q.format("best_performers")),
 "G-04": ("stats.best_performers most selective", Q.format("best_performers")),
-"G-05": ("orderBy(record_id, pii) / entity_type", Q.format("consolidated_comparison")),
+"G-05": ("orderBy(record_id, pii) / entity_type", "order itself not compared by a query"),
 "G-06": ("array_sort(array_distinct) labels", Q.format("training_set")),
 "G-07": ("consolidate.first_record", T.format("test_misc::test_lookup_first_and_model_order")),
 "H-01": ("datagen.generate('all') (one pass)", Q.format("generated_entity_tests")),
 "H-02": ("multi-path text scan in read_jsonl / read_results", T.format("test_io::test_missing_paths")),
 "H-03": ("arrays_overlap in fuzzy_match", Q.format("parse_simple_replies")),
 "H-04": ("array_distinct of matches (first kept)", Q.format("parse_simple_replies")),
-"H-05": ("parse_simple unmatched_parts", Q.format("reply_label_agreement")),
+"H-05": ("parse_simple unmatched_parts", "not decided by a query"),
 "H-06": ("array_except(detected, verified)", Q.format("batch_result_summary")),
 "H-07": ("training.path_labels label set", Q.format("customer_json_labels")),
 }
@@ -131,7 +131,7 @@ I = {
 "I-35": ("to_json / JSON sink with nulls", T.format("test_io::test_jsonl_sink_keeps_nulls")),
 "I-36": ("try_variant_get of results / verified_piis", Q.format("parse_reasoning_replies")),
 "I-37": ("training.path_labels (objects only)", Q.format("customer_json_labels")),
-"I-38": ("training.deep_json_labels", "query `customer_json_deep_labels` (rows-only)"),
+"I-38": ("training.deep_json_labels", Q.format("customer_json_deep_labels")),
 "I-39": ("datagen fill (replace chain on template JSON)", Q.format("training_set")),
 "I-40": ("invalid JSON -> []", Q.format("customer_json_labels")),
 "I-41": ("key presence (variant path / json_object_keys)", Q.format("parse_single_replies")),
@@ -147,7 +147,7 @@ I = {
 "J-10": ("decisions.span_decision", Q.format("span_decisions")),
 "J-11": ("decisions.token_decision", Q.format("token_decisions")),
 "J-12": ("training.path_labels / json_path_labels", Q.format("customer_json_labels")+", "+Q.format("training_set")),
-"J-13": ("training.deep_json_labels", "query `customer_json_deep_labels` (rows-only)"),
+"J-13": ("training.deep_json_labels", Q.format("customer_json_deep_labels")),
 "J-14": ("training.select_template; template_col override makes every template reachable", Q.format("training_set") + ", " + T.format("test_datagen::test_every_template_selectable")),
 "J-15": ("catalogue.TEMPLATE_DOMAINS lookup", Q.format("training_set")),
 "J-16": ("training_columns text labels [name]", Q.format("training_set")),
@@ -165,7 +165,7 @@ I = {
 "K-12": ("drawn FP with text fallback", Q.format("training_distribution")),
 "K-13": ("training record columns", Q.format("training_set")),
 "K-14": ("not built (tables the reference never reads)", "—"),
-"L-01": ("streaming.verify_entity_stream + start_append; start_with_dead_letters (idempotent per batch id)", T.format("test_streaming::test_incremental_verification") + ", " + T.format("test_streaming::test_stream_dead_letters")),
+"L-01": ("streaming.verify_entity_stream + start_append; start_with_dead_letters, start_batch_verification (idempotent per batch id)", T.format("test_results::test_batch_stream_equals_its_batch_twin") + ", " + T.format("test_streaming::test_incremental_verification") + ", " + T.format("test_streaming::test_stream_dead_letters")),
 "L-02": ("streaming.windowed_stats_stream; batch twin stats.windowed_stats", Q.format("windowed_stats")+", "+T.format("test_streaming::test_late_rows_dropped_by_watermark")),
 "L-03": ("streaming.dedupe_results_stream", T.format("test_streaming::test_window_and_dedupe_streams")),
 }
