@@ -191,14 +191,15 @@ def batch_result_summary(batch: DataFrame) -> DataFrame:
 
 def results_long(results: DataFrame, model_col: str = "model", order_col: str = "load_order",
                  id_col: str = "recordId", input_col: str = "input",
-                 items_col: str = "verified_piis", text_chars: int = 200) -> DataFrame:
+                 items_col: str = "verified_piis", text_chars: int = 200, fill_nulls: bool = True) -> DataFrame:
     """C-05/C-06/I-31: result rows -> long (record, pii, model, verified, reason, order).
 
     Only struct items count (string items of simple mode are ignored by construction: the
     column must be ``array<struct<pii,verified,reason>>``). A record without an id is 'unknown', a
-    null input ''; keys that an item lacks got their defaults when it was read
-    (``sources.jsonl.read_results``), and an explicit null stays one. The input is truncated before any
-    shuffle.
+    null input ''. A typed item cannot tell a missing key from a null, so nulls take the defaults:
+    pii '', verified false, reason 'No reason provided'. ``sources.jsonl.read_results`` fills missing keys
+    itself; with ``fill_nulls=False`` the nulls that it leaves, the explicit ones, stay (a null
+    verdict counts as not verified). The input is truncated before any shuffle.
     """
     exploded = results.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("unknown")).alias("record_id"),
@@ -207,7 +208,9 @@ def results_long(results: DataFrame, model_col: str = "model", order_col: str =
         F.posexplode(generator_input(items_col)).alias("item_pos", "item"))
     return exploded.select(
         "record_id", "input_text", "model", "load_order", "item_pos",
-        "item.pii", F.coalesce("item.verified", F.lit(False)).alias("verified"), "item.reason")
+        *([F.coalesce("item.pii", F.lit("")).alias("pii"), F.coalesce("item.verified", F.lit(False)).alias("verified"),
+           F.coalesce("item.reason", F.lit(cat.CONSOLIDATE_NO_REASON)).alias("reason")] if fill_nulls
+          else ["item.pii", F.coalesce("item.verified", F.lit(False)).alias("verified"), "item.reason"]))
 
 
 def model_order(long: DataFrame) -> DataFrame:

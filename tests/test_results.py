@@ -63,7 +63,7 @@ def test_no_result_files(spark, tmpdir_path):
 def test_missing_keys_take_defaults_and_nulls_stay(spark, tmpdir_path):
     items = [{}, {"pii": None, "verified": None, "reason": None}, {"pii": "A", "verified": True}, "stray", 5, {"pii": "B", "reason": "x"}]
     path = write(tmpdir_path, "m.jsonl", [record(1, verified_piis=items)])
-    long = consolidate.results_long(jsonl.read_results(spark, path), model_col="model_tag").orderBy("item_pos").collect()
+    long = consolidate.results_long(jsonl.read_results(spark, path), model_col="model_tag", fill_nulls=False).orderBy("item_pos").collect()
     assert [(r.pii, r.verified, r.reason) for r in long] == [
         ("", False, cat.CONSOLIDATE_NO_REASON), (None, False, None), ("A", True, cat.CONSOLIDATE_NO_REASON), ("B", False, "x")]
 
