@@ -62,12 +62,12 @@ def write_with_dead_letters(df: DataFrame, path: str, dead_letter_path: str,
     df.filter(F.col(reason_col).isNotNull()).write.mode(mode).json(dead_letter_path)
 
 
-def write_comparison_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+def write_comparison_csv(df: DataFrame, path: str, single_file: bool = False, report_header: bool = False) -> None:
     """B-03: CSV with header and standard double-quote escaping (quotes, commas and
     newlines round-trip). Every part file carries a header; ``single_file`` coalesces to
-    one part — only for outputs known to be small. The comparison table gets the header
-    ``Input Text,PII,{model}_Verified,{model}_Reason``."""
-    if {"record_id", "input_text", "pii"} <= set(df.columns):
+    one part — only for outputs known to be small. ``report_header`` gives the comparison table
+    the columns ``Input Text,PII,{model}_Verified,{model}_Reason``, without the record id."""
+    if report_header:
         df = df.drop("record_id").withColumnsRenamed({"input_text": "Input Text", "pii": "PII"})
     out = df.coalesce(1) if single_file else df
     (out.write.mode("overwrite").option("header", True).option("quote", '"')

@@ -72,7 +72,7 @@ def test_comparison_file_header(spark, tmpdir_path):
     path = write(tmpdir_path, "m.jsonl", [record(1, verified_piis=[{"pii": "A", "verified": True, "reason": "a,\n\"b\""}])])
     wide = consolidate.consolidate(consolidate.results_long(jsonl.read_results(spark, path), model_col="model_tag"), ["m"])
     out = os.path.join(tmpdir_path, "csv")
-    sinks.write_comparison_csv(wide, out, single_file=True)
+    sinks.write_comparison_csv(wide, out, single_file=True, report_header=True)
     part = next(f for f in os.listdir(out) if f.startswith("part"))
     assert open(os.path.join(out, part)).readline().strip() == "Input Text,PII,m_Verified,m_Reason"
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out).first()
