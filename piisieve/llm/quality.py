@@ -2,9 +2,9 @@
 
 The classifier sees each text as relative frequencies of hashed word 1- and 2-grams and byte
 3- and 5-grams in ``DIMS`` shared slots. It is trained on at most ``sample_rows`` labelled
-documents (those with the smallest hash of their id), whole texts, however long. Every step is a
-Spark job: ``SAMPLE_TASKS`` tasks add up the gradient of their rows and the driver sums these
-(``DIMS`` floats each), so no task holds the whole sample. Four fifths fit the weights, one fifth fits
+documents (those with the smallest hash of their id), whole texts, however long. Limited-memory BFGS
+takes ``PASSES`` passes over them, each a Spark job: ``SAMPLE_TASKS`` tasks add up the loss and gradient
+of their rows and the driver sums these (``DIMS`` floats each), so no task holds the whole sample. Four fifths fit the weights, one fifth fits
 a Platt calibration on the driver (one score a row). The finished model (``DIMS`` floats) is broadcast;
 all documents are then scored in Arrow batches against a fixed probability threshold.
 
@@ -29,7 +29,10 @@ DIMS = 1 << BITS
 SAMPLE_ROWS = 3000
 #: tasks that hold a share of the sample each
 SAMPLE_TASKS = 12
-STEPS = 80
+#: passes over the sample, pairs of moves that the curvature is taken from, and L2 weight
+PASSES = 20
+MEMORY = 6
+DECAY = 1e-3
 THRESHOLD = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -138,27 +141,56 @@ def _rows(batch: pa.RecordBatch, w: np.ndarray, bias: float):
     return col, val, row, np.bincount(row, weights=w[col] * val, minlength=len(slots)) + bias
 
 
-def _gradient(model, keys: np.ndarray, weight: np.ndarray):
-    """mapInArrow body: the summed gradient of a task's rows (weights, then bias)."""
+def _pass(model, keys: np.ndarray, weight: np.ndarray):
+    """mapInArrow body: a task's summed loss and gradient (weights, then bias), its rows' keys and scores."""
     def run(batches):
-        w, total = model.value, np.zeros(DIMS + 1)
+        w, loss, total, own, scores = model.value, 0.0, np.zeros(DIMS + 1), [], []
         for batch in batches:
             col, val, row, z = _rows(batch, w[:-1], w[-1])
-            share = weight[np.searchsorted(keys, batch.column("key").to_numpy())]
-            error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - batch.column("label").to_numpy())
+            key, label = batch.column("key").to_numpy(), batch.column("label").to_numpy()
+            share = weight[np.searchsorted(keys, key)]
+            error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
             total[:-1] += np.bincount(col, weights=val * error[row], minlength=DIMS)
             total[-1] += error.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g"])
+            loss += float((share * (np.logaddexp(0, z) - label * z)).sum())
+            own.append(key)
+            scores.append(z)
+        if own:
+            raw = [x.tobytes() for x in (total.astype(np.float32), np.concatenate(own), np.concatenate(scores))]
+            yield pa.RecordBatch.from_arrays([pa.array([loss])] + [pa.array([x], pa.binary()) for x in raw],
+                                             ["loss", "g", "keys", "z"])
     return run
 
 
-def _scores(model):
-    """mapInArrow body: key and score of each row."""
-    def run(batches):
-        w = model.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(_rows(batch, w[:-1], w[-1])[3])], ["key", "z"])
-    return run
+def minimised(evaluate, size: int, passes: int = PASSES, memory: int = MEMORY):
+    """What ``evaluate`` adds to loss and gradient at the best point that limited-memory BFGS reaches, and the point.
+
+    ``evaluate(w)`` gives loss, gradient and anything else; it is called ``passes`` times at most. A step is
+    halved until the loss falls.
+    """
+    w = np.zeros(size)
+    loss, g, rest = evaluate(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    step = 1 / max(float(np.linalg.norm(g)), 1e-12)
+    for _ in range(passes - 1):
+        way, shares = -g, []
+        for moved, bent in reversed(past):
+            shares.append((moved @ way) / (moved @ bent))
+            way = way - shares[-1] * bent
+        if past:
+            moved, bent = past[-1]
+            way *= (moved @ bent) / (bent @ bent)
+        for (moved, bent), share in zip(past, reversed(shares)):
+            way += moved * (share - (bent @ way) / (moved @ bent))
+        new = (w + step * way).astype(np.float32).astype(np.float64)      # as tasks see it
+        at, slope, more = evaluate(new)
+        if at > loss + 1e-4 * step * float(g @ way):
+            step /= 2
+            continue
+        if (new - w) @ (slope - g) > 1e-12:
+            past = [*past, (new - w, slope - g)][-memory:]
+        w, loss, g, rest, step = new, at, slope, more, 1.0
+    return w, rest
 
 
 def _fit(sample: DataFrame) -> tuple[np.ndarray, float, float]:
@@ -170,20 +202,18 @@ def _fit(sample: DataFrame) -> tuple[np.ndarray, float, float]:
     fit = (np.arange(len(y)) % 5) != 4
     weight = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
     context = sample.sparkSession.sparkContext
-    w, m, v = np.zeros(DIMS + 1), np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    decay = np.append(np.full(DIMS, 1e-6), 0.0)
-    for step in range(1, STEPS + 1):          # Adam on the whole weighted sample, L2-regularised
+
+    def evaluate(w: np.ndarray):
         model = context.broadcast(w.astype(np.float32))
-        parts = sample.mapInArrow(_gradient(model, keys, weight), "g binary").collect()
+        parts = sample.mapInArrow(_pass(model, keys, weight), "loss double, g binary, keys binary, z binary").collect()
         model.destroy()
-        g = np.sum([np.frombuffer(bytes(p["g"]), np.float32) for p in parts], axis=0, dtype=np.float64) + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        rate = 0.1 * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
-        w -= rate * m / (np.sqrt(v) + 1e-8)
-    model = context.broadcast(w.astype(np.float32))
-    found = {r["key"]: r["z"] for r in sample.mapInArrow(_scores(model), "key bigint, z double").collect()}
-    model.destroy()
-    z = np.array([found[k] for k, _ in known])
+        g, z = np.append(DECAY * w[:-1], 0.0), np.zeros(len(keys))
+        for p in parts:
+            g += np.frombuffer(p["g"], np.float32)
+            z[np.searchsorted(keys, np.frombuffer(p["keys"], np.int64))] = np.frombuffer(p["z"], np.float64)
+        return sum(p["loss"] for p in parts) + DECAY / 2 * float(w[:-1] @ w[:-1]), g, z
+
+    w, z = minimised(evaluate, DIMS + 1)
     held = ~fit if len(set(y[~fit])) == 2 else fit
     slope, offset = platt(z[held], y[held])
     return np.append(w[:-1] * 30, w[-1]).astype(np.float32), slope, offset
