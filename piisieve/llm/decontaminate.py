@@ -281,13 +281,12 @@ def cut(chunk: Chunk, i: int, start, end, spans, max_words: int, max_coverage: f
     return b"".join(kept).decode()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, text_col: str = "text",
-         window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: tuple[int, float] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) with ``_n_words``, ``_spans`` (hit word ranges),
+def _scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", window: int = WINDOW,
+          block_words: int = BLOCK_WORDS, clean: tuple[int, float] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` as _c0, _c1, ... with ``_n_words``, ``_spans`` (hit word ranges),
     ``_items`` (item ids with an occurring window) and ``_longest`` (longest match in words);
     with ``clean`` = (span length limit, coverage limit) also ``_clean``, the text without the
     spans of that length or more and whole items under ``window`` words, null beyond that coverage."""
-    columns = columns if columns is not None else docs.columns
     keep = [f"_c{i}" for i in range(len(columns))]
     spark = docs.sparkSession
     blocks = build_blocks(benchmark, window=window, block_words=block_words)
@@ -307,12 +306,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None
         out = map_columns(out, carried, found + text, _scanner(models, (*clean, window) if last and clean else None, n))
         if not last:
             out = staged(out, "decontaminate")
-    return out.select(*[F.col(k).alias(c) for c, k in zip(columns, keep)],
-                      *[f[0] for f in found], *(["_clean"] if clean else []))
+    return out
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, text_col: str = "text",
+         window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: tuple[int, float] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) and what ``_scan`` adds; columns of these names are replaced."""
+    columns = columns if columns is not None else docs.columns
+    out = _scan(docs, benchmark, columns, text_col, window, block_words, clean)
+    added = out.columns[len(columns):]
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in added], *added)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, longest."""
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     hit = F.aggregate("_spans", F.lit(0), lambda n, s: n + s[1] - s[0]).cast("bigint")
     return scan(docs, benchmark, ["doc_id"]).select(
         "doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"),
@@ -325,10 +332,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDO
     """``docs`` with benchmark spans of ``max_words`` words or more and whole shorter items cut from the
     text (all hits at the default; above it, short items that touch other hits count as one span with them); documents
     with more than ``max_coverage`` of their words hit go. Untouched texts stay byte for byte."""
-    found = scan(docs, benchmark, clean=(max_words, max_coverage))
+    found = _scan(docs, benchmark, docs.columns, clean=(max_words, max_coverage))
     touched = F.size("_spans") > 0
     gone = touched & F.col("_clean").isNull()
-    cols = [F.when(touched, F.col("_clean")).otherwise(F.col("text")).alias(c) if c == "text"
-            else F.when(touched, F.char_length("_clean")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars"
-            else F.col(f"`{c}`") for c in docs.columns]
-    return found.where(~gone).select(*cols)
+    new = {"text": F.col("_clean"), "n_chars": F.char_length("_clean")}
+    return found.where(~gone).select(*[
+        F.when(touched, new[c]).otherwise(F.col(f"_c{i}")).alias(c) if c in new else F.col(f"_c{i}").alias(c)
+        for i, c in enumerate(docs.columns)])

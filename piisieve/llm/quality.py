@@ -11,7 +11,8 @@ all documents are then scored in Arrow batches against a fixed probability thres
 Defined cases: null and empty texts have no words and fail the base rule; documents without a
 label are scored like others; labels that are null are not trained on; without labels of both
 classes the model keeps what the base rules keep; a label row repeated or contradicting itself
-trains once, by its smallest value.
+trains once, by its smallest value; a probability equal to the threshold is kept; documents alike get
+the same verdict; an empty table gives no rows; further columns may have any names (``kept_documents``).
 """
 
 from __future__ import annotations
@@ -274,17 +275,23 @@ _ADDED = [(n, "bigint", pa.int64()) for n in ("_n_words", "_word_chars", "_n_sym
                                               "_n_repeat_words")] + [("_p", "double", pa.float64())]
 
 
-def scored(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
-    """Columns of ``docs`` (renamed back) with base counts, probability ``_p`` and verdicts
-    ``_base_failed`` and ``_kept``."""
+def _judged(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
+    """Columns of ``docs`` as _c0, _c1, ... with base counts, ``_p``, ``_base_failed`` and ``_kept``."""
     model = docs.sparkSession.sparkContext.broadcast(train(train_docs if train_docs is not None else docs, labels))
     keep = [f"_c{i}" for i in range(len(docs.columns))]
     renamed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, keep)], F.col("text").alias("_text"))
     out = map_columns(renamed, keep, _ADDED, _scorer(model))
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words")
                                                > MAX_REPEAT_PERCENT * F.col("_n_words"))
-    return out.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, keep)], *[a[0] for a in _ADDED],
-                      failed.alias("_base_failed"), (~failed & (F.col("_p") >= THRESHOLD)).alias("_kept"))
+    return out.select("*", failed.alias("_base_failed"), (~failed & (F.col("_p") >= THRESHOLD)).alias("_kept"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
+    """``docs`` with base counts, probability ``_p`` and verdicts ``_base_failed`` and ``_kept``; columns of
+    ``docs`` that have one of these names are replaced."""
+    added = [a[0] for a in _ADDED] + ["_base_failed", "_kept"]
+    return _judged(docs, labels, train_docs).select(
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in added], *added)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -297,4 +304,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, unchanged."""
-    return scored(docs, labels).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, labels).where("_kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
