@@ -3,11 +3,12 @@
 Pages link hosts by the absolute links in their HTML. Trust is a personalised PageRank over
 links from the hosts of pages that a rule allows; distrust runs from hosts that a rule blocks
 as a whole, against the links, to those who link there. A rule's verdict on a page stands;
-other pages are blocked where their host's distrust exceeds its trust.
+other pages are blocked where their host's distrust exceeds its trust. Every seed starts with the same
+rank, so a verdict depends on the links near a host and not on how many seeds there are elsewhere.
 
 Host edges are aggregated before they are shuffled, ranks and edges meet in equi-joins, and
-each round's ranks are a staged table. Rounds end when ranks move by less than ``TOLERANCE``
-in sum; the damping bounds their number. No table is broadcast by hand.
+each round's ranks are a staged table. Rounds end when no host's rank moves by ``TOLERANCE``;
+the damping bounds their number. No table is broadcast by hand.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 allowed; null HTML has no links; links within a host and to hosts without pages count in the
@@ -66,23 +67,26 @@ def reversed_edges(e: DataFrame) -> DataFrame:
 
 
 def propagated(e: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, rank): personalised PageRank over ``e`` from ``seeds`` (host, weight of any sum)."""
-    total = seeds.agg(F.sum("weight").alias("t")).first()["t"] or 1.0
-    start = staged(seeds.select("host", ((1 - damping) * F.col("weight") / total).alias("rank")), "seeds")
+    """(host, rank): personalised PageRank over ``e`` from ``seeds`` (host, weight), times the sum of weights.
+
+    A seed of weight one starts ``1 - damping``, however many others there are. Rank at hosts without links ends there.
+    """
+    start = staged(seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank")), "seeds")
     rank = start
     for _ in range(100):          # what is left to move falls by the damping each round
         passed = e.join(rank, e.src == rank.host).select(
             F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
         new = staged(start.unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
         moved = new.alias("a").join(rank.alias("b"), "host", "left").agg(
-            F.sum(F.abs(F.col("a.rank") - F.coalesce("b.rank", F.lit(0.0)))).alias("m")).first()["m"] or 0.0
+            F.max(F.abs(F.col("a.rank") - F.coalesce("b.rank", F.lit(0.0)))).alias("m")).first()["m"] or 0.0
         rank = new
         if moved < tolerance:
             break
     return rank
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING,
+           tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -93,8 +97,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, da
         F.max((F.col("ruled") == "allow").cast("double")).alias("allowed"),
         F.max(((F.col("ruled") == "block") & (F.col("whole") == "/")).cast("double")).alias("blocked")), "hosts")
     e = edges(rows.select("host", "html"))
-    trust = propagated(e, found.where("allowed > 0").select("host", F.col("allowed").alias("weight")), damping)
-    distrust = propagated(reversed_edges(e), found.where("blocked > 0").select("host", F.col("blocked").alias("weight")), damping)
+    trust = propagated(e, found.where("allowed > 0").select("host", F.col("allowed").alias("weight")), damping, tolerance)
+    distrust = propagated(reversed_edges(e), found.where("blocked > 0").select("host", F.col("blocked").alias("weight")), damping, tolerance)
     scores = staged(found.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left")
                     .join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"]),
                     "scores")
