@@ -18,7 +18,7 @@ from .. import catalogue as _cat
 from ..operators import consolidate, datagen, decisions, detect, prompts, quantiles, scorer, stats, training, verify
 from ..operators import replies as replies_op
 from ..operators.rows import keep_if
-from ..session import checkpoint_dir, spread, table
+from ..session import checkpoint_dir, deal, spread, table
 from ..sources import jsonl
 from . import oracle as O
 
@@ -525,7 +525,7 @@ def q_training_distribution(spark, sf_dir):
 
 def _customer_docs(spark, sf_dir):
     """Customer rows as JSON documents in three template shapes (nulls kept as keys)."""
-    cust = table(spark, sf_dir, "customer")
+    cust = deal(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
     nation = table(spark, sf_dir, "nation")  # 25-row dimension: fixed size, safe to broadcast
     c = cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey, "left")
     email = F.when(F.col("c_acctbal") > 0, F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@shop.test")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back, for rows that several passes read."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/piisieve/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to at least two tasks per core, and to eight per split of a large input.
+
+    Splits say little of how rows lie: a row group is read by one task, so a file of one row group has one
+    busy task however many splits it has, and few compressed bytes may hold many rows. Use it on the
+    narrow rows below work that costs far more per row than this shuffle.
+    """
+    spark = df.sparkSession
+    try:
+        n = max(2 * spark.sparkContext.defaultParallelism, 8 * df.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session exposes no RDD view
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (regex detection) at least one partition per core.
 
