@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, staged
 from .quantiles import exact_quantiles, rank_error, sketch_quantiles
 
 PROBS = (0.5, 0.95, 0.99)
@@ -60,8 +60,11 @@ def file_stats(results: DataFrame, file_col: str = "file", order_col: str = "loa
 
     ``results`` is ``sources.jsonl.read_entity_results``. A file's model is that of its first row. All is
     aggregated per file; of the files of one model the last is then picked among one row per
-    file, so no result row meets another table.
+    file, so no result row meets another table. Counts and quantiles take several passes over the
+    rows, so those are parsed once and kept in the checkpoint folder.
     """
+    results = staged(results.select(*dict.fromkeys([file_col, order_col, "file_name", "model", "latency_ms", "confidence",
+                                                    "verified", "ts"])), "result-rows")
     per_file = model_stats(results, file_col)
     info = results.groupBy(F.col(file_col).alias("_file")).agg(
         F.min_by("model", order_col).alias("_model"), F.min("file_name").alias("file_name"))

@@ -201,7 +201,8 @@ def _write_result_files(df: DataFrame, path: str, order: list[str]) -> None:
   FROM """ + _LOG_SQL + " x)").replace(" l GROUP BY model", " l WHERE part = last GROUP BY model"))
 def q_result_file_stats(spark, sf_dir):
     """A-06, A-08, E-09, E-10: result files written, read back and summed up; a model's last file counts."""
-    log = inference_log(spark, sf_dir)
+    log = stats.inference_log_from_events(deal(table(spark, sf_dir, "events").select(
+        "event_id", "event_type", "value", "props", "ts")))
     part = (F.col("record_id") % 3).cast("string")
     rows = log.select(
         F.concat(part, F.lit("_"), "model", F.lit(".jsonl")).alias("file"), F.col("record_id").alias("_order"),
@@ -227,7 +228,7 @@ SELECT record_id, input_text, pii,
 FROM c JOIN i USING (record_id) GROUP BY record_id, input_text, pii""")
 def q_result_file_consolidation(spark, sf_dir):
     """E-17 ... E-20, F-02 over files with real duplicates: first input of a record, last verdict of a cell."""
-    e = table(spark, sf_dir, "events")
+    e = deal(table(spark, sf_dir, "events").select("event_id", "props"))
     text = F.col("event_id").cast("string")
     item = F.struct(F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("pii"),
                     (F.get_json_object("props", "$.k").cast("double") >= 50).alias("verified"),
