@@ -17,7 +17,7 @@ def con():
     return duck(SF_SMALL)
 
 
-ROWS_ONLY = {"customer_json_deep_labels", "model_stats_approx"}  # recursive walk; approximate quantiles
+ROWS_ONLY = {"model_stats_approx"}  # approximate quantiles
 
 
 def test_every_query_has_an_oracle():
